@@ -168,3 +168,10 @@ def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 2_000_000
 
 def ceil_div(a: int, b: int) -> int:
     return math.ceil(a / b)
+
+
+def guarded(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all but the columns to keep renamed, so that no name clashes with an operator's own; and what takes a frame back to docs' columns."""
+    names = docs.columns
+    inner = [c if c in keep else f"c{i}" for i, c in enumerate(names)]
+    return docs.toDF(*inner), lambda out: out.select(*inner).toDF(*names)

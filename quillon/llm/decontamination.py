@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, each_slice, lookup, rolling, span_hash, table, word_hashes, words_of
+from .common import cut, each_slice, guarded, lookup, rolling, span_hash, table, word_hashes, words_of
 
 WIDTH, SHARE, BLOCK_WINDOWS = 13, 20, 500_000
 _LOW, _WORD = lookup(None)
@@ -154,7 +154,8 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that aren't contaminated, with the columns of docs."""
-    return mark(docs, benchmark.select("item_id", "text"), **options).filter(~F.col("__contaminated")).select(*docs.columns)
+    inner, back = guarded(docs, "text")
+    return back(mark(inner, benchmark.select("item_id", "text"), **options).filter(~F.col("__contaminated")))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

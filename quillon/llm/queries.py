@@ -1,11 +1,17 @@
 """The operators' queries over whole tables, and their SQL where it can express them."""
 
-from . import decontamination, mixing, quality, toxicity
+from . import decontamination, html, linededup, mixing, nearest, ngramjoin, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_html": html.op2_html,
+    "op3_suffixes": suffixes.op3_suffixes,
+    "op4_secrets": secrets.op4_secrets,
     "op5_quality": quality.op5_quality,
+    "op6_nearest": nearest.op6_nearest,
+    "op7_ngramjoin": ngramjoin.op7_ngramjoin,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_linededup": linededup.op9_linededup,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
