@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,13 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder of spark.checkpoint.dir; one is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df from a table written to the shared folder of spark.checkpoint.dir (one is set only where none is).
+
+    That ends the lineage for executors that are lost, and for the optimizer:
+    a checkpointed frame would keep the orderings of all the joins it came of,
+    which grow without bound over rounds.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="quillon-")
+        sc.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    _written[path] = spark
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that cut() made, when nothing that is still to run reads them."""
+    for df in frames:
+        path = getattr(df, "_quillon_path", None)
+        if path and _written.pop(path, None):
+            sc = df.sparkSession.sparkContext
+            name = sc._jvm.org.apache.hadoop.fs.Path(path)
+            name.getFileSystem(sc._jsc.hadoopConfiguration()).delete(name, True)
 
 
 def shuffle_width(df: DataFrame) -> int:

@@ -72,7 +72,7 @@ def _normal_tail(z: Column) -> Column:
 def battery(token: Column, symbols: Column) -> Column:
     """Combined p-value of token's being uniform random symbols."""
     m = F.length(symbols).cast("double")
-    chars = F.filter(F.split(F.rtrim(F.lit("="), token), ""), lambda c: c != "")
+    chars = F.filter(F.split(F.rtrim(token, F.lit("=")), ""), lambda c: c != "")
     values = F.transform(chars, lambda c: (F.instr(symbols, c) - 1).cast("double"))
 
     def of(v: Column) -> Column:
@@ -111,7 +111,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", F.array_sort(base).alias("base"), _found(text, TOKEN, 3).alias("tokens"))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     symbols = None
-    bare = lambda t: F.rtrim(F.lit("="), t["token"])
+    bare = lambda t: F.rtrim(t["token"], F.lit("="))
 
     def encoding(t):
         out = F.when(bare(t).rlike(ENCODINGS[0][1]), ENCODINGS[0][2])

@@ -36,7 +36,7 @@ def test_against_brute_force(docs):
     got = linededup.deduplicate(docs.drop("__id"))
     assert got.columns == [*docs.columns[:-1], "__n_lines", "__n_removed"]
     assert Counter((r["doc_id"], r["text"], r["__n_removed"]) for r in got.collect()) == brute(rows)
-    assert sum(r["__n_removed"] for r in got.collect()) > 20
+    assert sum(r["__n_removed"] for r in got.collect()) > 10
 
 
 def test_boundaries_resist_shifts():

@@ -59,5 +59,5 @@ def test_windows_of_equal_hash_are_compared_by_bytes(monkeypatch, spark, docs):
     texts = [b"q" * 5 + b"abcdefghij", b"r" * 5 + b"abcdefghij", b"s" * 5 + b"abcdefghik"]
     t = pa.table({"h": [1, 1, 1], "__id": [1, 2, 3], "__th": [0, 0, 0], "place": [5, 5, 5], "lo": [5, 5, 5], "hi": [5, 5, 5], "bytes": [x[5:] for x in texts]})
     got = [tuple(r.values()) for b in suffixes._merged(t, 10) for r in b.to_pylist()]
-    assert got == [(2, 0, 5, 5)]
+    assert set(got) == {(2, 0, 5, 5)}
     assert rows
