@@ -69,33 +69,45 @@ def _normal_tail(z: Column) -> Column:
     return F.greatest(F.when(z >= 0, tail).otherwise(1 - tail), F.lit(1e-30))
 
 
+def _let(value: Column, fn) -> Column:
+    """fn of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def battery(token: Column, symbols: Column) -> Column:
     """Combined p-value of token's being uniform random symbols."""
     m = F.length(symbols).cast("double")
     chars = F.filter(F.split(F.rtrim(token, F.lit("=")), ""), lambda c: c != "")
     values = F.transform(chars, lambda c: (F.instr(symbols, c) - 1).cast("double"))
+    add = lambda a, x: a + x
 
-    def of(v: Column) -> Column:
+    def sums(v: Column) -> Column:
+        neighbours = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         n = F.size(v).cast("double")
-        total = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter(v, lambda x: x == d)).cast("double"), 2.0))
-        chi = (m / n * total - n - (m - 1)) / F.sqrt(2 * (m - 1) * (1 - 1 / n))
-        p_chi = _normal_tail(chi)
-        high = F.transform(v, lambda x: (x >= m / 2).cast("int"))
-        n1 = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
-        pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = F.aggregate(pairs, F.lit(1), lambda a, x: a + ((x["a"] >= m / 2) != (x["b"] >= m / 2)).cast("int")).cast("double")
+        return F.struct(v.alias("v"), neighbours.alias("pairs"), n.alias("n"), (F.aggregate(v, F.lit(0.0), add) / n).alias("mean"))
+
+    def deviates(x: Column) -> Column:
+        """chi, runs and serial as standard normal deviates under randomness; null where there is no spread."""
+        v, pairs, n, mean = x["v"], x["pairs"], x["n"], x["mean"]
+        squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, d: a + F.pow(F.size(F.filter(v, lambda c: c == d)).cast("double"), 2.0))
+        n1 = F.aggregate(v, F.lit(0.0), lambda a, c: a + (c >= m / 2).cast("double"))
+        runs = F.aggregate(pairs, F.lit(1.0), lambda a, c: a + ((c["a"] >= m / 2) != (c["b"] >= m / 2)).cast("double"))
+        spread = F.aggregate(v, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean))
+        serial = F.aggregate(pairs, F.lit(0.0), lambda a, c: a + (c["a"] - mean) * (c["b"] - mean))
+        return F.struct(((m / n * squares - n - (m - 1)) / F.sqrt(2 * (m - 1) * (1 - 1 / n))).alias("chi"), n.alias("n"), n1.alias("n1"), runs.alias("runs"), F.try_divide(serial, spread).alias("serial"))
+
+    def tails(z: Column) -> Column:
+        n, n1 = z["n"], z["n1"]
         mu = 2 * n1 * (n - n1) / n + 1
         var = (mu - 1) * (mu - 2) / (n - 1)
-        p_runs = F.when(var > 0, F.least(F.lit(1.0), 2 * _normal_tail(F.abs(runs - mu) / F.sqrt(var)))).otherwise(F.lit(1e-30))
-        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-        spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        serial = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + (x["a"] - mean) * (x["b"] - mean))
-        p_serial = F.when(spread > 0, F.least(F.lit(1.0), 2 * _normal_tail(F.abs(serial / spread + 1 / n) * F.sqrt(n)))).otherwise(F.lit(1e-30))
-        half = -(F.log(p_chi) + F.log(p_runs) + F.log(p_serial))
-        return F.greatest(F.exp(-half) * (1 + half + half * half / 2), F.lit(1e-30))
-
-    # one pass over the values: they are bound once
-    return F.element_at(F.transform(F.array(values), of), 1)
+        of_runs = F.when(var > 0, F.abs(z["runs"] - mu) / F.sqrt(F.greatest(var, F.lit(1e-9))))
+        of_serial = F.abs(z["serial"] + 1 / n) * F.sqrt(n)
+        two = lambda d: F.coalesce(_let(d, lambda y: F.least(F.lit(1.0), 2 * _normal_tail(y))), F.lit(1e-30))
+        return -(F.log(_let(z["chi"], _normal_tail)) + F.log(two(of_runs)) + F.log(two(of_serial)))
+
+    # Fisher: twice the sum of -log p has the chi-squared distribution with six degrees of freedom
+    half = _let(_let(_let(values, sums), deviates), tails)
+    return _let(half, lambda h: F.greatest(F.exp(-h) * (1 + h + h * h / 2), F.lit(1e-30)))
 
 
 def _length_class(n: Column) -> Column:
