@@ -156,10 +156,10 @@ def family_pivot(spark, sf_dir):
 _CELL = "max_by(coalesce(CAST(metric AS VARCHAR), '&mdash;') || '/' || coalesce(CAST(metric2 AS VARCHAR), '&mdash;'), " + _PIVOT_ORDER + ")"
 
 
-@_query("SELECT pb_id, train_dataset, " + ", ".join(f"coalesce({_CELL} FILTER (dataset = '{b}'), '&mdash;/&mdash;') AS \"{b}\"" for b in BRANDS) + " FROM fact JOIN pb USING (pb_id) WHERE kind = 'R' AND family = 'FRANCE' GROUP BY pb_id, train_dataset")
+@_query("SELECT pb_id, train_dataset, " + ", ".join(f"coalesce({_CELL} FILTER (dataset = '{b}'), '&mdash;/&mdash;') AS \"{b}\"" for b in BRANDS) + " FROM fact JOIN pb USING (pb_id) WHERE kind = 'R' AND family = 'NATION_7' GROUP BY pb_id, train_dataset")
 def family_pivot_cells(spark, sf_dir):
     cat = bound(spark, sf_dir)
-    rows = cat.pbs.filter(F.col("family") == "FRANCE").join(cat.fact("classification"), "pb_id")
+    rows = cat.pbs.filter(F.col("family") == "NATION_7").join(cat.fact("classification"), "pb_id")
     return rp.classification_pivot(rows, ["pb_id", "train_dataset"], BRANDS, "metric", "metric2", _order())
 
 
@@ -242,9 +242,9 @@ def downstream_by_head(spark, sf_dir):
     return _downstream(spark, sf_dir, ("m_parameters", "head"), head="Supplier#000000007")
 
 
-@_query(f"SELECT pb_id, head, {_TRAIN_SQL} AS train, gflops, metric, metric2, dataset FROM fact JOIN pb USING (pb_id) WHERE kind = 'A' AND instance_type = 'O' AND family = 'FRANCE'")
+@_query(f"SELECT pb_id, head, {_TRAIN_SQL} AS train, gflops, metric, metric2, dataset FROM fact JOIN pb USING (pb_id) WHERE kind = 'A' AND instance_type = 'O' AND family = 'NATION_7'")
 def downstream_by_family(spark, sf_dir):
-    return _downstream(spark, sf_dir, ("m_parameters", "family"), family="FRANCE")
+    return _downstream(spark, sf_dir, ("m_parameters", "family"), family="NATION_7")
 
 
 @_query("""SELECT pb_id, family, resolution, coalesce(train_dataset, '&mdash;') || ' : ' || train_epochs || ' : ' || resolution AS finetune,
@@ -290,9 +290,9 @@ def best_under_constraint(spark, sf_dir):
     return cp.best_under(rows, "metric", {"fps": 20.0}, 20, ["pb_id", "resolution", "dataset", "fps"]).select("pb_id", "resolution", "dataset", "metric", "fps")
 
 
-@_query("SELECT pb_id, family, backbone, pretrain_method FROM pb WHERE contains(lower(concat_ws(' ', family, backbone, pretrain_method)), 'united') AND contains(lower(concat_ws(' ', family, backbone, pretrain_method)), 'urgent')")
+@_query("SELECT pb_id, family, backbone, pretrain_method FROM pb WHERE contains(lower(concat_ws(' ', family, backbone, pretrain_method)), 'nation_1') AND contains(lower(concat_ws(' ', family, backbone, pretrain_method)), 'urgent')")
 def text_filter(spark, sf_dir):
-    return cp.text_filter(bound(spark, sf_dir).pbs.select("pb_id", "family", "backbone", "pretrain_method"), "United URGENT", ["family", "backbone", "pretrain_method"])
+    return cp.text_filter(bound(spark, sf_dir).pbs.select("pb_id", "family", "backbone", "pretrain_method"), "Nation_1 URGENT", ["family", "backbone", "pretrain_method"])
 
 
 @_query("""SELECT 'unique' AS rule, CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
@@ -315,7 +315,7 @@ def nest_roundtrip(spark, sf_dir):
     return nested.select("l_orderkey", F.inline("lines"))
 
 
-@_query("SELECT l_orderkey, count(*) AS n, list(row(l_linenumber, l_partkey, l_suppkey, l_quantity) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)[1].l_partkey AS first_part FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem) GROUP BY l_orderkey", roles=False)
+@_query("SELECT l_orderkey, count(*) AS n, arg_min(l_partkey, row(l_linenumber, l_partkey, l_suppkey, l_quantity)) AS first_part FROM lineitem GROUP BY l_orderkey", roles=False)
 def nest(spark, sf_dir):
     nested = ds.nest(read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "lines")
     return nested.select("l_orderkey", F.size("lines").cast("long").alias("n"), F.col("lines")[0]["l_partkey"].alias("first_part"))
