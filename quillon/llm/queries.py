@@ -17,5 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op3_suffixes": suffixes.ORACLE_SQL,
+    "op7_ngramjoin": ngramjoin.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
 }

@@ -411,3 +411,20 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+t AS (SELECT r, doc_id, 100 * b AS q, substr(x, 200 * b + 1, 398) AS y FROM (SELECT r, doc_id, x, unnest(range(0, len(x) // 200 + 1)) AS b FROM d)),
+w AS (SELECT r, doc_id, q + i AS i, md5_number(substr(y, 2 * i + 1, 200)) AS s FROM (SELECT r, doc_id, q, y, unnest(range(0, least(100, greatest(len(y) // 2 - 99, 0)))) AS i FROM t)),
+f AS (SELECT s, min((doc_id, i)) AS first FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT r, i FROM w JOIN f USING (s) WHERE (doc_id, i) <> first),
+l AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM g),
+k AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS island FROM l),
+b AS (SELECT r, island, min(i) AS s, max(i) + 100 AS e FROM k GROUP BY ALL),
+o AS (SELECT r, s, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS before FROM b),
+a AS (SELECT r, sum(e - s) AS gone, count(*) AS spans, max(e) AS last, string_agg(substr(x, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept FROM o JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN a.r IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN a USING (r)
+"""
