@@ -7,6 +7,7 @@ of a partition.
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -65,6 +66,12 @@ def free(*frames: DataFrame) -> None:
             name.getFileSystem(sc._jsc.hadoopConfiguration()).delete(name, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished phases: it does when their frames are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
