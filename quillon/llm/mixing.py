@@ -78,6 +78,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = E
     t = t.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     d = d.join(t, "source_key").withColumn("buckets", F.ceil(F.sqrt("source_rows")))
     d = d.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * F.col("buckets")))
+    # dealt by bucket once, for both levels: only the buckets' sums meet by source
+    d = d.repartition("source_key", "bucket")
     inside = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     over = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
