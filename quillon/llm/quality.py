@@ -7,14 +7,20 @@ documents' perplexities. A document beyond the upper bound reads unlike trusted
 text, one below the lower bound repeats itself.
 
 Null and empty texts have no perplexity and are kept (nothing speaks against
-them). A language, or a length class of it, with fewer than `enough` trusted
-documents takes the bounds of that length class in all languages, then of all
-documents; without trusted text every document is kept. Rows are judged one by
-one, repeated or not. A document labelled both 0 and 1 isn't trusted.
+them). A length class of a language with fewer than `enough` trusted documents
+takes what the bounds of its language and its own hold together; where those
+are of fewer than `enough` documents they are widened to tolerance limits, so a
+rare language is judged by its own text however little there is of it. Only a
+language without any trusted text takes the bounds of the length class in all
+languages (of `enough` documents), then of all documents; without trusted text
+every document is kept. Rows are judged one by one, repeated or not. A document
+labelled both 0 and 1 isn't trusted.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +31,8 @@ from .common import guarded, labelled, table
 LOW, HIGH, ENOUGH = 0.001, 0.995, 200
 #: Slack beyond the quantiles, in nats a character: bounds of small classes are rough.
 SLACK = 0.05
+#: Confidence of the tolerance limits; documents' worth of the spread within all languages that is added to a small one's own.
+CONFIDENCE, PRIOR = 0.95, 3
 
 
 def _length_class(n):
@@ -32,6 +40,23 @@ def _length_class(n):
     return F.greatest(F.lit(0), F.least(F.lit(4), F.floor(F.log2(F.greatest(n, F.lit(1.0))) / 2) - 2)).cast("int")
 
 
+def _limits(cells: DataFrame, spread: DataFrame, low: float, high: float, enough: int) -> DataFrame:
+    """cells (q, n, mean, var) with lo and hi: their quantiles, or of fewer than `enough` documents at least one-sided normal tolerance limits."""
+    n, c = F.col("n"), NormalDist().inv_cdf(CONFIDENCE)
+    more = n - 1 + PRIOR
+    sd = F.sqrt((F.coalesce("var", F.lit(0.0)) * (n - 1) + F.coalesce("pooled", F.lit(0.0)) * PRIOR) / more)
+    a = 1 - c * c / (2 * more)
+
+    def reach(p):
+        z = abs(NormalDist().inv_cdf(p))
+        return (z + F.sqrt(z * z - a * (z * z - c * c / n))) / a * sd
+
+    few, q = n < enough, F.col("q")
+    lo = F.when(few, F.least(q[0], F.col("mean") - reach(low))).otherwise(q[0])
+    hi = F.when(few, F.greatest(q[1], F.col("mean") + reach(high))).otherwise(q[1])
+    return cells.crossJoin(F.broadcast(spread)).withColumn("lo", lo).withColumn("hi", hi)
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """docs (all but the text) with n_chars_scored and log_perplexity, of a model of trusted (doc_id)."""
     counts = count(labelled(docs.select("doc_id", "text"), trusted.select("doc_id")).withColumn("key", F.lit(0)), "key", 1, False)
@@ -54,17 +79,24 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     own = labelled(scored.select("doc_id", "lang", "__class", "log_perplexity").filter("log_perplexity IS NOT NULL"), trusted)
     # a cell for each language and length class: small whatever the corpus
     quantile = F.percentile_approx("log_perplexity", [low, high], 10_000)
-    cells = own.groupingSets([["lang", "__class"], ["__class"], []], "lang", "__class").agg(quantile.alias("q"), F.count(F.lit(1)).alias("n"), F.grouping_id("lang", "__class").alias("g")).filter((F.col("n") >= enough) | (F.col("g") == 3))
-    by = {g: cells.filter(F.col("g") == g) for g in (0, 2, 3)}
-    bounds = by[0].select(F.coalesce("lang", F.lit("")).alias("__lang"), F.col("lang").isNull().alias("__null"), "__class", F.col("q").alias("__q0"))
+    sums_ = [quantile.alias("q"), F.count(F.lit(1)).alias("n"), F.avg("log_perplexity").alias("mean"), F.var_samp("log_perplexity").alias("var"), F.grouping_id("lang", "__class").alias("g")]
+    cells = own.groupingSets([["lang", "__class"], ["lang"], ["__class"], []], "lang", "__class").agg(*sums_)
+    cells = cells.withColumn("__lang", F.coalesce("lang", F.lit(""))).withColumn("__null", F.col("lang").isNull())
+    by = {g: cells.filter(F.col("g") == g) for g in (0, 1, 2, 3)}
+    spread = by[1].agg((F.sum(F.when(F.col("n") > 1, F.col("var") * (F.col("n") - 1))) / F.sum(F.when(F.col("n") > 1, F.col("n") - 1))).alias("pooled"))
+    in_class = _limits(by[0], spread, low, high, enough).select("__lang", "__null", "__class", F.col("n").alias("__n0"), F.col("lo").alias("__lo0"), F.col("hi").alias("__hi0"))
+    in_lang = _limits(by[1], spread, low, high, enough).select("__lang", "__null", F.col("lo").alias("__lo1"), F.col("hi").alias("__hi1"))
     scored = scored.withColumn("__lang", F.coalesce("lang", F.lit(""))).withColumn("__null", F.col("lang").isNull())
-    scored = scored.join(F.broadcast(bounds), ["__lang", "__null", "__class"], "left")
-    scored = scored.join(F.broadcast(by[2].select("__class", F.col("q").alias("__q1"))), "__class", "left")
-    scored = scored.join(F.broadcast(by[3].select(F.lit(1).alias("__one"), F.col("q").alias("__q2"))), F.lit(1) == F.col("__one"), "left")
-    q = F.coalesce("__q0", "__q1", "__q2")
-    scored = scored.withColumn("lower", q[0] - slack).withColumn("upper", q[1] + slack)
+    scored = scored.join(F.broadcast(in_class), ["__lang", "__null", "__class"], "left").join(F.broadcast(in_lang), ["__lang", "__null"], "left")
+    scored = scored.join(F.broadcast(by[2].filter(F.col("n") >= enough).select("__class", F.col("q").alias("__q2"))), "__class", "left")
+    scored = scored.join(F.broadcast(by[3].select(F.lit(1).alias("__one"), F.col("q").alias("__q3"))), F.lit(1) == F.col("__one"), "left")
+    whole, rest = F.col("__n0") >= enough, F.coalesce("__q2", "__q3")
+    # least() and greatest() pass over nulls
+    lower = F.when(whole, F.col("__lo0")).otherwise(F.coalesce(F.least("__lo0", "__lo1"), rest[0]))
+    upper = F.when(whole, F.col("__hi0")).otherwise(F.coalesce(F.greatest("__hi0", "__hi1"), rest[1]))
+    scored = scored.withColumn("lower", lower - slack).withColumn("upper", upper + slack)
     kept = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return scored.withColumn("kept", kept).drop("__lang", "__null", "__class", "__q0", "__q1", "__q2", "__one", "n_chars_scored")
+    return scored.withColumn("kept", kept).drop("__lang", "__null", "__class", "__n0", "__lo0", "__hi0", "__lo1", "__hi1", "__q2", "__q3", "__one", "n_chars_scored")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -109,3 +109,20 @@ def test_quality(spark):
     assert rows[900]["kept"] and rows[901]["kept"] and rows[900]["log_perplexity"] is None
     assert all(r["kept"] for r in quality.judged(docs, labels.limit(0)).collect())
     assert quality.judged(docs.limit(0), labels).count() == 0
+
+
+def test_quality_of_a_rare_language(spark):
+    r = random.Random(5)
+
+    def text(parts, n):
+        return " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(n)) + "."
+
+    rows = [(i, text(["ka", "lo", "mi", "ter", "un"], r.randint(60, 100)), "en") for i in range(3000)]
+    rows += [(3000 + i, text([a + b for a in "bcdfghjk" for b in "aeiouy"], r.randint(60, 100)), "qq") for i in range(12)]
+    labels = [(i, 1) for i, *_ in rows]
+    rows += [(4000 + i, text(["x&", "#z", "%q"], 60), "qq") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = {x["doc_id"]: x["kept"] for x in quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert all(out[i] for i in range(3000, 3012))
+    assert not any(out[i] for i in range(4000, 4010))
+    assert sum(out[i] for i in range(3000)) / 3000 > 0.98
