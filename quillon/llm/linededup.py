@@ -6,6 +6,14 @@ two lines at least that aren't blank. Of the occurrences of a chunk in all
 documents the first (by doc_id, then by place) stays; the others are removed
 after their bytes are compared with the first's.
 
+A chunk that reaches over the edge of a shared passage is nobody's equal, so
+chunks alone lose the ends of passages and short ones altogether. The operator
+and the pipeline therefore compare passages: every two neighbouring lines that
+aren't blank, with what is between them, and every line of LONG_WORDS words or
+more. Those are all the repeats of two lines or more, and of one long line,
+wherever a chunk would begin; what chunks find is among them. A line goes with
+any passage that stands somewhere before, so one copy of each always stays.
+
 Only hashes are grouped over the corpus. The texts of chunks whose hash repeats
 are then cut out of their documents and joined with the first's; a hot chunk is
 one row on one side of that join, which Spark can split on the other.
@@ -17,6 +25,8 @@ all others. Other columns are passed on untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +36,12 @@ from pyspark.sql import types as T
 from .common import BYTE_CODE, each_slice, guarded, mix, rolling, span_hash, table
 
 BOUNDARY, LEAST_LINES = 2, 2
+#: A line of so many words is a passage by itself.
+LONG_WORDS = 20
 
 
-def _chunks(data: np.ndarray, offsets: np.ndarray):
-    """Document, first and last byte (exclusive), lines and hash of each chunk of at least LEAST_LINES lines that aren't blank."""
-    docs = np.flatnonzero(np.diff(offsets))
-    if not len(docs):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64)
+def _lines(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray):
+    """Document, first and last byte (exclusive) of each line of docs, whether it is its document's last, whether it isn't blank."""
     newline = np.flatnonzero(data == 10)
     # a document's lines begin at its start and after each newline in it; the last may be empty
     begin = np.concatenate([offsets[docs], newline + 1])
@@ -42,10 +50,20 @@ def _chunks(data: np.ndarray, offsets: np.ndarray):
     begin, doc = begin[order], doc[order]
     last = np.append(doc[1:] != doc[:-1], True)
     end = np.where(last, offsets[doc + 1], np.append(begin[1:], 0) - 1)
-    sums = rolling(BYTE_CODE[data])
-    line = span_hash(sums, begin, end)
     dark = np.concatenate([[0], np.cumsum((data != 10) & (data != 32) & (data != 9) & (data != 13))])
     full = dark[end] > dark[begin]
+    return doc, begin, end, last, full
+
+
+def _chunks(data: np.ndarray, offsets: np.ndarray):
+    """Document, first and last byte (exclusive), lines and hash of each chunk of at least LEAST_LINES lines that aren't blank."""
+    docs = np.flatnonzero(np.diff(offsets))
+    if not len(docs):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.astype(np.uint64)
+    doc, begin, end, last, full = _lines(data, offsets, docs)
+    sums = rolling(BYTE_CODE[data])
+    line = span_hash(sums, begin, end)
     first = np.append(True, doc[1:] != doc[:-1])
     before = np.concatenate([[np.uint64(0)], line[:-1]])
     before[first] = 0
@@ -68,12 +86,43 @@ def _chunks(data: np.ndarray, offsets: np.ndarray):
     return doc[s], begin[s], end[e], e - s + 1, span_hash(sums, begin[s], end[e])
 
 
+def _passages(data: np.ndarray, offsets: np.ndarray):
+    """As _chunks(), of each two neighbouring lines that aren't blank and of each long line; they overlap."""
+    docs = np.flatnonzero(np.diff(offsets))
+    if not len(docs):
+        return _chunks(data, offsets)
+    doc, begin, end, _, full = _lines(data, offsets, docs)
+    dark = (data != 10) & (data != 32) & (data != 9) & (data != 13)
+    starts = dark.copy()
+    starts[1:] &= ~dark[:-1]
+    at = begin[begin < end]
+    starts[at] = dark[at]
+    words = np.concatenate([[0], np.cumsum(starts)])
+    own = np.flatnonzero(full)
+    pair = np.flatnonzero(doc[own[1:]] == doc[own[:-1]])
+    long = own[words[end[own]] - words[begin[own]] >= LONG_WORDS]
+    s, e = np.concatenate([own[pair], long]), np.concatenate([own[pair + 1], long])
+    return doc[s], begin[s], end[e], e - s + 1, span_hash(rolling(BYTE_CODE[data]), begin[s], end[e])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__th", F.xxhash64("text"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with its repeated chunks taken out of text, and __n_lines, __n_removed. Names that begin with two underscores are its own (see clean)."""
+def _merged(spans: list[dict]) -> list[list[int]]:
+    """Start and end of spans (at, size), those that overlap as one."""
+    out = []
+    for x in sorted(spans, key=lambda x: x["at"]):
+        end = x["at"] + x["size"]
+        if out and x["at"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([x["at"], end])
+    return out
+
+
+def deduplicate(docs: DataFrame, units: Callable = _chunks) -> DataFrame:
+    """docs with its repeated chunks, or passages with units=_passages, taken out of text, and __n_lines, __n_removed. Names that begin with two underscores are its own (see clean)."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # dealt once by document; both uses below read that exchange
     dealt = _keyed(docs).repartition(width, "__id", "__th")
@@ -81,7 +130,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     def list_chunks(batches):
         for batch, data, offsets in each_slice(batches, "text"):
-            doc, s, e, _, h = _chunks(data, offsets)
+            doc, s, e, _, h = units(data, offsets)
             pick = pa.array(doc)
             yield pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__th").take(pick), pa.array(s - offsets[doc], pa.int64()), pa.array(e - s, pa.int64()), pa.array(h.view(np.int64))], names=["__id", "__th", "at", "size", "h"])
 
@@ -113,10 +162,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 if spans:
                     text = data[offsets[i] : offsets[i + 1]].tobytes()
                     out, at = [], 0
-                    for x in sorted(spans, key=lambda x: x["at"]):
-                        out.append(text[at : x["at"]])
-                        at = x["at"] + x["size"]
-                        dropped[i] += text.count(b"\n", x["at"], at) + 1
+                    for start, end in _merged(spans):
+                        out.append(text[at:start])
+                        at = end
+                        dropped[i] += text.count(b"\n", start, end) + 1
                         at += at < len(text)  # with the line's end
                     out.append(text[at:])
                     kept = b"".join(out)
@@ -135,11 +184,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs, its columns, with repeated chunks of lines taken out of text."""
+    """docs, its columns, with repeated passages of lines taken out of text."""
     inner, back = guarded(docs, "doc_id", "text")
-    return back(deduplicate(inner))
+    return back(deduplicate(inner, _passages))
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return deduplicate(docs).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed_lines"), "text")
+    return deduplicate(docs, _passages).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed_lines"), "text")

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -56,3 +57,40 @@ def test_repeated_rows_stay(spark):
     rows = [(1, "one two\nthree four\nfive six\nseven"), (1, "one two\nthree four\nfive six\nseven"), (2, "one two\nthree four\nfive six\nseven")]
     got = sorted((r["doc_id"], r["text"]) for r in linededup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got[:2] == rows[:2] and got[2] == (2, "")
+
+
+def repeated_lines(rows):
+    """Lines that go, by comparing all pairs of neighbouring lines and all long lines of rows (id, text); nothing of linededup is used."""
+    seen, out = set(), {}
+    for name, text in sorted(rows):
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip(" \t\r")]
+        units = [(i, j) for i, j in zip(full, full[1:])] + [(i, i) for i in full if len(lines[i].split()) >= 20]
+        gone = set()
+        for i, j in sorted(units):
+            unit = "\n".join(lines[i : j + 1])
+            if unit in seen:
+                gone.update(range(i, j + 1))
+            seen.add(unit)
+        # with a last line that goes, the line end that closes the text goes too
+        kept = lines[:-1] if lines[-1] == "" and len(lines) - 2 in gone else lines
+        out[name] = ("\n".join(x for i, x in enumerate(kept) if i not in gone), len(gone))
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    r = random.Random(3)
+    line = lambda n: " ".join(r.choice("ka lo mi ter un of to").upper() + str(r.randint(0, 99)) for _ in range(n))
+    shared = ["\n".join(line(r.choice([3, 9, 30])) for _ in range(k)) for k in (1, 2, 2, 3, 3, 5, 8)] + [line(60), f"{line(5)}\n\n{line(6)}"]
+    rows = []
+    for i in range(150):
+        own = [line(r.choice([2, 8, 25])) for _ in range(r.randint(1, 4))]
+        own.insert(r.randint(0, len(own)), r.choice(shared))
+        rows.append((i, "\n".join([*own, *[""] * r.randint(0, 2)])))
+    rows += [(150, "a\na\na\na"), (151, ""), (152, "é ü\n\n"), (153, shared[7])]
+    got = linededup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), linededup._passages)
+    want = repeated_lines(rows)
+    assert {x["doc_id"]: (x["text"], x["__n_removed"]) for x in got.collect()} == want
+    assert want[153] == ("", 1)
+    cleaned = linededup.clean(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["doc_id"]: x["text"] for x in cleaned.collect()} == {k: t for k, (t, _) in want.items()}
