@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+#: Bytes of an Arrow batch on its way to Python; Spark's own bound is eight times that, for each of an executor's workers.
+BATCH_BYTES = 8 << 20
 WHITE = (0x20, *range(0x09, 0x0E))
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,13 +31,34 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers Spark's bound of an Arrow batch's bytes, where the session hasn't a lower one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = int(re.sub(r"\D", "", spark.conf.get(name, "")) or -1)
+    if not 0 < have <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _written: dict[str, SparkSession] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is set, one of this machine for a local session only."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir isn't set: tables between phases need a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillon-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from a table written to the shared folder of spark.checkpoint.dir (one is set only where none is).
 
@@ -43,12 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
     which grow without bound over rounds.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="quillon-")
-        sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
@@ -66,6 +85,20 @@ def free(*frames: DataFrame) -> None:
             name.getFileSystem(sc._jsc.hadoopConfiguration()).delete(name, True)
 
 
+def written() -> set[str]:
+    """The tables of cut() that are still there."""
+    return set(_written)
+
+
+def free_since(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
+    """Deletes the tables that cut() has made since written() was `before`, but for those of keep."""
+    kept = {getattr(df, "_quillon_path", None) for df in keep}
+    for path in written() - before - kept:
+        frame = spark.range(0)
+        frame._quillon_path = path
+        free(frame)
+
+
 def settle(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished phases: it does when their frames are collected as garbage."""
     gc.collect()
@@ -87,7 +120,7 @@ BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i below n."""
+    """base**i and base**-i modulo 2**64, for i below n. Only those of a slice are kept: longer texts' go with them."""
     have = _POWERS.get(0)
     if have is None or len(have[0]) < n:
         size = max(n, SLICE_BYTES + 65536)
@@ -96,7 +129,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, np.uint64(base))
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS[0] = have = (out[0], out[1])
+        have = (out[0], out[1])
+        if size == SLICE_BYTES + 65536:
+            _POWERS[0] = have
     return have
 
 
@@ -194,9 +229,18 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+#: Narrow rows (ids and hashes) up to which a side of a join is broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for a broadcast if it is small(); beyond that the join shuffles."""
+    return F.broadcast(df) if small(df, rows) else df
+
+
+def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join by doc_id. labels (one row a doc_id) are broadcast up to that many rows, joined by a shuffle beyond it."""
-    return docs.join(F.broadcast(labels) if small(labels, broadcast_rows) else labels, "doc_id")
+    return docs.join(sized(labels, broadcast_rows), "doc_id")
 
 
 def ceil_div(a: int, b: int) -> int:

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, mix, powers, rolling, slices, span_hash, table, text_buffers
+from .common import BYTE_CODE, SLICE_BYTES, mix, powers, rolling, slices, span_hash, table, text_buffers
 
 LENGTH, GRAM, SHARD_BYTES = 100, 32, 6 << 20
-STEP = 1 << 20
+STEP = SLICE_BYTES
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
