@@ -34,9 +34,10 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def bound_batches(spark: SparkSession) -> None:
     """Lowers Spark's bound of an Arrow batch's bytes, where the session hasn't a lower one."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    have = int(re.sub(r"\D", "", spark.conf.get(name, "")) or -1)
+    size, unit = re.match(r"(-?\d+)([kmgtp]?)", spark.conf.get(name, f"{1 << 26}b").lower()).groups()
+    have = int(size) << 10 * " kmgtp".index(unit or " ")
     if not 0 < have <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
