@@ -1,10 +1,15 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney models of trusted text.
 
 Trusted texts are those labelled 1 only. All of them are counted (in shards by
-n-gram); each document's perplexity a character is then held against bounds
-for its language and length class, which are quantiles of the trusted
-documents' perplexities. A document beyond the upper bound reads unlike trusted
-text, one below the lower bound repeats itself.
+n-gram), in two halves by a hash of the text; every text is scored by the model
+of the half it doesn't belong to, so that trusted texts are as strange to their
+model as others are. Each document's perplexity a character is then held
+against bounds for its language and length class, which are quantiles of the
+trusted documents' perplexities. A document beyond the upper bound reads unlike
+trusted text, one below the lower bound repeats itself.
+
+Texts are read once: scores are written to a table, of which the bounds and the
+verdicts are made.
 
 Null and empty texts have no perplexity and are kept (nothing speaks against
 them). A length class of a language with fewer than `enough` trusted documents
@@ -14,7 +19,9 @@ rare language is judged by its own text however little there is of it. Only a
 language without any trusted text takes the bounds of the length class in all
 languages (of `enough` documents), then of all documents; without trusted text
 every document is kept. Rows are judged one by one, repeated or not. A document
-labelled both 0 and 1 isn't trusted.
+labelled both 0 and 1 isn't trusted. Where all trusted texts fall into one half
+its model scores both. Empty tables give empty results; clashing names of other
+columns are set aside by accepted().
 """
 
 from __future__ import annotations
@@ -25,8 +32,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .charlm import alphabet, count, dense, kneser_ney, score, sums
-from .common import guarded, labelled, table
+from .charlm import BOUND, count, kneser_ney, probabilities, score, sums
+from .common import cut, free, guarded, labelled, sized, table
 
 LOW, HIGH, ENOUGH = 0.001, 0.995, 200
 #: Slack beyond the quantiles, in nats a character: bounds of small classes are rough.
@@ -40,11 +47,11 @@ def _length_class(n):
     return F.greatest(F.lit(0), F.least(F.lit(4), F.floor(F.log2(F.greatest(n, F.lit(1.0))) / 2) - 2)).cast("int")
 
 
-def _limits(cells: DataFrame, spread: DataFrame, low: float, high: float, enough: int) -> DataFrame:
+def _limits(cells: DataFrame, pooled: float | None, low: float, high: float, enough: int) -> DataFrame:
     """cells (q, n, mean, var) with lo and hi: their quantiles, or of fewer than `enough` documents at least one-sided normal tolerance limits."""
     n, c = F.col("n"), NormalDist().inv_cdf(CONFIDENCE)
     more = n - 1 + PRIOR
-    sd = F.sqrt((F.coalesce("var", F.lit(0.0)) * (n - 1) + F.coalesce("pooled", F.lit(0.0)) * PRIOR) / more)
+    sd = F.sqrt((F.coalesce("var", F.lit(0.0)) * (n - 1) + F.lit((pooled or 0.0) * PRIOR)) / more)
     a = 1 - c * c / (2 * more)
 
     def reach(p):
@@ -54,56 +61,68 @@ def _limits(cells: DataFrame, spread: DataFrame, low: float, high: float, enough
     few, q = n < enough, F.col("q")
     lo = F.when(few, F.least(q[0], F.col("mean") - reach(low))).otherwise(q[0])
     hi = F.when(few, F.greatest(q[1], F.col("mean") + reach(high))).otherwise(q[1])
-    return cells.crossJoin(F.broadcast(spread)).withColumn("lo", lo).withColumn("hi", hi)
-
-
-def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """docs (all but the text) with n_chars_scored and log_perplexity, of a model of trusted (doc_id)."""
-    counts = count(labelled(docs.select("doc_id", "text"), trusted.select("doc_id")).withColumn("key", F.lit(0)), "key", 1, False)
-    model = kneser_ney(dense(counts, 1, False)[0], alphabet(False)[0])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def fn(log_p, code, chars, _):
+    return cells.withColumn("lo", lo).withColumn("hi", hi)
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, keep: list[str], bound: int = BOUND) -> DataFrame:
+    """The columns `keep` of docs with n_chars_scored and log_perplexity, of models of trusted (doc_id)."""
+    half = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")
+    counts = cut(count(labelled(docs.select("doc_id", "text"), trusted.select("doc_id")).withColumn("key", 1 - half), False).withColumnRenamed("key", "m"))
+    have = [r["m"] for r in counts.select("m").distinct().collect()]
+    if not have:
+        return docs.select(*keep, F.char_length("text").cast("double").alias("n_chars_scored"), F.lit(None).cast("double").alias("log_perplexity"))
+    if len(have) == 1:
+        counts = counts.union(counts.withColumn("m", F.lit(1 - have[0])))
+    entries, unseen = kneser_ney(counts, 2)
+    entries = cut(entries)
+
+    def features(values, chars, _, batch):
         n = np.diff(chars)
+        of = np.repeat(batch.column("__half").to_numpy(), n)
         with np.errstate(divide="ignore", invalid="ignore"):
-            return [n.astype(np.float64), np.where(n > 0, -sums(log_p[code], chars) / np.maximum(n, 1), np.nan)]
+            return [n.astype(np.float64), np.where(n > 0, -sums(np.where(of == 0, values[0], values[1]), chars) / np.maximum(n, 1), np.nan)]
 
-    out = score(docs, fn, False, sent, ["n_chars_scored", "log_perplexity"])
+    # the text is read last, whether it is kept or not
+    read = docs.select(*[c for c in dict.fromkeys([*keep, "text"])]).withColumn("__half", half)
+    out = score(read, entries, 4, probabilities(unseen), features, ["n_chars_scored", "log_perplexity"], False, keep, bound)
     return out.withColumn("log_perplexity", F.when(~F.isnan("log_perplexity"), F.col("log_perplexity")))
 
 
-def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH, slack: float = SLACK) -> DataFrame:
-    """docs (all but the text) with log_perplexity, lower, upper and kept."""
-    trusted = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__q")).filter("__q = 1").select("doc_id")
-    scored = perplexities(docs, trusted).withColumn("__class", _length_class(F.col("n_chars_scored")))
+def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH, slack: float = SLACK, keep_text: bool = False, bound: int = BOUND) -> DataFrame:
+    """docs (without the text unless keep_text) with log_perplexity, lower, upper and kept."""
+    trusted = cut(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__q")).filter("__q = 1").select("doc_id"))
+    keep = [c for c in docs.columns if keep_text or c != "text"]
+    scored = cut(perplexities(docs, trusted, keep, bound).withColumn("__class", _length_class(F.col("n_chars_scored"))))
     own = labelled(scored.select("doc_id", "lang", "__class", "log_perplexity").filter("log_perplexity IS NOT NULL"), trusted)
-    # a cell for each language and length class: small whatever the corpus
     quantile = F.percentile_approx("log_perplexity", [low, high], 10_000)
     sums_ = [quantile.alias("q"), F.count(F.lit(1)).alias("n"), F.avg("log_perplexity").alias("mean"), F.var_samp("log_perplexity").alias("var"), F.grouping_id("lang", "__class").alias("g")]
     cells = own.groupingSets([["lang", "__class"], ["lang"], ["__class"], []], "lang", "__class").agg(*sums_)
-    cells = cells.withColumn("__lang", F.coalesce("lang", F.lit(""))).withColumn("__null", F.col("lang").isNull())
+    # a cell for each language and length class
+    cells = cut(cells.withColumn("__lang", F.coalesce("lang", F.lit(""))).withColumn("__null", F.col("lang").isNull()))
     by = {g: cells.filter(F.col("g") == g) for g in (0, 1, 2, 3)}
-    spread = by[1].agg((F.sum(F.when(F.col("n") > 1, F.col("var") * (F.col("n") - 1))) / F.sum(F.when(F.col("n") > 1, F.col("n") - 1))).alias("pooled"))
-    in_class = _limits(by[0], spread, low, high, enough).select("__lang", "__null", "__class", F.col("n").alias("__n0"), F.col("lo").alias("__lo0"), F.col("hi").alias("__hi0"))
-    in_lang = _limits(by[1], spread, low, high, enough).select("__lang", "__null", F.col("lo").alias("__lo1"), F.col("hi").alias("__hi1"))
+    pooled = by[1].agg(F.sum(F.when(F.col("n") > 1, F.col("var") * (F.col("n") - 1))) / F.sum(F.when(F.col("n") > 1, F.col("n") - 1))).first()[0]
+    overall = by[3].select("q").first()
+    in_class = _limits(by[0], pooled, low, high, enough).select("__lang", "__null", "__class", F.col("n").alias("__n0"), F.col("lo").alias("__lo0"), F.col("hi").alias("__hi0"))
+    in_lang = _limits(by[1], pooled, low, high, enough).select("__lang", "__null", F.col("lo").alias("__lo1"), F.col("hi").alias("__hi1"))
     scored = scored.withColumn("__lang", F.coalesce("lang", F.lit(""))).withColumn("__null", F.col("lang").isNull())
-    scored = scored.join(F.broadcast(in_class), ["__lang", "__null", "__class"], "left").join(F.broadcast(in_lang), ["__lang", "__null"], "left")
+    scored = scored.join(sized(in_class), ["__lang", "__null", "__class"], "left").join(sized(in_lang), ["__lang", "__null"], "left")
+    # five length classes at most
     scored = scored.join(F.broadcast(by[2].filter(F.col("n") >= enough).select("__class", F.col("q").alias("__q2"))), "__class", "left")
-    scored = scored.join(F.broadcast(by[3].select(F.lit(1).alias("__one"), F.col("q").alias("__q3"))), F.lit(1) == F.col("__one"), "left")
-    whole, rest = F.col("__n0") >= enough, F.coalesce("__q2", "__q3")
+    every = F.array(*(F.lit(x) for x in overall["q"])) if overall and overall["q"] else F.lit(None).cast("array<double>")
+    whole, rest = F.col("__n0") >= enough, F.coalesce(F.col("__q2"), every)
     # least() and greatest() pass over nulls
     lower = F.when(whole, F.col("__lo0")).otherwise(F.coalesce(F.least("__lo0", "__lo1"), rest[0]))
     upper = F.when(whole, F.col("__hi0")).otherwise(F.coalesce(F.greatest("__hi0", "__hi1"), rest[1]))
     scored = scored.withColumn("lower", lower - slack).withColumn("upper", upper + slack)
     kept = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return scored.withColumn("kept", kept).drop("__lang", "__null", "__class", "__n0", "__lo0", "__hi0", "__lo1", "__hi1", "__q2", "__q3", "__one", "n_chars_scored")
+    free(trusted)
+    return scored.withColumn("kept", kept).select(*keep, "log_perplexity", "lower", "upper", "kept")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier keeps, with the columns of docs."""
     inner, back = guarded(docs, "doc_id", "text", "lang")
-    judged_ = judged(inner.withColumn("__text", F.col("text")), labels, **options)
-    return back(judged_.filter("kept").withColumnRenamed("__text", "text"))
+    return back(judged(inner, labels, keep_text=True, **options).filter("kept"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

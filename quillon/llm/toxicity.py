@@ -1,30 +1,35 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary labelled texts, share the backoff counts
-of both: an n-gram rare in a class is smoothed by the same lower orders. A
-document's features are length-normalised differences of log-likelihood: a
+of both: an n-gram rare in a class is smoothed by the same lower orders. Where
+a class and its contexts haven't seen an n-gram, the shared part cancels, so
+the difference of the log-likelihoods needs the entries of n-grams and contexts
+that were seen. A document's features are length-normalised differences of log-likelihood: a
 character over the whole text, and a character over its most toxic words (the
 best word, and the words' excess over a margin). A logistic curve over them,
 fitted on labelled rows, gives the score.
 
-The counts are of all training rows, in two halves; the curve is fitted on
-rows scored by the models of the other half (at most `fit_rows` of each class,
-the first by hash of doc_id: the one bound here). Labels are of rows whose
+The counts are of all training rows, in two halves by a hash of the text; the
+curve is fitted on rows scored by the models of the other half (at most
+`fit_rows` of each class, the first by hash of doc_id: the one bound here). All
+texts are scored once, by the models of both halves and of all rows. Labels are of rows whose
 crc32(doc_id as text) mod 3 isn't 1; nothing but the text is scored.
 
 Null and empty texts get the score of a text that shows nothing. Without
 labels of both classes every score is the share of label 1 (0 without any).
 Rows are scored one by one, repeated or not; an id with both labels is toxic.
+Other columns than doc_id and text are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .charlm import alphabet, backoff, count, dense, kneser_ney, score, sums
-from .common import labelled, table
+from .charlm import BOUND, NEWLINE, ORDER, SPACE, _context, _discounts, count, levels, score, sums, with_lower
+from .common import cut, labelled, table
 
 FIT_ROWS, THRESHOLD, MARGIN = 20_000, 0.7, 4.0
 FEATURES = ["f_mean", "f_best", "f_excess"]
@@ -35,16 +40,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _features(ratio: np.ndarray, code: np.ndarray, chars: np.ndarray, symbol: np.ndarray) -> list[np.ndarray]:
-    """Of each text: mean difference a character, that of the best word, and what words have over the margin, by word."""
-    r = ratio[code]
+def _features(r: np.ndarray, chars: np.ndarray, symbol: np.ndarray) -> list[np.ndarray]:
+    """Of each text, by its symbols' differences: the mean, that of the best word, and what words have over the margin, by word."""
     n, docs = np.diff(chars), len(chars) - 1
     mean = sums(r, chars) / np.maximum(n, 1)
     best, excess = np.zeros(docs), np.zeros(docs)
     if len(r):
         # a word begins after white space or at the start of a text; what ends a word counts in it
         new = np.zeros(len(r), dtype=bool)
-        new[1:] = (symbol[:-1] == 1) | (symbol[:-1] == 2)
+        new[1:] = (symbol[:-1] == SPACE) | (symbol[:-1] == NEWLINE)
         new[chars[:-1][n > 0]] = True
         at = np.flatnonzero(new)
         word = np.add.reduceat(r.astype(np.float64), at)
@@ -71,38 +75,60 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def differences(counts: DataFrame) -> DataFrame:
+    """counts (key: toxic + 2 * half, a, b, n) -> entries (k, a, b, v): v has, for texts of half 0, of half 1 and for all, the difference of log probabilities of an n-gram (k = ORDER), or of the shares that a context leaves to the shared backoff (k = ORDER - 1); NaN where unseen."""
+    half = F.floor(F.col("key") / 2)
+    n = lambda toxic: F.coalesce(F.sum(F.when(F.col("key") % 2 == toxic, F.col("n"))), F.lit(0))
+    top = counts.withColumn("m", F.explode(F.array(1 - half, F.lit(2).cast("bigint")))).groupBy("m", "a", "b").agg(n(0).alias("c0"), n(1).alias("c1"))
+    top = cut(top.select(F.col("m").cast("int").alias("m"), "a", "b", "c0", "c1"))
+    below, _ = levels(top)
+    rows = with_lower(top, below).select("m", "a", "b", *_context(), "c0", "c1", "lower")
+    own = Window.partitionBy("m", "ca", "cb")
+    for x in (0, 1):
+        c = F.col(f"c{x}")
+        rows = rows.join(F.broadcast(_discounts(top.select("m", c.alias("c")), "m")), "m")
+        off = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).when(c > 2, F.col("d3")).otherwise(0.0)
+        total = F.sum(c).over(own)
+        rest = F.when(total > 0, F.sum(off).over(own) / total).otherwise(1.0)
+        seen = F.when(total > 0, F.greatest(c - off, F.lit(0.0)) / total).otherwise(0.0)
+        rows = rows.withColumn(f"rest{x}", rest).withColumn(f"p{x}", seen + F.col(f"rest{x}") * F.col("lower")).drop("d1", "d2", "d3")
+    log = lambda x: F.log(F.greatest(F.col(x), F.lit(1e-12)))
+    grams = rows.select("m", F.lit(ORDER).alias("k"), "a", "b", (log("p1") - log("p0")).alias("r"))
+    contexts = rows.select("m", F.lit(ORDER - 1).alias("k"), F.col("ca").alias("a"), F.col("cb").alias("b"), (log("rest1") - log("rest0")).alias("r"))
+    of = lambda m: F.coalesce(F.max(F.when(F.col("m") == m, F.col("r"))), F.lit(float("nan"))).cast("float")
+    return grams.unionByName(contexts).groupBy("k", "a", "b").agg(F.array(*map(of, range(3))).alias("v"))
+
+
+def _found(found):
+    gram, context = found[0]
+    return np.where(np.isnan(gram), np.nan_to_num(context, nan=0.0), gram)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, bound: int = BOUND) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, score, predicted."""
-    spark, size = docs.sparkSession, alphabet(True)[0]
-    marks = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = labelled(docs.select("doc_id", "text"), marks)
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
-    c = dense(count(rows.withColumn("key", F.col("toxic") + 2 * half), "key", 4, True), 4, True)
-
-    def ratio(ordinary, toxic):
-        shared = backoff(ordinary + toxic, size)
-        return kneser_ney(toxic, size, shared) - kneser_ney(ordinary, size, shared)
-
-    out = docs.select("doc_id", "text")
-    if not all(x.any() for x in (c[0] + c[2], c[1] + c[3])):
+    docs = docs.select("doc_id", "text")
+    half = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")
+    marks = cut(labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    counts = cut(count(labelled(docs, marks).withColumn("key", F.col("toxic") + 2 * half), True))
+    classes = {r[0] for r in counts.select(F.col("key") % 2).distinct().collect()}
+    if len(classes) < 2:
         known = marks.agg(F.avg("toxic")).first()[0] or 0.0
-        scored = out.select("doc_id", F.lit(float(known)).alias("score"))
+        scored = docs.select("doc_id", F.lit(float(known)).alias("score"))
     else:
-        halves = [spark.sparkContext.broadcast(ratio(c[2 * k], c[2 * k + 1])) for k in (1, 0)]  # each half is scored by the other
-        found = []
-        for k in (0, 1):
-            own = score(rows.filter(half == k), _features, True, halves[k], FEATURES)
-            for y in (0, 1):
-                found.append(own.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2).select("toxic", *FEATURES))
-        fit = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).toArrow()
-        w = _fit(np.column_stack([fit.column(f).to_numpy() for f in FEATURES]), fit.column("toxic").to_numpy().astype(np.float64))
-        sent = spark.sparkContext.broadcast(ratio(c[0] + c[2], c[1] + c[3]))
-
-        def fn(table_, code, chars, symbol):
-            x = np.column_stack(_features(table_, code, chars, symbol))
-            return [1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))]
-
-        scored = score(out, fn, True, sent, ["score"])
+
+        def features(values, chars, s, batch):
+            of = np.repeat(batch.column("__half").to_numpy(), np.diff(chars))
+            return [*_features(values[2], chars, s), *_features(np.where(of == 0, values[0], values[1]), chars, s)]
+
+        strange = [f"{f}_strange" for f in FEATURES]
+        read = docs.withColumn("__half", half)
+        found = cut(score(read, cut(differences(counts)), 3, ((ORDER,), _found), features, [*FEATURES, *strange], True, ["doc_id"], bound))
+        known = labelled(found, marks)
+        first = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", *strange).limit(fit_rows).select("toxic", *strange) for y in (0, 1)]
+        fit = first[0].unionByName(first[1]).toArrow()
+        w = _fit(np.column_stack([fit.column(f).to_numpy() for f in strange]), fit.column("toxic").to_numpy().astype(np.float64))
+        x = sum((F.lit(float(k)) * F.col(f) for k, f in zip(w[1:], FEATURES)), F.lit(float(w[0])))
+        scored = found.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -8,53 +8,171 @@ import numpy as np
 from quillon.llm import charlm, quality, toxicity
 
 
-def naive(texts, size, fold):
-    """Interpolated modified Kneser-Ney of order 4, by dictionaries."""
-    grams = []
+N = charlm.ORDER
+
+
+def symbols(text, fold):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return charlm.symbols(raw, np.array([0, len(raw)]), fold)[0].tolist()
+
+
+def packed(texts, fold=False):
+    """n-grams of ORDER symbols, padded at the start."""
+    out = []
     for t in texts:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        s = charlm.symbols(raw, np.array([0, len(raw)]), fold)[0].tolist()
-        s = [0, 0, 0, *s]
-        grams += [tuple(s[i : i + 4]) for i in range(len(s) - 3)]
-    c = {4: Counter(grams)}
-    for n in (3, 2, 1):
-        c[n] = Counter(g[1:] for g in c[n + 1])
-    cuts = {}
-    for n in c:
-        k = Counter(c[n].values())
-        y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0.5
-        cuts[n] = [0, *(min(j, max(0, j - (j + 1) * y * k[j + 1] / k[j])) if k[j] else min(0.5, j) for j in (1, 2, 3))]
-    by = {n: defaultdict(Counter) for n in c}
-    for n in c:
-        for g, v in c[n].items():
-            by[n][g[:-1]][g[-1]] = v
+        s = [0] * (N - 1) + symbols(t, fold)
+        out.append([tuple(s[i : i + N]) for i in range(len(s) - N + 1)])
+    return out
 
-    def p(g):
-        n = len(g)
-        lower = p(g[1:]) if n > 1 else 1 / size
-        own = by[n].get(g[:-1])
+
+def discounts(counts):
+    k = Counter(counts.values())
+    y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0.5
+    return [0, *(min(j, max(0, j - (j + 1) * y * k[j + 1] / k[j])) if k[j] else min(0.5, j) for j in (1, 2, 3))]
+
+
+class Level:
+    """One order: discounted counts over contexts."""
+
+    def __init__(self, counts):
+        self.cut, self.by = discounts(counts), defaultdict(Counter)
+        for g, v in counts.items():
+            self.by[g[:-1]][g[-1]] = v
+
+    def p(self, g, lower):
+        own = self.by.get(g[:-1])
         if not own:
             return lower
-        total = sum(own.values())
-        cut = cuts[n]
-        return (max(own[g[-1]] - cut[min(own[g[-1]], 3)], 0) + sum(cut[min(v, 3)] for v in own.values()) * lower) / total
+        return (max(own[g[-1]] - self.cut[min(own[g[-1]], 3)], 0) + sum(self.cut[min(v, 3)] for v in own.values()) * lower) / sum(own.values())
+
+
+def naive(grams):
+    """Interpolated modified Kneser-Ney by dictionaries; the orders below the highest by continuation counts."""
+    c = {N: Counter(grams)}
+    for n in range(N - 1, 0, -1):
+        c[n] = Counter(g[1:] for g in c[n + 1])
+    level, size = {n: Level(c[n]) for n in c}, len(c[1]) + 1
+
+    def p(g):
+        return level[len(g)].p(g, p(g[1:]) if len(g) > 1 else 1 / size)
+
+    return p
+
 
-    return grams, p
+def half(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").selectExpr("i", "pmod(xxhash64(coalesce(t, '')), 2) AS h").collect()
+    return [h for _, h in sorted(map(tuple, rows))]
 
 
-def test_model_against_dictionaries(spark):
+ODD = "abc é.A1\n今天好かй𝒳"
+
+
+def test_perplexity_against_dictionaries(spark):
     r = random.Random(1)
-    texts = ["".join(r.choice("abc é.A1\n") for _ in range(r.randint(0, 60))) for _ in range(20)]
-    df = spark.createDataFrame([(t, 0) for t in [*texts, None]], "text string, key int").repartition(3)
-    size = charlm.alphabet(False)[0]
-    c = charlm.dense(charlm.count(df, "key", 1, False), 1, False)[0]
-    model = charlm.kneser_ney(c, size)
-    grams, p = naive(texts, size, False)
-    assert c.sum() == len(grams)
-    for g in [*grams[:200], (6, 7, 8, 9), (1, 1, 1, 1), (0, 0, 0, 6)]:
-        code = ((g[0] * size + g[1]) * size + g[2]) * size + g[3]
-        assert abs(math.exp(model[code]) - p(g)) < 1e-6
-    assert np.allclose(np.exp(model.astype(np.float64)).reshape(-1, size).sum(1), 1, atol=1e-4)
+    texts = ["".join(r.choice(ODD) for _ in range(r.randint(0, 60))) for _ in range(30)] + ["今天天气很好" * 9, "zzz"]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in range(24)], "doc_id long")
+    halves, all_grams = half(spark, texts), packed(texts)
+    p = {h: naive([g for i in range(24) if halves[i] != h for g in all_grams[i]]) for h in (0, 1)}
+    # by broadcast entries and by sharded joins in small blocks
+    charlm.BLOCK_BYTES, was = 200, charlm.BLOCK_BYTES
+    try:
+        for bound in (charlm.BOUND, 0):
+            got = {x["doc_id"]: x for x in quality.perplexities(docs, trusted, ["doc_id"], bound).collect()}
+            assert len(got) == len(texts) + 1 and got[99]["log_perplexity"] is None
+            for i, g in enumerate(all_grams):
+                if g:
+                    want = -sum(math.log(p[halves[i]](x)) for x in g) / len(g)
+                    assert abs(got[i]["log_perplexity"] - want) < 1e-4 and got[i]["n_chars_scored"] == len(g)
+                else:
+                    assert got[i]["log_perplexity"] is None
+    finally:
+        charlm.BLOCK_BYTES = was
+
+
+def test_bounds_against_a_plain_version(spark):
+    docs, labels, known = corpus(spark, 300)
+    rows = [x.asDict() for x in quality.judged(docs, labels, low=0.05, high=0.9, enough=20).collect()]
+    text = {x["doc_id"]: x["text"] for x in docs.collect()}
+    good = {i for i, q, _ in known if q}
+
+    def kind(x):
+        n = max(len(text[x["doc_id"]]), 1)
+        return x["lang"], max(0, min(4, int(math.log2(n) // 2) - 2))
+
+    seen = 0
+    for x in rows:
+        if x["log_perplexity"] is None:
+            continue
+        cell = sorted(y["log_perplexity"] for y in rows if y["doc_id"] in good and y["log_perplexity"] is not None and kind(y) == kind(x))
+        if len(cell) >= 20:
+            seen += 1
+            at = lambda q: cell[max(0, math.ceil(q * len(cell)) - 1)]  # noqa: B023, E731
+            assert abs(x["lower"] - (at(0.05) - quality.SLACK)) < 1e-9 and abs(x["upper"] - (at(0.9) + quality.SLACK)) < 1e-9
+            assert x["kept"] == (x["lower"] <= x["log_perplexity"] <= x["upper"])
+    assert seen > 200
+
+
+def test_differences_against_dictionaries(spark):
+    """Both classes' models over the shared lower orders, for n-grams seen and unseen."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcd é\n今好") for _ in range(r.randint(1, 50))) for _ in range(40)]
+    toxic, halves, all_grams = [int(i % 3 == 0) for i in range(30)], half(spark, texts), packed(texts, True)
+    docs = spark.createDataFrame([(t, toxic[i] + 2 * halves[i]) for i, t in enumerate(texts[:30])], "text string, key int")
+    entries = toxicity.differences(charlm.count(docs, True).repartition(3)).collect()
+    have = {(e["k"], e["a"], e["b"]): e["v"] for e in entries}
+    for m, own in ((0, [i for i in range(30) if halves[i] == 1]), (1, [i for i in range(30) if halves[i] == 0]), (2, range(30))):
+        tops = [Counter(g for i in own if toxic[i] == y for g in all_grams[i]) for y in (0, 1)]
+        shared = {}
+        c = set(tops[0]) | set(tops[1])
+        for n in range(N - 1, 0, -1):
+            shared[n] = Counter(g[1:] for g in c)
+            c = shared[n].keys()
+        level, size = {n: Level(x) for n, x in shared.items()}, len(shared[1]) + 1
+
+        def lower(g):
+            return level[len(g)].p(g, lower(g[1:]) if len(g) > 1 else 1 / size)  # noqa: B023
+
+        of = [Level(x) for x in tops]
+        for g in {g for x in all_grams for g in x}:
+            want = math.log(of[1].p(g, lower(g[1:]))) - math.log(of[0].p(g, lower(g[1:])))
+            a, b = g[1] | g[0] << 21, g[4] | g[3] << 21 | g[2] << 42
+            v = have.get((N, a, b), [math.nan] * 3)[m]
+            if math.isnan(v):
+                v = have.get((N - 1, a >> 21, b >> 21 | (a & (2**21 - 1)) << 42), [math.nan] * 3)[m]
+                v = 0.0 if math.isnan(v) else v
+            assert abs(v - want) < 1e-4
+
+
+def test_scores_by_shards_are_the_same(spark):
+    docs, labels, _ = corpus(spark, 200)
+    charlm.BLOCK_BYTES, was = 5000, charlm.BLOCK_BYTES
+    try:
+        one, other = ({x["doc_id"]: x["score"] for x in toxicity.toxicity(docs, labels, bound=b).collect()} for b in (charlm.BOUND, 0))
+    finally:
+        charlm.BLOCK_BYTES = was
+    assert one.keys() == other.keys() and all(abs(one[i] - other[i]) < 1e-9 for i in one)
+
+
+def test_a_script_beyond_latin(spark):
+    """Junk in Chinese is told from Chinese text, toxic Chinese from ordinary."""
+    r = random.Random(9)
+    words = ["".join(chr(0x4E00 + r.randint(0, 500)) for _ in range(2)) for _ in range(150)]
+    spam = [chr(0x7000 + k) for k in range(300)]
+    bad = ["毒恶骂", "臭坏蛋"]
+    rows, labels = [], []
+    for i in range(400):
+        w = [r.choice(words) for _ in range(r.randint(30, 60))]
+        if i % 5 == 0:
+            w[::10] = [r.choice(bad) for _ in w[::10]]
+        rows.append((i, "".join(w) + "。" if i % 8 else "".join(r.choice(spam) for _ in range(90)), "zh"))
+        labels.append((i, int(i % 8 != 0), int(i % 5 == 0 and i % 8 != 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {x["doc_id"]: x["kept"] for x in quality.judged(docs, marks, enough=50).collect()}
+    assert not any(kept[i] for i, q, _ in labels if not q) and sum(kept[i] for i, q, _ in labels if q) > 340
+    out = [x for x in toxicity.toxicity(docs, marks).collect() if x["held_out"]]
+    truth = {i: t for i, _, t in labels}
+    assert sum(x["predicted"] == truth[x["doc_id"]] for x in out) / len(out) > 0.95
 
 
 def corpus(spark, n=900):
@@ -98,6 +216,16 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_long_texts_and_clashing_names(spark):
+    text = "kalo miter un ka. " * 20_000
+    docs = spark.createDataFrame([(1, text, "en", 1, 2, "x"), (2, text[:-5], "en", 1, 2, "y"), (3, None, None, None, None, None)], "doc_id long, text string, lang string, `__half` int, n_chars_scored int, m string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == [1, 2, 3]
+    assert sorted(x["doc_id"] for x in toxicity.toxicity(docs, labels).collect()) == [1, 2, 3]
+    assert quality.accepted(docs.limit(0), labels).count() == 0
+
+
 def test_quality(spark):
     docs, labels, known = corpus(spark)
     out = quality.judged(docs, labels, enough=50)
