@@ -203,12 +203,15 @@ def _discounted(counts: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "a", "b", "ca", "cb", "c", (F.greatest(c - F.col("off"), F.lit(0.0)) / total).alias("p"), (F.sum("off").over(own) / total).alias("rest"))
 
 
-def levels(top: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """top (m, a, b: distinct n-grams of model m) -> the orders below ORDER, by continuation counts: a table (m, k, a, b, ca, cb, p, rest, prob), and m with its number of symbols."""
+def levels(top: DataFrame, shared: int = 0) -> tuple[DataFrame, DataFrame]:
+    """top (m, a, b: distinct n-grams of model m) -> the orders below ORDER, by continuation counts: a table (m, k, a, b, ca, cb, p, rest, prob), and m with its number of symbols. The orders up to `shared` count what models 2 m and 2 m + 1 have together."""
     last, found = top.select("m", "a", "b"), []
     for k in range(ORDER, 1, -1):
+        if k - 1 == shared:
+            last = last.select(F.floor(F.col("m") / 2).cast("int").alias("m"), "a", "b").distinct()
         last = last.select("m", *_suffix(k)).groupBy("m", "a", "b").agg(F.count(F.lit(1)).alias("c"))
-        found.append(last.select("m", F.lit(k - 1).alias("k"), "a", "b", "c"))
+        both = last.withColumn("m", F.explode(F.array(2 * F.col("m"), 2 * F.col("m") + 1))) if k - 1 <= shared else last
+        found.append(both.select("m", F.lit(k - 1).alias("k"), "a", "b", "c"))
     table = found[0]
     for more in found[1:]:
         table = table.unionByName(more)
@@ -235,9 +238,9 @@ def with_lower(top: DataFrame, below: DataFrame) -> DataFrame:
     return top.select("*", sa.alias("sa"), sb.alias("sb")).join(lower, ["m", "sa", "sb"]).drop("sa", "sb")
 
 
-def kneser_ney(counts: DataFrame, models: int) -> tuple[DataFrame, list[float]]:
-    """counts (m, a, b, n) -> entries (k, a, b, v): by n-gram of k symbols v holds, for each model, its log probability and the log of the share that contexts leave (NaN where unseen); the models' log probabilities of a symbol never seen, without that share."""
-    below, size = levels(counts)
+def kneser_ney(counts: DataFrame, models: int, shared: int = 0) -> tuple[DataFrame, list[float]]:
+    """counts (m, a, b, n; a table) -> entries (k, a, b, v): by n-gram of k symbols v holds, for each model, its log probability and the log of the share that contexts leave (NaN where unseen); the models' log probabilities of a symbol never seen, without that share."""
+    below, size = levels(counts, shared)
     top = _discounted(counts.select("m", F.lit(ORDER).alias("k"), "a", "b", F.col("n").alias("c")), "m", "k")
     top = with_lower(top, below).withColumn("prob", F.col("p") + F.col("rest") * F.col("lower"))
     columns = ["m", "k", "a", "b", "ca", "cb", "rest", "prob"]

@@ -6,7 +6,8 @@ of the half it doesn't belong to, so that trusted texts are as strange to their
 model as others are. Each document's perplexity a character is then held
 against bounds for its language and length class, which are quantiles of the
 trusted documents' perplexities. A document beyond the upper bound reads unlike
-trusted text, one below the lower bound repeats itself.
+trusted text, one below the lower bound repeats itself. The upper bound gives way by
+what one unknown word can cost, shared among the text's characters.
 
 Texts are read once: scores are written to a table, of which the bounds and the
 verdicts are made.
@@ -38,6 +39,8 @@ from .common import cut, free, guarded, labelled, sized, table
 LOW, HIGH, ENOUGH = 0.001, 0.995, 200
 #: Slack beyond the quantiles, in nats a character: bounds of small classes are rough.
 SLACK = 0.05
+#: Nats that a text may have beyond the upper bound in all: what one word that the model doesn't know can cost. It keeps short texts, where a word decides.
+ONE_WORD = 30.0
 #: Confidence of the tolerance limits; documents' worth of the spread within all languages that is added to a small one's own.
 CONFIDENCE, PRIOR = 0.95, 3
 
@@ -88,7 +91,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: list[str], bound: in
     return out.withColumn("log_perplexity", F.when(~F.isnan("log_perplexity"), F.col("log_perplexity")))
 
 
-def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH, slack: float = SLACK, keep_text: bool = False, bound: int = BOUND) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH, slack: float = SLACK, one_word: float = ONE_WORD, keep_text: bool = False, bound: int = BOUND) -> DataFrame:
     """docs (without the text unless keep_text) with log_perplexity, lower, upper and kept."""
     trusted = cut(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__q")).filter("__q = 1").select("doc_id"))
     keep = [c for c in docs.columns if keep_text or c != "text"]
@@ -113,7 +116,7 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     # least() and greatest() pass over nulls
     lower = F.when(whole, F.col("__lo0")).otherwise(F.coalesce(F.least("__lo0", "__lo1"), rest[0]))
     upper = F.when(whole, F.col("__hi0")).otherwise(F.coalesce(F.greatest("__hi0", "__hi1"), rest[1]))
-    scored = scored.withColumn("lower", lower - slack).withColumn("upper", upper + slack)
+    scored = scored.withColumn("lower", lower - slack).withColumn("upper", upper + slack + one_word / F.greatest("n_chars_scored", F.lit(1.0)))
     kept = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
     free(trusted)
     return scored.withColumn("kept", kept).select(*keep, "log_perplexity", "lower", "upper", "kept")

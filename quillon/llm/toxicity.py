@@ -1,10 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary labelled texts, share the backoff counts
-of both: an n-gram rare in a class is smoothed by the same lower orders. Where
-a class and its contexts haven't seen an n-gram, the shared part cancels, so
-the difference of the log-likelihoods needs the entries of n-grams and contexts
-that were seen. A document's features are length-normalised differences of log-likelihood: a
+of both: orders of three symbols and more are a class's own, and an expression
+rare in a class is smoothed by shared counts of one and two symbols. (Were more
+orders shared, a toxic word would be as likely in the class that never has it.)
+A document's features are length-normalised differences of log-likelihood: a
 character over the whole text, and a character over its most toxic words (the
 best word, and the words' excess over a margin). A logistic curve over them,
 fitted on labelled rows, gives the score.
@@ -24,14 +24,16 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .charlm import BOUND, NEWLINE, ORDER, SPACE, _context, _discounts, count, levels, score, sums, with_lower
+from .charlm import BOUND, NEWLINE, SPACE, count, kneser_ney, probabilities, score, sums
 from .common import cut, labelled, table
 
-FIT_ROWS, THRESHOLD, MARGIN = 20_000, 0.7, 4.0
+FIT_ROWS, THRESHOLD, MARGIN, SHARED = 20_000, 0.7, 4.0, 2
 FEATURES = ["f_mean", "f_best", "f_excess"]
 
 
@@ -75,33 +77,19 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def differences(counts: DataFrame) -> DataFrame:
-    """counts (key: toxic + 2 * half, a, b, n) -> entries (k, a, b, v): v has, for texts of half 0, of half 1 and for all, the difference of log probabilities of an n-gram (k = ORDER), or of the shares that a context leaves to the shared backoff (k = ORDER - 1); NaN where unseen."""
-    half = F.floor(F.col("key") / 2)
-    n = lambda toxic: F.coalesce(F.sum(F.when(F.col("key") % 2 == toxic, F.col("n"))), F.lit(0))
-    top = counts.withColumn("m", F.explode(F.array(1 - half, F.lit(2).cast("bigint")))).groupBy("m", "a", "b").agg(n(0).alias("c0"), n(1).alias("c1"))
-    top = cut(top.select(F.col("m").cast("int").alias("m"), "a", "b", "c0", "c1"))
-    below, _ = levels(top)
-    rows = with_lower(top, below).select("m", "a", "b", *_context(), "c0", "c1", "lower")
-    own = Window.partitionBy("m", "ca", "cb")
-    for x in (0, 1):
-        c = F.col(f"c{x}")
-        rows = rows.join(F.broadcast(_discounts(top.select("m", c.alias("c")), "m")), "m")
-        off = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).when(c > 2, F.col("d3")).otherwise(0.0)
-        total = F.sum(c).over(own)
-        rest = F.when(total > 0, F.sum(off).over(own) / total).otherwise(1.0)
-        seen = F.when(total > 0, F.greatest(c - off, F.lit(0.0)) / total).otherwise(0.0)
-        rows = rows.withColumn(f"rest{x}", rest).withColumn(f"p{x}", seen + F.col(f"rest{x}") * F.col("lower")).drop("d1", "d2", "d3")
-    log = lambda x: F.log(F.greatest(F.col(x), F.lit(1e-12)))
-    grams = rows.select("m", F.lit(ORDER).alias("k"), "a", "b", (log("p1") - log("p0")).alias("r"))
-    contexts = rows.select("m", F.lit(ORDER - 1).alias("k"), F.col("ca").alias("a"), F.col("cb").alias("b"), (log("rest1") - log("rest0")).alias("r"))
-    of = lambda m: F.coalesce(F.max(F.when(F.col("m") == m, F.col("r"))), F.lit(float("nan"))).cast("float")
-    return grams.unionByName(contexts).groupBy("k", "a", "b").agg(F.array(*map(of, range(3))).alias("v"))
-
-
-def _found(found):
-    gram, context = found[0]
-    return np.where(np.isnan(gram), np.nan_to_num(context, nan=0.0), gram)
+def models(counts: DataFrame, shared: int = SHARED) -> tuple[DataFrame, tuple[tuple[int, ...], Callable]]:
+    """counts (key: toxic + 2 * half, a, b, n) -> entries of six models (ordinary and toxic, for texts of half 0, of half 1, and for all), and what makes the classes' differences of log probabilities of them, one for each of the three."""
+    half, toxic = F.floor(F.col("key") / 2), F.col("key") % 2
+    dealt = counts.withColumn("to", F.explode(F.array(1 - half, F.lit(2).cast("bigint"))))
+    dealt = cut(dealt.select((2 * F.col("to") + toxic).cast("int").alias("m"), "a", "b", "n").groupBy("m", "a", "b").agg(F.sum("n").alias("n")))
+    entries, unseen = kneser_ney(dealt, 6, shared)
+    orders, fn = probabilities(unseen)
+
+    def difference(found):
+        p = fn(found)
+        return p[:, 1::2] - p[:, 0::2]
+
+    return cut(entries), (orders, difference)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, bound: int = BOUND) -> DataFrame:
@@ -122,7 +110,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, thres
 
         strange = [f"{f}_strange" for f in FEATURES]
         read = docs.withColumn("__half", half)
-        found = cut(score(read, cut(differences(counts)), 3, ((ORDER,), _found), features, [*FEATURES, *strange], True, ["doc_id"], bound))
+        entries, of_grams = models(counts)
+        found = cut(score(read, entries, 12, of_grams, features, [*FEATURES, *strange], True, ["doc_id"], bound))
         known = labelled(found, marks)
         first = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", *strange).limit(fit_rows).select("toxic", *strange) for y in (0, 1)]
         fit = first[0].unionByName(first[1]).toArrow()
