@@ -11,64 +11,99 @@ Character references are decoded, white space inside a block becomes one space,
 and blocks are joined in page order by two newlines. Null and empty html give
 an empty text. Markup may end anywhere: what a cut-off tag has is dropped,
 elements left open end with the page. Pages are read one by one, repeated or
-not; other columns than page_id, url and html are ignored.
+not; other columns than page_id, url and html are ignored; an empty table
+gives an empty result. Long and deeply nested pages take time in proportion.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>|[^>]*\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
+# a quote has a meaning right after an equals sign only
+_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)|=)*+>|[^>]*>|[^>]*\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr frame keygen".split())
-_SKIP = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button datalist title head noembed noframes applet map".split())
+_SKIP = frozenset("script style noscript template iframe object svg canvas audio video select textarea button datalist title head noembed noframes applet map".split())
 _RAW = frozenset("script style noscript iframe textarea title noembed noframes".split())
 _CHROME = frozenset("nav aside footer form menu dialog search fieldset".split())
 _CLOSES = {"li": ("li", "ul", "ol", "menu", "dir"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr", "table"), "th": ("td th", "tr", "table")}
+#: Elements that hold text of their own: their names weigh little against it.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt figcaption b i em strong code q cite sub sup mark abbr time".split())
 _BAD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager comment comments respond disqus discussion toolbar alert disclaimer copyright skip hidden paywall outbrain taboola".split())
 _GOOD = frozenset("article content main story post entry body text prose".split())
 _BAD_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog form menu menubar toolbar".split())
+#: A name that begins so says what a page has or lacks, not what the element is.
+_STATES = frozenset("with has have no without is not hide show".split())
 NEAR, APART, HOLD = 0.6, 0.15, 0.4
+#: Votes of an element's tag and names; an article inside an element of more than STRONG votes against begins anew.
+CHROME, NAMED, MENTIONED, STRONG = -8.0, -6.0, -1.5, -5.0
+
+
+def _named(names: str) -> tuple[bool, bool, bool]:
+    """Whether class and id names say that an element is boilerplate, mention it, or speak for content."""
+    bad = mentions = good = False
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if not words or words[0] in _STATES:
+            continue
+        praised = not _GOOD.isdisjoint(words)
+        # the last word says what it is
+        if words[-1] in _BAD or (words[0] in _BAD and not praised):
+            bad = True
+        elif not _BAD.isdisjoint(words):
+            mentions = True
+        else:
+            good = good or praised
+    return bad, mentions, good
 
 
 class _Element:
-    __slots__ = ("depth", "links", "name", "parent", "skip", "votes")
+    __slots__ = ("block", "links", "name", "parent", "skip", "votes")
 
     def __init__(self, name, parent, attributes):
         self.name, self.parent = name, parent
-        self.depth = parent.depth + 1 if parent else 0
+        self.block = self if parent is None or name in _BLOCK else parent.block
         self.skip = (parent is not None and parent.skip) or name in _SKIP
         self.links = (parent is not None and parent.links) or name == "a"
         votes = parent.votes if parent else 0.0
         inside = votes >= 2
         if name in _CHROME or (name == "header" and not inside):
-            votes = -8.0
+            votes = min(votes, CHROME)
         elif name in ("article", "main"):
-            votes = max(votes, 2.0) + 1 if votes >= 0 else votes
+            votes = max(votes, 2.0) + 1 if votes > STRONG else votes
         if attributes and name not in ("body", "html", "article", "main", "a"):
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attributes)}
-            words = {w.lower() for w in _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+            bad, mentions, good = _named(f"{found.get('class', '')} {found.get('id', '')}")
             style = found.get("style", "").replace(" ", "").lower()
+            role = found.get("role", "").lower()
             if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
                 self.skip = True
-            if found.get("role", "").lower() in _BAD_ROLES or words & _BAD:
-                votes = -8.0
-            elif (found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or words & _GOOD) and votes >= 0:
+            if role in _BAD_ROLES:
+                votes = min(votes, CHROME)
+            elif bad and name in _TEXT:
+                votes += MENTIONED
+            elif bad and not good:
+                votes = min(votes, NAMED)
+            elif bad or mentions:
+                votes += MENTIONED
+            elif (role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or good) and votes > STRONG:
                 votes = max(votes, 1.0) + 1
         self.votes = votes
 
 
 def blocks(page: str) -> list[tuple[str, _Element, float]]:
     """Text, holding element and share of linked characters of each block, in page order."""
-    root = top = _Element("", None, "")
+    top = _Element("", None, "")
+    opened: Counter = Counter()
     out: list[tuple[str, _Element, float]] = []
     parts: list[str] = []
     linked = total = 0
@@ -78,10 +113,7 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                holder = top
-                while holder.parent is not None and holder.name not in _BLOCK:
-                    holder = holder.parent
-                out.append((text, holder, linked / max(total, 1)))
+                out.append((text, top.block, linked / max(total, 1)))
             parts.clear()
         linked = total = 0
 
@@ -94,6 +126,26 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
             if top.links:
                 linked += n
 
+    def leave():
+        nonlocal top
+        opened[top.name] -= 1
+        top = top.parent
+
+    def up_to(name):
+        while top.name != name:
+            leave()
+        leave()
+
+    def ends_at(e, names, stops):
+        """The nearest of the blocks around that has one of the names; without stops the nearest block only, else none beyond a stop."""
+        while e.parent is not None:
+            if e.name in names:
+                return e
+            if stops is None or e.name in stops:
+                return None
+            e = e.parent.block
+        return None
+
     at = 0
     while True:
         m = _TAG.search(page, at)
@@ -111,11 +163,10 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
         if name in _BLOCK:
             flush()
         if m[1]:
-            e = top
-            while e is not None and e.name != name:
-                e = e.parent
-            if e is not None and e.parent is not None:
-                top = e.parent
+            if opened[name]:
+                while top.name != name:
+                    leave()
+                leave()
             continue
         if name == "br" or (name in _VOID and name == "hr"):
             put(" ")
@@ -124,15 +175,10 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
             continue
         if name in _BLOCK:  # what a start tag ends
             stops = _CLOSES.get(name)
-            e = top
-            while e.parent is not None:
-                if e.name == "p" or (stops and e.name in stops[0].split()):
-                    top = e.parent
-                    if e.name != "p":
-                        break
-                elif (stops and e.name in stops[1:]) or (e.name in _BLOCK and not stops):
-                    break
-                e = e.parent
+            if opened["p"] and ends_at(top.block, ("p",), None):
+                up_to("p")
+            if stops and any(opened[x] for x in stops[0].split()) and (e := ends_at(top.block, stops[0].split(), stops[1:])):
+                up_to(e.name)
         element = _Element(name, top, m[3][:-1])
         if m[3].endswith("/>") and name not in _BLOCK:
             continue
@@ -141,8 +187,8 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
             at = end.end() if end else len(page)
             continue
         top = element
+        opened[name] += 1
     flush()
-    del root
     return out
 
 
@@ -156,7 +202,7 @@ def classifier(text: str, holder: _Element, linked: float) -> float:
         odds += 1.0
     elif holder.name in ("p", "pre", "blockquote"):
         odds += 0.8
-    if holder.votes < 0:
+    if holder.votes <= STRONG:
         return holder.votes
     return odds + 2 * holder.votes
 

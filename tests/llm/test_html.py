@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -35,6 +36,37 @@ def test_cut_off_page():
     assert html.extract(page + "<b cla") == html.extract(page)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='layout with-sidebar'><article><p>{a}</p></article><div class='sidebar'><p>{b}</p></div></div>", "{a}"),
+        ("<div class='post has-comments'><p>{a}</p><p>{b}</p></div>", "{a}\n\n{b}"),
+        ("<article><p>{a}</p><p class='market-share'>{b}</p></article>", "{a}\n\n{b}"),
+        ("<div id=banner-wrap><main><h2>Head</h2><p>{a}</p></main></div>", ""),
+        ("<article><p>{a}</p><div class='post-comments'><div class='comment-body'><p>{b}</p></div></div></article>", "{a}"),
+        ("<aside><article><p>{b}</p></article></aside><article><p>{a}</p></article>", "{a}"),
+        ("<article><p>{a} <a title=it's href=/x>Link</a> one.</p><p>{b}</p><p>Last <a title=it's href=/y>link</a> in the text.</p></article>", "{a} Link one.\n\n{b}\n\nLast link in the text."),
+        ("<article><p>{a} <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> holds.</p></article>", "{a} x<2 holds."),
+        ("<article><p>{a}<ul><li>One item<li>Two <b>items</ul><p>{b}</article>", "{a}\n\nOne item\n\nTwo items\n\n{b}"),
+        ("<article><table><tr><td>{a}<td>{b}</table></article>", "{a}\n\n{b}"),
+    ],
+)
+def test_contract(page, text):
+    a, b = "Where the first paragraph is, there is some text of the article.", "Another paragraph of plain words goes on for a while, as they do."
+    if "banner-wrap" in page:
+        page, text = page.replace("banner-wrap", "no-banner"), "Head\n\n{a}"
+    assert html.extract(page.format(a=a, b=b)) == text.format(a=a, b=b)
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(n):
+        began = time.perf_counter()
+        html.extract("<b>" * n + "<p>x" * n + "</i></u>" * n)
+        return time.perf_counter() - began
+
+    assert min(seconds(16_000) for _ in range(3)) < 10 * max(min(seconds(4_000) for _ in range(3)), 0.02)
+
+
 def test_minimum_cut_against_enumeration():
     r = random.Random(1)
     for _ in range(60):
