@@ -6,16 +6,18 @@ its component parallel to the vector weighted by `eta`, which keeps large inner
 products exact where it matters. A query's inner products with all centroids
 make tables; two codes share a byte, so a scan adds up one table entry for each
 four dimensions. The squared norms, kept exactly, turn inner products into
-Euclidean distances. Each task's best `rerank` codes of a query are ranked
-again by the distance of the original vectors in double precision.
+Euclidean distances. Of each batch a query's best `rerank` codes, and all that
+tie with the last of them, are ranked again by the distance of the original
+vectors in double precision. Of vectors that are the same in a batch the first
+k + 1 by vec_id stand for all: the others can't be among a query's k nearest.
 
 The codebooks are fitted on at most `sample` vectors (the first by hash of
-vec_id); every vector is encoded and scanned. Queries are sent in blocks of at
-most `block` vectors, a pass over the vectors for each block.
+vec_id); every vector is encoded, once, and scanned. Queries are sent in blocks
+of at most `block` vectors, a pass over the codes for each block.
 
 Vectors that are null, zero, or hold null or non-finite components take no
-part, nor do those of another dimension than most have. Equal distances are
-ranked by vec_id. A repeated vec_id counts once as a query (the smallest of its
+part. Vectors of another dimension are searched among themselves, each
+dimension with codebooks of its own. Equal distances are ranked by vec_id. A repeated vec_id counts once as a query (the smallest of its
 vectors) and row by row as a candidate; rows with the query's own id are no
 candidates of it. Rows with a null id take no part.
 """
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, cut, table
 
 EVERY, K, RERANK, SAMPLE, BLOCK, THRESHOLD = 100, 10, 100, 8192, 8192, 0.2
 CENTROIDS, WIDTH = 16, 2
@@ -126,55 +128,92 @@ def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, rerank: int = RERANK, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     vectors, queries = usable(vectors), usable(queries)
-    result_schema = "query_id bigint, vec_id bigint, score double"
-    dims = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    out = spark.createDataFrame([], _RESULT)
+    # a row a dimension, and one pass for each
+    for (d,) in vectors.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect():
+        own = (x.filter(F.size("embedding") == d) for x in (vectors, queries))
+        out = out.unionByName(_found(*own, d, k, rerank, sample, block))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+_RESULT = "query_id bigint, vec_id bigint, score double"
+
+
+def _found(vectors: DataFrame, queries: DataFrame, d: int, k: int, rerank: int, sample: int, block: int) -> DataFrame:
+    """Of vectors of dimension d: each task's nearest k of each query."""
+    spark = vectors.sparkSession
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    fit = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).toArrow()
+    sent = spark.sparkContext.broadcast(Quantiser(_matrix(fit.column("embedding"), d)))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+
+    def encode(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                x = _matrix(batch.column("embedding"), d)
+                code, norm = sent.value.encode(x), ((x.astype(np.float64) ** 2).sum(1) / 2).astype(np.float32)
+                codes = pa.array([c.tobytes() for c in code], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), codes, pa.array(norm)], names=["vec_id", "embedding", "code", "norm"])
+
+    coded = vectors.mapInArrow(encode, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, embedding {kind}, code binary, norm float")
+    parts = max(1, math.ceil(queries.count() / block))
+    if parts > 1:
+        coded = cut(coded)
     found = []
-    if dims is not None:
-        d = dims["d"]
-        vectors, queries = (x.filter(F.size("embedding") == d) for x in (vectors, queries))
-        queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-        fit = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).toArrow()
-        sent = spark.sparkContext.broadcast(Quantiser(_matrix(fit.column("embedding"), d)))
-        parts = max(1, math.ceil(queries.count() / block))
-        for part in range(parts):
-            q = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).toArrow()
-            asked = spark.sparkContext.broadcast((q.column("vec_id").to_numpy(), _matrix(q.column("embedding"), d)))
-
-            def run(batches, asked=asked):
-                quantiser = sent.value
-                own, q = asked.value
-                kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(own)
-                for whole in batches:
-                    for at in range(0, whole.num_rows, 4096):
-                        batch = whole.slice(at, 4096)
-                        ids, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"), d)
-                        wide = x.astype(np.float64)
-                        code, norm = quantiser.encode(x), ((wide**2).sum(1) / 2).astype(np.float32)
-                        for first in range(0, len(own), 256):
-                            t = quantiser.tables(q[first : first + 256])
-                            near = np.repeat(-norm[None], len(t), axis=0)
-                            for j in range(code.shape[1]):
-                                near += t[:, j][:, code[:, j]]
-                            near[own[first : first + 256, None] == ids[None]] = -np.inf
-                            n = min(rerank, len(ids))
-                            top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                            for i in range(len(t)):
-                                c = top[i][ids[top[i]] != own[first + i]]
-                                dist = np.sqrt(((wide[c] - q[first + i].astype(np.float64)) ** 2).sum(1))
-                                dist, name = np.concatenate([kept[first + i][0], dist]), np.concatenate([kept[first + i][1], ids[c]])
-                                b = _best(dist, name, k)
-                                kept[first + i] = dist[b], name[b]
-                for i, (dist, name) in enumerate(kept):
-                    if len(dist):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dist), own[i])), pa.array(name), pa.array(dist)], names=["query_id", "vec_id", "score"])
-
-            found.append(vectors.mapInArrow(run, result_schema))
-    out = spark.createDataFrame([], result_schema) if not found else found[0]
+    for part in range(parts):
+        q = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).toArrow()
+        asked = spark.sparkContext.broadcast((q.column("vec_id").to_numpy(), _matrix(q.column("embedding"), d)))
+
+        def run(batches, asked=asked):
+            own, q = asked.value
+            quantiser = sent.value
+            kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(own)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(at, 4096)
+                    ids, x = batch.column("vec_id").to_numpy().astype(np.int64), _matrix(batch.column("embedding"), d)
+                    first = _stand(ids, x, k + 1)
+                    ids, wide = ids[first], x[first].astype(np.float64)
+                    code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(x), -1)[first]
+                    norm = batch.column("norm").to_numpy()[first]
+                    for begin in range(0, len(own), 256):
+                        t = quantiser.tables(q[begin : begin + 256])
+                        near = np.repeat(-norm[None], len(t), axis=0)
+                        for j in range(code.shape[1]):
+                            near += t[:, j][:, code[:, j]]
+                        near[own[begin : begin + 256, None] == ids[None]] = -np.inf
+                        n = min(rerank, len(ids))
+                        least = np.partition(near, len(ids) - n, axis=1)[:, len(ids) - n]
+                        for i in range(len(t)):
+                            c = np.flatnonzero((near[i] >= least[i]) & (ids != own[begin + i]))
+                            dist = np.sqrt(((wide[c] - q[begin + i].astype(np.float64)) ** 2).sum(1))
+                            dist, name = np.concatenate([kept[begin + i][0], dist]), np.concatenate([kept[begin + i][1], ids[c]])
+                            b = _best(dist, name, k)
+                            kept[begin + i] = dist[b], name[b]
+            for i, (dist, name) in enumerate(kept):
+                if len(dist):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dist), own[i]), pa.int64()), pa.array(name), pa.array(dist)], names=["query_id", "vec_id", "score"])
+
+        found.append(coded.mapInArrow(run, _RESULT))
+    out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out
+
+
+def _stand(ids: np.ndarray, x: np.ndarray, many: int) -> np.ndarray:
+    """Which rows to look at: of rows with one vector the first `many` by id."""
+    rows = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+    which = np.unique(rows, return_inverse=True)[1]
+    order = np.lexsort((ids, which))
+    sorted_ = which[order]
+    begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return order[place < many]
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

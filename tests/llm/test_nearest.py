@@ -42,6 +42,21 @@ def test_ties_odd_vectors_and_few(spark):
     assert nearest.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_a_thousand_equal_vectors_and_other_dimensions(spark):
+    """Ties go to the smaller vec_id however often a vector repeats; each dimension is searched by itself."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16)).astype(np.float32)
+    x[500:1500] = x[500]
+    short = rng.normal(size=(40, 6)).astype(np.float32)
+    v = frame(spark, [*x, *short])
+    got = {}
+    for r in sorted(nearest.search(v, v.filter("vec_id IN (500, 900, 1499, 3, 2005)")).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[500] == list(range(501, 511)) and got[900] == list(range(500, 510)) and got[1499] == list(range(500, 510))
+    assert len(set(got[3]) & set(exact(x, 3, 10)[0])) >= 9
+    assert got[2005] == [2000 + i for i in exact(short, 5, 10)[0]]
+
+
 def test_blocks_of_queries(spark):
     rng = np.random.default_rng(2)
     v = frame(spark, rng.normal(size=(300, 8)).astype(np.float32))
