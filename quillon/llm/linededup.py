@@ -14,9 +14,11 @@ more. Those are all the repeats of two lines or more, and of one long line,
 wherever a chunk would begin; what chunks find is among them. A line goes with
 any passage that stands somewhere before, so one copy of each always stays.
 
-Only hashes are grouped over the corpus. The texts of chunks whose hash repeats
-are then cut out of their documents and joined with the first's; a hot chunk is
-one row on one side of that join, which Spark can split on the other.
+Only hashes are grouped over the corpus, added up by batch before they are
+shuffled. Then the bytes are compared: each batch holds the passages of a hash
+against one another, and sends the bytes of one of them, so a hot passage is a
+row a batch. A hash all of whose bytes are the same stands for its passage; one
+with different bytes (a collision) is settled by the bytes of its occurrences.
 
 Null texts stay null and have no lines. Rows that agree in doc_id and text are
 one document: none of them makes the other a repetition. Null ids come before
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODE, each_slice, guarded, mix, rolling, span_hash, table
+from .common import BYTE_CODE, cut, each_slice, guarded, mix, rolling, sized, small, span_hash, table
 
 BOUNDARY, LEAST_LINES = 2, 2
 #: A line of so many words is a passage by itself.
@@ -121,30 +123,94 @@ def _merged(spans: list[dict]) -> list[list[int]]:
     return out
 
 
-def deduplicate(docs: DataFrame, units: Callable = _chunks) -> DataFrame:
-    """docs with its repeated chunks, or passages with units=_passages, taken out of text, and __n_lines, __n_removed. Names that begin with two underscores are its own (see clean)."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt once by document; both uses below read that exchange
-    dealt = _keyed(docs).repartition(width, "__id", "__th")
-    texts = _keyed(docs.select("doc_id", "text")).select("__id", "__th", "text")
+def _agreed(batches):
+    """Rows (text, want: places at, size, hash h) -> h, size, bytes: of each hash and size one passage, and those that differ from it."""
+    for batch, data, offsets in each_slice(batches, "text"):
+        want = batch.column("want")
+        spans = want.flatten()
+        if not len(spans):
+            continue
+        ends = want.offsets.to_numpy()
+        of = np.repeat(np.arange(len(want)), np.diff(ends))
+        at, size, h = (spans.field(c).to_numpy() for c in ("at", "size", "h"))
+        at = at + offsets[of]
+        order = np.lexsort((size, h))
+        new = np.append(True, (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1]))
+        rep = np.empty(len(order), np.int64)
+        rep[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        send = [order[new]]
+        others = np.flatnonzero(rep != np.arange(len(rep)))
+        for i in range(0, len(others), 2000):
+            x = others[i : i + 2000]
+            n = size[x]
+            end = np.cumsum(n)
+            inside = np.arange(end[-1])
+            same = data[inside + np.repeat(at[x] - end + n, n)] == data[inside + np.repeat(at[rep[x]] - end + n, n)]
+            send.append(x[~np.logical_and.reduceat(same, end - n)])
+        chosen = np.concatenate(send)
+        for i in range(0, len(chosen), 1000):
+            x = chosen[i : i + 1000]
+            raw = [data[a : a + n].tobytes() for a, n in zip(at[x].tolist(), size[x].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(h[x]), pa.array(size[x]), pa.array(raw, pa.binary())], names=["h", "size", "bytes"])
 
-    def list_chunks(batches):
+
+def _listing(units: Callable):
+    """Rows (__id, __th, text) -> their passages."""
+
+    def run(batches):
         for batch, data, offsets in each_slice(batches, "text"):
             doc, s, e, _, h = units(data, offsets)
             pick = pa.array(doc)
             yield pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__th").take(pick), pa.array(s - offsets[doc], pa.int64()), pa.array(e - s, pa.int64()), pa.array(h.view(np.int64))], names=["__id", "__th", "at", "size", "h"])
 
-    listed = texts.mapInArrow(list_chunks, "__id bigint, __th bigint, at bigint, size bigint, h bigint")
-    first = F.min(F.struct("__id", "__th", "at")).alias("first")
-    repeated = listed.groupBy("h", "size").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "size", "first")
-    candidates = listed.join(repeated, ["h", "size"]).select("__id", "__th", "h", "at", "size", (F.struct("__id", "__th", "at") == F.col("first")).alias("own"))
-    wanted = candidates.groupBy("__id", "__th").agg(F.collect_set(F.struct("at", "size", "h", "own")).alias("want"))
-    cut = dealt.select("__id", "__th", "text").join(wanted, ["__id", "__th"])
-    # at and size are bytes
-    part = lambda w: F.substring(F.col("text").cast("binary"), w["at"].cast("int") + 1, w["size"].cast("int"))
-    pieces = cut.select("__id", "__th", F.explode(F.transform("want", lambda w: F.struct(w["at"].alias("at"), w["size"].alias("size"), w["h"].alias("h"), w["own"].alias("own"), part(w).alias("bytes")))).alias("w")).select("__id", "__th", "w.*")
-    firsts = pieces.filter("own").select("h", "size", F.col("bytes").alias("first_bytes")).dropDuplicates(["h", "size"])
-    gone = pieces.filter("NOT own").join(firsts, ["h", "size"]).filter("bytes = first_bytes")
+    return run
+
+
+def _counting(units: Callable):
+    """Rows (__id, __th, text) -> h, size, the first occurrence and the number of a slice's passages."""
+
+    def run(batches):
+        for batch, data, offsets in each_slice(batches, "text"):
+            doc, s, e, _, h = units(data, offsets)
+            if not len(doc):
+                continue
+            ids, ths = (batch.column(c).to_numpy()[doc] for c in ("__id", "__th"))
+            at, size = s - offsets[doc], e - s
+            order = np.lexsort((at, ths, ids, size, h))
+            new = np.append(True, (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1]))
+            first = order[new]
+            n = np.diff(np.append(np.flatnonzero(new), len(order)))
+            columns = (h[first].view(np.int64), size[first], ids[first], ths[first], at[first], n)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["h", "size", "id", "th", "at", "n"])
+
+    return run
+
+
+def deduplicate(docs: DataFrame, units: Callable = _chunks) -> DataFrame:
+    """docs with its repeated chunks, or passages with units=_passages, taken out of text, and __n_lines, __n_removed. Names that begin with two underscores are its own (see clean)."""
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt once by document; all uses below read that exchange
+    dealt = _keyed(docs).repartition(width, "__id", "__th")
+    texts = _keyed(docs.select("doc_id", "text")).select("__id", "__th", "text")
+    counted = texts.mapInArrow(_counting(units), "h bigint, size bigint, id bigint, th bigint, at bigint, n bigint")
+    repeated = counted.groupBy("h", "size").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.sum("n").alias("n")).filter("n > 1")
+    repeated = cut(repeated.select("h", "size", "first.*").withColumnsRenamed({"id": "id1", "th": "th1", "at": "at1"}))
+    listed = texts.mapInArrow(_listing(units), "__id bigint, __th bigint, at bigint, size bigint, h bigint")
+    own = (F.col("__id") == F.col("id1")) & (F.col("__th") == F.col("th1")) & (F.col("at") == F.col("at1"))
+    candidates = listed.join(sized(repeated), ["h", "size"]).select("__id", "__th", "h", "at", "size", own.alias("own"))
+    wanted = cut(candidates.groupBy("__id", "__th").agg(F.collect_set(F.struct("at", "size", "h", "own")).alias("want")))
+    marked = dealt.join(wanted, ["__id", "__th"], "left")
+    sent = marked.filter("want IS NOT NULL").select("text", "want").mapInArrow(_agreed, "h bigint, size bigint, bytes binary")
+    odd = cut(sent.groupBy("h", "size").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a != b").select("h", "size"))
+    gone = wanted.select("__id", "__th", F.explode(F.filter("want", lambda w: ~w["own"])).alias("w")).select("__id", "__th", "w.at", "w.size", "w.h")
+    if not small(odd, 0):
+        # a hash that different passages share: their occurrences are grouped by their bytes
+        part = F.substring(F.col("text").cast("binary"), F.col("w.at").cast("int") + 1, F.col("w.size").cast("int"))
+        spans = marked.filter("want IS NOT NULL").select("__id", "__th", "text", F.explode("want").alias("w"))
+        pieces = spans.select("__id", "__th", "w.at", "w.size", "w.h", part.alias("bytes")).join(sized(odd), ["h", "size"])
+        firsts = pieces.groupBy("h", "size", "bytes").agg(F.min(F.struct("__id", "__th", "at")).alias("first"))
+        settled = pieces.join(firsts, ["h", "size", "bytes"]).filter(F.struct("__id", "__th", "at") != F.col("first")).select("__id", "__th", "at", "size", "h")
+        gone = gone.join(sized(odd), ["h", "size"], "left_anti").select("__id", "__th", "at", "size", "h").unionByName(settled)
     removed = gone.groupBy("__id", "__th").agg(F.collect_set(F.struct("at", "size")).alias("__gone"))
     whole = dealt.join(removed, ["__id", "__th"], "left").drop("__id", "__th")
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_removed", T.LongType())])

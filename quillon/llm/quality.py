@@ -91,10 +91,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep: list[str], bound: in
     return out.withColumn("log_perplexity", F.when(~F.isnan("log_perplexity"), F.col("log_perplexity")))
 
 
-def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH, slack: float = SLACK, one_word: float = ONE_WORD, keep_text: bool = False, bound: int = BOUND) -> DataFrame:
-    """docs (without the text unless keep_text) with log_perplexity, lower, upper and kept."""
+def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH, slack: float = SLACK, one_word: float = ONE_WORD, bound: int = BOUND) -> DataFrame:
+    """docs (all but the text) with log_perplexity, lower, upper and kept."""
     trusted = cut(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__q")).filter("__q = 1").select("doc_id"))
-    keep = [c for c in docs.columns if keep_text or c != "text"]
+    keep = [c for c in docs.columns if c != "text"]
     scored = cut(perplexities(docs, trusted, keep, bound).withColumn("__class", _length_class(F.col("n_chars_scored"))))
     own = labelled(scored.select("doc_id", "lang", "__class", "log_perplexity").filter("log_perplexity IS NOT NULL"), trusted)
     quantile = F.percentile_approx("log_perplexity", [low, high], 10_000)
@@ -123,9 +123,12 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier keeps, with the columns of docs."""
+    """The rows of docs that the classifier keeps, with the columns of docs. Rejected rows are found again by id, language and a hash of the text, which the verdict is of."""
     inner, back = guarded(docs, "doc_id", "text", "lang")
-    return back(judged(inner, labels, keep_text=True, **options).filter("kept"))
+    key = [F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))).alias("__h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id")]
+    verdicts = judged(inner.select("doc_id", "text", "lang", *key), labels, **options)
+    gone = cut(verdicts.filter("NOT kept").select("__id", "__h").distinct())
+    return back(inner.select("*", *key).join(sized(gone), ["__id", "__h"], "left_anti"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,23 @@
 
 Base kinds (assign, access, hex) are leftmost non-overlapping matches of their
 patterns; short ones are dropped after matching. The battery looks at the runs
-of 20 and more characters of encodings that no base span overlaps: the encoding
-is inferred from the characters (hexadecimal, base 32, base 36, base 62, base
-64), and under the hypothesis of uniform random symbols of that alphabet it
-tests the symbol counts (chi-squared), the runs above and below the middle, and
-the correlation of neighbours. The three are combined by Fisher's method. The
-tokens that are told apart from random ones are found with the false discovery
-rate held by Benjamini and Hochberg's procedure within each length class (long
-tokens have power that short ones lack), over a histogram of p-values that has
-a fixed number of bins whatever the corpus. The tokens that withstand are spans
-of kind `random`.
+of `least` (20) and more characters of encodings that no base span overlaps: the
+encoding is inferred from the characters (hexadecimal, base 32, base 36, base
+62, base 64), and under the hypothesis of uniform random symbols of that
+alphabet it tests the symbol counts (chi-squared), the runs above and below the
+middle, and the correlation of neighbours. The three are combined by Fisher's
+method into one value: how far a token is from random.
+
+What is reported is controlled against identifiers. Decoys are made of every
+document: its words joined as names are (candidates left out, words begun with
+capitals where an encoding has both cases), of which `pieces` pieces spread over
+the whole text, ended by a digit, have the least length of the tokens' length
+class (so that they look more random than longer ones would). A token's
+p-value is the share of its encoding's and class's decoys that look as random.
+Benjamini and Hochberg's procedure within each length class (long tokens have
+power that short ones lack) then holds the share of false secrets among the
+reported, of kind `random`, at `level`. Both distributions are histograms of a
+fixed number of bins whatever the corpus.
 
 Offsets are in code points, the end exclusive. Null texts are as empty ones: no
 spans, and the hash of the empty string. Rows are scanned one by one, repeated
@@ -20,17 +27,19 @@ or not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # the whole run is taken at its first character, so that the length may stand in the pattern
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+={0,2}"
 KINDS = ("assign", "access", "hex", "random")
-LEVEL, BINS_A_NAT, MAX_NATS = 0.05, 20, 60
+LEVEL, LEAST, PIECES, BINS_A_NAT, MAX_NATS = 0.05, 20, 4, 20, 60
+#: Matches of a document that are placed together.
+_CHUNK = 256
 #: Name, pattern of the whole token, symbols in order of value.
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -56,7 +65,17 @@ def _found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
         span = F.struct(s.alias("s"), F.lit(kind).alias("kind"), (s + x["len"]).alias("e"), x["token"].alias("token"))
         return F.struct((s + x["len"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    all_ = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def chunked(steps):
+        """Chunks of matches, each begun where the ones before it end: arrays that grow are short ones."""
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")), lambda i: F.slice(steps, i * _CHUNK + 1, F.lit(_CHUNK)))
+        return _let(chunks, placed)
+
+    def placed(chunks):
+        long = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x["gap"] + x["len"]))
+        starts = F.aggregate(long, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), lambda c, at: F.aggregate(c, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])))
+
+    all_ = F.when(F.size(steps) > 0, _let(steps, chunked)).otherwise(empty)
     return F.when(text.rlike(pattern), F.filter(all_, lambda x: F.length(x["token"]) >= least)).otherwise(empty)
 
 
@@ -110,51 +129,87 @@ def battery(token: Column, symbols: Column) -> Column:
     return _let(half, lambda h: F.greatest(F.exp(-h) * (1 + h + h * h / 2), F.lit(1e-30)))
 
 
-def _length_class(n: Column) -> Column:
-    """By doublings from 20 characters, to 8."""
-    return F.least(F.lit(8), F.floor(F.log2(n / F.lit(20.0)) + 1e-9)).cast("int")
+def _length_class(n: Column, least: int) -> Column:
+    """By half doublings from `least` characters, to 16."""
+    return F.least(F.lit(16), F.floor(2 * F.log2(n / F.lit(float(least))) + 1e-9)).cast("int")
+
+
+def _bin(p: Column) -> Column:
+    """The bin of a value; the more random, the lower."""
+    return F.floor(F.least(-F.log(p), F.lit(float(MAX_NATS))) * BINS_A_NAT).cast("int")
 
 
-def _scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans, and tokens (s, kind, e, token, p, klass) that overlap none of them."""
+def _scanned(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, base spans, and tokens (s, kind, e, enc, bin, klass) that overlap none of them."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     base = F.concat(_found(text, ASSIGN, 0, 1, 12), _found(text, ACCESS, 1), _found(text, HEX, 2))
-    d = d.select("doc_id", F.array_sort(base).alias("base"), _found(text, TOKEN, 3).alias("tokens"))
+    d = d.select("doc_id", F.array_sort(base).alias("base"), _found(text, TOKEN % least, 3).alias("tokens"))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    symbols = None
     bare = lambda t: F.rtrim(t["token"], F.lit("="))
+    symbols = F.array(*(F.lit(x[2]) for x in ENCODINGS))
 
     def encoding(t):
-        out = F.when(bare(t).rlike(ENCODINGS[0][1]), ENCODINGS[0][2])
-        for _, pattern, symbols in ENCODINGS[1:]:
-            out = out.when(bare(t).rlike(pattern), symbols)
+        out = F.when(bare(t).rlike(ENCODINGS[0][1]), 0)
+        for k, (_, pattern, _) in enumerate(ENCODINGS[1:], 1):
+            out = out.when(bare(t).rlike(pattern), k)
         return out
 
-    known = F.filter(F.transform(free, lambda t: F.struct(t["s"].alias("s"), t["kind"].alias("kind"), t["e"].alias("e"), t["token"].alias("token"), encoding(t).alias("symbols"))), lambda t: t["symbols"].isNotNull())
-    tested = F.transform(known, lambda t: F.struct(t["s"].alias("s"), t["kind"].alias("kind"), t["e"].alias("e"), battery(t["token"], t["symbols"]).alias("p"), _length_class(F.length(bare(t)).cast("double")).alias("klass")))
-    none = F.array().cast("array<struct<s:int,kind:int,e:int,p:double,klass:int>>")
+    known = F.filter(F.transform(free, lambda t: F.struct(t["s"].alias("s"), t["kind"].alias("kind"), t["e"].alias("e"), t["token"].alias("token"), encoding(t).alias("enc"))), lambda t: t["enc"].isNotNull())
+    tested = F.transform(known, lambda t: F.struct(t["s"].alias("s"), t["kind"].alias("kind"), t["e"].alias("e"), t["enc"].alias("enc"), _bin(battery(t["token"], F.element_at(symbols, t["enc"] + 1))).alias("bin"), _length_class(F.length(bare(t)).cast("double"), least).alias("klass")))
+    none = F.array().cast("array<struct<s:int,kind:int,e:int,enc:int,bin:int,klass:int>>")
     return d.select("doc_id", "base", F.when(F.size("tokens") > 0, tested).otherwise(none).alias("tokens"))
 
 
-def cutoffs(tokens: DataFrame, level: float = LEVEL) -> dict[int, float]:
-    """By length class: the p-value at and below which tokens are told apart from random ones. At most 9 rows reach the driver."""
-    bin_ = F.floor(F.least(-F.log("p"), F.lit(float(MAX_NATS))) * BINS_A_NAT).cast("int")
-    hist = tokens.select("klass", bin_.alias("bin")).groupBy("klass", "bin").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    down = Window.partitionBy("klass").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("klass")
-    edge = F.exp(-F.col("bin") / F.lit(float(BINS_A_NAT)))  # the largest p of a bin
-    ok = hist.withColumn("rank", F.sum("n").over(down)).withColumn("all", F.sum("n").over(every)).filter(edge <= level * F.col("rank") / F.col("all"))
-    return {r[0]: r[1] for r in ok.groupBy("klass").agg(F.max(edge)).collect()}
-
-
-def scan(docs: DataFrame, level: float = LEVEL) -> DataFrame:
+def _decoys(docs: DataFrame, kinds: list[tuple[int, int]], least: int, pieces: int) -> DataFrame:
+    """klass, enc, bin, n: the decoys of each (klass, enc) of kinds, from every document."""
+    # without the candidates themselves
+    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), TOKEN % least, " ")
+    by_encoding = {}
+    for _, enc in kinds:
+        symbols = ENCODINGS[enc][2]
+        own = F.initcap(text) if any(c.islower() for c in symbols) and any(c.isupper() for c in symbols) else F.lower(text) if any(c.islower() for c in symbols) else F.upper(text)
+        by_encoding[enc] = F.regexp_replace(own, f"[^{symbols.replace('-', '')}{'-' * ('-' in symbols)}]", "")
+    d = docs.select(*(x.alias(f"t{enc}") for enc, x in by_encoding.items()))
+    none = F.array().cast("array<struct<klass:int,enc:int,bin:int>>")
+
+    def made(klass: int, enc: int) -> Column:
+        t, long = F.col(f"t{enc}"), int(least * 2 ** (klass / 2))
+        room = F.length(t) - long
+        start = lambda i: F.floor(i * room / max(1, pieces - 1)).cast("int")
+        piece = lambda i: F.concat(F.substring(t, start(i) + 1, F.lit(long - 1)), F.lit("2"))
+        decoy = lambda i: F.struct(F.lit(klass).alias("klass"), F.lit(enc).alias("enc"), _bin(battery(piece(i), F.lit(ENCODINGS[enc][2]))).alias("bin"))
+        return F.when(room >= 0, F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), decoy)).otherwise(none)
+
+    each = [made(klass, enc) for klass, enc in kinds]
+    return d.select(F.inline(F.concat(*each))).groupBy("klass", "enc", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cutoffs(tokens: DataFrame, docs: DataFrame, level: float = LEVEL, least: int = LEAST, pieces: int = PIECES) -> dict[tuple[int, int], int]:
+    """By length class and encoding: the last bin whose tokens (klass, enc, bin) are reported. Histograms of 17 classes, 7 encodings and 1,201 bins at most; 119 rows at most reach the driver."""
+    seen = cut(tokens.groupBy("klass", "enc", "bin").agg(F.count(F.lit(1)).alias("n")))
+    kinds = sorted(tuple(r) for r in seen.select("klass", "enc").distinct().collect())
+    if not kinds:
+        return {}
+    both = seen.select("klass", "enc", "bin", "n", F.lit(0).cast("bigint").alias("decoys")).unionByName(_decoys(docs, kinds, least, pieces).select("klass", "enc", "bin", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("decoys")))
+    both = both.groupBy("klass", "enc", "bin").agg(F.sum("n").alias("n"), F.sum("decoys").alias("decoys"))
+    of_kind = Window.partitionBy("klass", "enc")
+    up = of_kind.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("p", (1 + F.sum("decoys").over(up)) / (1 + F.sum("decoys").over(of_kind)))
+    of_class = Window.partitionBy("klass")
+    rank = F.sum("n").over(of_class.orderBy("p").rangeBetween(Window.unboundedPreceding, 0))
+    ok = both.withColumn("ok", F.col("p") <= level * rank / F.sum("n").over(of_class))
+    last = ok.withColumn("most", F.max(F.when(F.col("ok"), F.col("p"))).over(of_class)).filter("p <= most")
+    return {(r[0], r[1]): r[2] for r in last.groupBy("klass", "enc").agg(F.max("bin")).collect()}
+
+
+def scan(docs: DataFrame, level: float = LEVEL, least: int = LEAST, pieces: int = PIECES) -> DataFrame:
     """doc_id, base and random spans: arrays of (s, kind, e), by start, then by kind."""
-    scanned = _scanned(docs)
-    cut = cutoffs(scanned.select(F.inline("tokens")), level)
-    random_ = F.filter("tokens", lambda t: t["p"] > F.coalesce(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])[t["klass"]], F.lit(0.0)) if cut else F.lit(True))
+    # texts are scanned once; spans are narrow
+    scanned = cut(_scanned(docs, least))
+    last = cutoffs(scanned.select(F.inline("tokens")), docs, level, least, pieces)
+    limit = F.create_map(*[F.lit(x) for (klass, enc), bin_ in last.items() for x in (klass * len(ENCODINGS) + enc, bin_)]) if last else F.create_map().cast("map<int,int>")
+    random_ = F.filter("tokens", lambda t: t["bin"] <= F.coalesce(limit[t["klass"] * len(ENCODINGS) + t["enc"]], F.lit(-1)))
     plain = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
     return scanned.select("doc_id", plain("base").alias("base"), plain(random_).alias("random"))
 

@@ -47,7 +47,22 @@ def test_boundaries_resist_shifts():
     assert len(cut(a) & cut(b)) >= len(cut(a)) - 2
 
 
+def test_hashes_that_collide(spark):
+    """Passages of one hash are told apart by their bytes."""
+    rows = [(i, "\n".join([f"first line {i % 4} here", f"second line {i % 3} here", f"own line {i}"])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def same(data, offsets):
+        doc, s, e, n, h = linededup._passages(data, offsets)
+        return doc, s, e, n, h & np.uint64(1)
+
+    plain = {x["doc_id"]: x["text"] for x in linededup.deduplicate(docs, linededup._passages).collect()}
+    assert {x["doc_id"]: x["text"] for x in linededup.deduplicate(docs, same).collect()} == plain == {k: t for k, (t, _) in repeated_lines(rows).items()}
+
+
 def test_other_columns_and_empty(docs, empty):
+    kept = {(x["doc_id"], x["extra"], x["__id"]) for x in linededup.clean(docs).collect()}
+    assert kept == {(x["doc_id"], x["extra"], x["__id"]) for x in docs.collect()}
     assert linededup.clean(docs).columns == docs.columns
     assert linededup.clean(docs).count() == docs.count()
     assert linededup.clean(empty).count() == 0
@@ -78,6 +93,20 @@ def repeated_lines(rows):
     return out
 
 
+def brute_passages(rows):
+    """As brute(), for passages: rows with nulls and repetitions."""
+    distinct = sorted({(i is not None, i or 0, t) for i, t in rows if t is not None}, key=lambda x: (x[0], x[1]))
+    out = repeated_lines([(k, t) for k, (_, _, t) in enumerate(distinct)])
+    by = {name: out[k] for k, name in enumerate(distinct)}
+    return Counter((i, None, 0) if t is None else (i, *by[i is not None, i or 0, t]) for i, t in rows)
+
+
+def test_passages_of_odd_rows(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = linededup.deduplicate(docs.drop("__id"), linededup._passages).collect()
+    assert Counter((r["doc_id"], r["text"], r["__n_removed"]) for r in got) == brute_passages(rows)
+
+
 def test_passages_against_brute_force(spark):
     r = random.Random(3)
     line = lambda n: " ".join(r.choice("ka lo mi ter un of to").upper() + str(r.randint(0, 99)) for _ in range(n))
