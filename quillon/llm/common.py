@@ -231,7 +231,7 @@ def small(df: DataFrame, rows: int) -> bool:
 
 
 #: Narrow rows (ids and hashes) up to which a side of a join is broadcast.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
