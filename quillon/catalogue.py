@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,36 @@ METRICS = {
     "semantic": ("ms_m_iou", "ms_pixel_accuracy", "ms_mean_accuracy", "ss_m_iou", "ss_pixel_accuracy", "ss_mean_accuracy"),
 }
 
+#: What axes and metrics are called.
+AXIS_TITLES = {"results": "Results", "m_parameters": "Parameters (M)", "fps": "Images / Second", "gflops": "GFLOPs", "pub_date": "Publication Date"}
+METRIC_TITLES = {"top_1": "Top-1", "top_5": "Top-5"}
+ERROR_TITLES = {"-C": "mCE&darr;", "-C-bar": "CE&darr;"}
+MEANS = {"m_iou": "mIoU", "pixel_accuracy": "pAcc", "mean_accuracy": "mAcc"}
+PRECISIONS = {"mAP": ("mAP", ""), "AP50": ("AP", "50"), "AP75": ("AP", "75"), "mAPs": ("mAP", "s"), "mAPm": ("mAP", "m"), "mAPl": ("mAP", "l")}
+MARKS = {"Object Detection": "b", "Instance Segmentation": "m"}
+LEGENDS = {"family": "Family", "pretrain_dataset": "Pretrain Dataset", "pretrain_method": "Pretrain Method"}
+KIND_LEGENDS = {
+    "classification": {"classification.resolution": "Classification Resolution"},
+    "instance": {"instance.head": "Instance Head", "instance.train_epochs": "Instance Training Epochs"},
+    "semantic": {"semantic.head": "Semantic Segmentation Head", "semantic.crop_size": "Semantic Segmentation Resolution", "semantic.train_epochs": "Semantic Segmentation Training Epochs"},
+}
+RESOLUTIONS = {"classification": {224: "224x224", 384: "384x384", 512: "512x512"}, "semantic": {512: "512x2048", 640: "640x2560"}}
+
+
+def axis_title(attribute: str, task: str | None = None, dataset: str | None = None) -> str:
+    """What an axis or a metric is called for a task on a dataset, with its markup; what isn't known is called by its name."""
+    if attribute in METRIC_TITLES:
+        ending = next((e for e in ("-C-bar", "-C") if dataset and dataset.endswith(e)), None)
+        return ERROR_TITLES[ending] if ending and attribute == "top_1" else METRIC_TITLES[attribute]
+    if attribute in PRECISIONS:
+        name, below = PRECISIONS[attribute]
+        above = MARKS.get(task or "")
+        if above and below:
+            return f"{name}<span class='supsub'><sup>{above}</sup><sub>{below}</sub></span>"
+        return name + (f"<sup>{above}</sup>" if above else f"<sub>{below}</sub>" if below else "")
+    way, _, mean = attribute.partition("_")
+    return f"{MEANS[mean]}<sup>{way}</sup>" if mean in MEANS else AXIS_TITLES.get(attribute, attribute)
+
 
 @dataclass(frozen=True)
 class Measurements:
@@ -37,10 +68,25 @@ class Catalogue:
     facts: Mapping[str, DataFrame]
     measurements: Mapping[str, Measurements]
     metrics: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: METRICS)
+    #: dataset (name, eval), head (name), task (name), dataset_task (dataset, task), head_task (head, task)
+    dimensions: Mapping[str, DataFrame] = field(default_factory=dict)
+    #: The pretraining method that is shown in short.
+    plain_method: str = "Supervised"
+
+    #: All facts as one frame, where the kinds are parts of one.
+    whole: DataFrame | None = None
 
     def fact(self, kind: str) -> DataFrame:
         return self.facts[kind]
 
+    def every_fact(self) -> DataFrame:
+        """Facts of all kinds, with the columns that all have."""
+        if self.whole is not None:
+            return self.whole
+        parts = list(self.facts.values())
+        shared = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
+        return reduce(DataFrame.unionByName, (p.select(*shared) for p in parts))
+
 
 def lookup(rows: DataFrame, key: str, dim: DataFrame, id_: str, **names: str) -> DataFrame:
     """rows with columns of a dimension, left as N:1; a null key gives nulls. Spark broadcasts a small dimension by itself."""
@@ -75,4 +121,7 @@ def from_tables(t: Mapping[str, DataFrame]) -> Catalogue:
         "instance": Measurements(of("instance_fps", "result_id"), "result_id", False),
         "semantic": Measurements(of("semantic_fps", "result_id"), "result_id", False),
     }
-    return Catalogue(pb, {"classification": c, "instance": i, "semantic": s}, measured)
+    named = {x: t[x].select(F.col(f"{x}_id"), F.col("name").alias(x)) for x in ("dataset", "head", "task")}
+    dims = {"dataset": datasets.select("name", "eval"), "head": heads.select("name"), "task": tasks.select("name")}
+    dims |= {f"{x}_task": t[f"{x}_task"].join(named[x], f"{x}_id").join(named["task"], "task_id").select(x, "task") for x in ("dataset", "head")}
+    return Catalogue(pb, {"classification": c, "instance": i, "semantic": s}, measured, dimensions=dims)

@@ -48,6 +48,11 @@ def usage(facts: DataFrame, entity: str, kinds: Mapping[str, Column], date: str
     return wide.select(entity, F.expr(f"stack({len(kinds)}, {parts}) AS (task, n, last)"))
 
 
+def evaluated(rows: DataFrame, cat: Catalogue) -> DataFrame:
+    """Rows of datasets that are there to be measured on."""
+    return rows.join(cat.dimensions["dataset"].filter("eval").select(F.col("name").alias("dataset")), "dataset", "left_semi")
+
+
 def used(rows: DataFrame) -> DataFrame:
     """Without what has no results."""
     return rows.filter(F.col("n") > 0)
@@ -59,12 +64,11 @@ def mode(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", value)).alias(value), F.max("n").alias("n"))
 
 
-def downstream_rows(cat: Catalogue, kind: str, columns: Sequence[str], drop: Sequence[str] = (), **wanted) -> DataFrame:
-    """Facts of a kind with their pb's columns, for a page: its own column is dropped."""
+def downstream_rows(cat: Catalogue, kind: str, family: str | None = None, **wanted) -> DataFrame:
+    """Facts of a kind with their pb's columns."""
     from ..plans.comparison import where_set
 
-    facts = where_set(cat.fact(kind), wanted)
-    return cat.pbs.join(facts, "pb_id").select(*(c for c in columns if c not in drop))
+    return where_set(cat.pbs, {"family": family}).join(where_set(cat.fact(kind), wanted), "pb_id")
 
 
 def shown_metrics(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -79,25 +83,39 @@ def paper_link(prefixes: Sequence[tuple[str, str]]) -> Column:
 
 def sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
     """`-key` sorts down; what is missing comes last either way."""
-    return rows.orderBy(*(F.col(k[1:]).desc_nulls_last() if k.startswith("-") else F.col(k).asc_nulls_last() for k in keys))
+    return rows.orderBy(*(F.col(f"`{k[1:]}`").desc_nulls_last() if k.startswith("-") else F.col(f"`{k}`").asc_nulls_last() for k in keys))
 
 
-#: Default orders of the report tables: on typed columns, the intended metrics.
+#: Default orders of the report tables, by header; `metric n` is the n-th metric of the table's kind, the ones that are meant.
 ORDERS = {
-    "plot": ("-y",),
-    "classification_family": ("pretrain", "m_parameters", "finetune"),
-    "classification_dataset": ("-top_1", "-top_5"),
+    "classification_family": ("pretrain", "params (m)", "finetune"),
+    "classification_dataset": ("-metric 1", "-metric 2"),
     "instance_family": ("head", "pretrain", "gflops", "train"),
-    "instance_dataset": ("-mAP", "-AP50"),
-    "instance_head": ("-mAP", "-AP50"),
+    "instance_dataset": ("-metric 1", "-metric 2"),
+    "instance_head": ("-metric 1", "-metric 2"),
     "semantic_family": ("head", "pretrain", "gflops", "train"),
-    "semantic_dataset": ("-ms_m_iou", "-ss_m_iou"),
-    "semantic_head": ("-ms_m_iou", "-ss_m_iou"),
+    "semantic_dataset": ("-metric 1", "-metric 4"),
+    "semantic_head": ("-metric 1", "-metric 4"),
     "usage": ("-n",),
     "family": ("-pub_date",),
 }
 
 
+def in_order(rows: DataFrame, table: str, metrics: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """rows in a table's default order, ties by further columns. A plot's table goes by its last column that isn't a link, downwards."""
+    if table == "plot":
+        return sorted_by(rows, "-" + [c for c in rows.columns if not c.endswith(" link")][-1], *ties)
+
+    def header(key):
+        name = key.removeprefix("-")
+        if not name.startswith("metric "):
+            return key
+        at = min(int(name.split()[1]), len(metrics)) - 1
+        return f"-{metrics[at]}"
+
+    return sorted_by(rows, *dict.fromkeys(map(header, ORDERS[table])), *ties)
+
+
 def one(rows: DataFrame):
     """The only row; an error if there is none or are several."""
     found = rows.limit(2).collect()
@@ -126,12 +144,3 @@ def rendered(rows: DataFrame, headers: Sequence[str], links: Mapping[str, str] |
         return (F.struct(text.alias("value"), F.col(url).alias("url")) if url else text).alias(h)
 
     return rows.select(*map(cell, headers))
-
-
-def options(cat: Catalogue, kind: str) -> dict[str, DataFrame]:
-    """What a form may offer for a kind: its datasets, heads, resolutions, and pretraining in use."""
-    facts = cat.fact(kind)
-    out = {c: facts.select(c).distinct().filter(F.col(c).isNotNull()).orderBy(c) for c in ("dataset", "head", "resolution") if c in facts.columns}
-    for c in ("pretrain_dataset", "pretrain_method"):
-        out[c] = cat.pbs.select(c).distinct().filter(F.col(c).isNotNull()).orderBy(c)
-    return out

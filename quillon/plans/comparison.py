@@ -87,7 +87,13 @@ def _legend_key(path: str | None, columns: list[str], kinds: Mapping[str, str])
     return F.col(name) if name in columns else F.col(path)
 
 
-def single(cat: Catalogue, request: Request, instance_types=None) -> DataFrame:
+def _present(request: Request, any_parameters: bool) -> Column:
+    """Both axes have a value; with any_parameters, parameters may be missing."""
+    parts = [F.col(p).isNotNull() for p, axis in (("x", request.x), ("y", request.y)) if not (any_parameters and axis.attribute == "m_parameters")]
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
+def single(cat: Catalogue, request: Request, instance_types=None, any_parameters: bool = False) -> DataFrame:
     """pb columns, fact columns, x, y and key of each fact that has both axes.
 
     The inner join implies the pbs' semi join, so there is none.
@@ -99,7 +105,7 @@ def single(cat: Catalogue, request: Request, instance_types=None) -> DataFrame:
     if args.fps:
         rows = with_fps(cat, rows, kind, args.gpu, args.precision)
     x, y = (F.col(a.attribute) for a in (request.x, request.y))
-    rows = rows.withColumn("x", x).withColumn("y", y).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    rows = rows.withColumn("x", x).withColumn("y", y).filter(_present(request, any_parameters))
     keys = [_legend_key(k, rows.columns, {"": kind}) for k in (request.group_by, request.group_by_second)]
     return rows.withColumn("key", legend(*keys) if keys[0] is not None else F.lit("all"))
 
@@ -124,16 +130,16 @@ def multi(cat: Catalogue, request: Request, instance_types=None) -> DataFrame:
     return rows.withColumn("key", legend(*keys) if keys[0] is not None else F.lit("all"))
 
 
-def none(cat: Catalogue, request: Request) -> DataFrame:
+def none(cat: Catalogue, request: Request, any_parameters: bool = False) -> DataFrame:
     """A point for each instance and classification fact, as a bag; semantic facts aren't plotted.
 
     Only the instance part is restricted to a head.
     """
     pbs = pbs_of(cat, request)
-    instance = where_set(cat.fact("instance"), {"head": request.args.head}).select("pb_id", "gflops")
-    rows = pbs.join(instance.unionByName(cat.fact("classification").select("pb_id", "gflops")), "pb_id")
-    rows = rows.withColumn("x", F.col(request.x.attribute)).withColumn("y", F.col(request.y.attribute))
-    rows = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    own = ["pb_id", "gflops", *(["paper"] if "paper" in cat.fact("instance").columns else [])]
+    instance = where_set(cat.fact("instance"), {"head": request.args.head}).select(*own)
+    rows = pbs.join(instance.unionByName(cat.fact("classification").select(*own)), "pb_id")
+    rows = rows.withColumn("x", F.col(request.x.attribute)).withColumn("y", F.col(request.y.attribute)).filter(_present(request, any_parameters))
     keys = [_legend_key(k, rows.columns, {}) for k in (request.group_by, request.group_by_second)]
     return rows.withColumn("key", legend(*keys) if keys[0] is not None else F.lit("all"))
 

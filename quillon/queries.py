@@ -4,23 +4,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .binding import INSTANCE_TYPES, bound, read
+from .binding import INSTANCE_TYPES, UNUSED, bound, documents, read
+from .catalogue import METRICS, axis_title, from_tables
 from .functions import text as tx
+from .operators import choices as ch
 from .operators import reports as rp
 from .plans import comparison as cp
+from .plans import tables as tb
 from .request import AxisArgs, DataArgs, Request
 from .sources import documents as ds
 
 BRANDS = tuple(f"Brand#{i}" for i in range(1, 26))
 _ROLES = """
 pb AS (SELECT o_orderkey AS pb_id, c_custkey AS backbone_id, c_name AS backbone, n_name AS family, r_name AS model_type, c_acctbal AS m_parameters,
-              o_orderpriority AS pretrain_method, o_orderstatus AS pretrain_dataset, o_orderdate AS pub_date, o_totalprice AS pretrain_epochs
+              o_orderpriority AS pretrain_method, o_orderstatus AS pretrain_dataset, o_orderdate AS pub_date, o_totalprice AS pretrain_epochs,
+              CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'pb/' || o_orderstatus END AS pb_paper, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS backbone_github
        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 fact AS (SELECT l_orderkey AS pb_id, l_returnflag AS kind, l_linestatus AS instance_type, p_brand AS dataset, nullif(p_type, 'ECONOMY') AS train_dataset, s_name AS head,
-                CAST(l_quantity AS INTEGER) AS resolution, l_linenumber AS train_epochs, l_extendedprice AS metric, nullif(l_discount, 0.0) AS metric2, nullif(l_tax, 0.0) AS gflops
+                CAST(l_quantity AS INTEGER) AS resolution, l_linenumber AS train_epochs, l_extendedprice AS metric, nullif(l_discount, 0.0) AS metric2, nullif(l_tax, 0.0) AS gflops,
+                CASE WHEN l_linenumber = 1 THEN 'paper/' || l_orderkey ELSE '' END AS paper
          FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
 meas AS (SELECT event_id AS fps_id, user_id AS owner, event_type AS gpu, CAST(event_id % 3 AS INTEGER) AS prec, CAST(json_extract_string(props, '$.k') AS INTEGER) AS resolution, value AS fps FROM events)
 """
@@ -167,8 +172,7 @@ _KINDS = {"detection": "kind = 'A' AND instance_type = 'O'", "instance": "kind =
 
 
 def _all_facts(cat):
-    facts = reduce(DataFrame.unionByName, cat.facts.values())
-    return facts.join(cat.pbs.select("pb_id", "family", "pub_date"), "pb_id")
+    return cat.every_fact().join(cat.pbs.select("pb_id", "family", "pub_date"), "pb_id")
 
 
 def _usage_sql(entity, kinds):
@@ -179,9 +183,9 @@ def _usage(spark, sf_dir, entity, kinds):
     return rp.used(rp.usage(_all_facts(bound(spark, sf_dir)), entity, {k: F.expr(c) for k, c in kinds.items()}))
 
 
-@_query(_usage_sql("dataset", _KINDS))
+@_query(f"SELECT * FROM ({_usage_sql('dataset', _KINDS)}) WHERE dataset <> '{UNUSED}'")
 def dataset_list(spark, sf_dir):
-    return _usage(spark, sf_dir, "dataset", _KINDS)
+    return rp.evaluated(_usage(spark, sf_dir, "dataset", _KINDS), bound(spark, sf_dir))
 
 
 @_query(_usage_sql("head", {k: c for k, c in _KINDS.items() if k != "classification"}))
@@ -222,39 +226,318 @@ def top_task_per_entity(spark, sf_dir):
 
 
 _TRAIN_SQL = "coalesce(train_dataset, '&mdash;') || ' : ' || CAST(train_epochs AS VARCHAR)"
-_DOWN = ("pb_id", "family", "m_parameters", "head", "train", "gflops", "metric", "metric2")
+_FINETUNE_SQL = "coalesce(replace(train_dataset, 'ImageNet', 'IN'), '&mdash;') || ' : ' || train_epochs || ' : ' || resolution"
+_PAPER_SQL = "coalesce(nullif(paper, ''), nullif(pb_paper, ''), nullif(backbone_github, ''), family)"
+_GITHUB_SQL = "coalesce(nullif(backbone_github, ''), 'git/' || family)"
+_PRETRAIN_SQL = "pretrain_dataset || ' : ' || CASE WHEN pretrain_method = '1-URGENT' THEN 'Sup.' ELSE pretrain_method END || ' : ' || CAST(pretrain_epochs AS VARCHAR)"
 
 
-def _downstream(spark, sf_dir, drop, **wanted):
-    cat = bound(spark, sf_dir)
-    facts = cp.where_set(cat.fact("instance"), {"instance_type": "O"} | {k: v for k, v in wanted.items() if k != "family"})
-    rows = cp.where_set(cat.pbs, {"family": wanted.get("family")}).join(facts, "pb_id").withColumn("train", tx.train_string("train_dataset", "train_epochs"))
-    return rows.select(*(c for c in (*_DOWN, *(() if "dataset" in wanted else ("dataset",))) if c not in drop))
+def _base_sql(page="", task=None, parameters=True):
+    query = f"?task={task}" if task else ""
+    row = f"backbone AS model, {'m_parameters AS \"params (m)\", ' if parameters else ''}{_PRETRAIN_SQL} AS pretrain"
+    return f"{row}, {_GITHUB_SQL} AS \"model link\"" if page == "family" else f"family, {row}, '/families/' || family || '{query}' AS \"family link\""
+
+
+def _head_sql(column="head", header="head", page="", task=None):
+    link = "''" if page == "head" else f"'/heads/' || replace(replace({column}, '#', '%23'), ' ', '+'){f" || '?task={task}'" if task else ''}"
+    return f'{column} AS "{header}", {link} AS "{header} link"'
+
+
+def _value_sql(value, header, link=_PAPER_SQL):
+    return f'{value} AS "{header}", {link} AS "{header} link"'
+
+
+def _downstream_sql(where, page, task="detection"):
+    head = "" if page == "head" else _head_sql(task=task) + ","
+    metrics = ", ".join(_value_sql(m, m, f"CASE WHEN {m} IS NOT NULL THEN {_PAPER_SQL} END") for m in ("metric", "metric2"))
+    return f"""SELECT dataset, '/datasets/' || replace(dataset, '#', '%23') || '?task={task}' AS "dataset link", {_base_sql(page, task, False)}, {head} {_TRAIN_SQL} AS train, gflops, {metrics}
+               FROM fact JOIN pb USING (pb_id) WHERE {_KINDS[task]} AND {where}"""
 
 
-@_query(f"SELECT pb_id, family, head, {_TRAIN_SQL} AS train, gflops, metric, metric2 FROM fact JOIN pb USING (pb_id) WHERE kind = 'A' AND instance_type = 'O' AND dataset = 'Brand#7'")
+@_query(_downstream_sql("dataset = 'Brand#7'", "dataset"))
 def downstream_by_dataset(spark, sf_dir):
-    return _downstream(spark, sf_dir, ("m_parameters",), dataset="Brand#7")
+    return tb.downstream(bound(spark, sf_dir), "detection", "dataset", INSTANCE_TYPES, dataset="Brand#7")
 
 
-@_query(f"SELECT pb_id, family, {_TRAIN_SQL} AS train, gflops, metric, metric2, dataset FROM fact JOIN pb USING (pb_id) WHERE kind = 'A' AND instance_type = 'O' AND head = 'Supplier#000000007'")
+@_query(_downstream_sql("head = 'Supplier#000000007'", "head"))
 def downstream_by_head(spark, sf_dir):
-    return _downstream(spark, sf_dir, ("m_parameters", "head"), head="Supplier#000000007")
+    return tb.downstream(bound(spark, sf_dir), "detection", "head", INSTANCE_TYPES, head="Supplier#000000007")
 
 
-@_query(f"SELECT pb_id, head, {_TRAIN_SQL} AS train, gflops, metric, metric2, dataset FROM fact JOIN pb USING (pb_id) WHERE kind = 'A' AND instance_type = 'O' AND family = 'NATION_7'")
+@_query(_downstream_sql("family = 'NATION_7'", "family", "semantic"))
 def downstream_by_family(spark, sf_dir):
-    return _downstream(spark, sf_dir, ("m_parameters", "family"), family="NATION_7")
+    return tb.downstream(bound(spark, sf_dir), "semantic", "family", family="NATION_7")
+
+
+def _ordered_sql(table, order):
+    return f"SELECT * FROM ({table}) ORDER BY {order} LIMIT 60"
+
+
+def _top(rows, table, ties):
+    return rp.in_order(rows, table, ("metric", "metric2"), ties).limit(60)
+
+
+_TIES = ("model", "dataset", "train", "gflops", "metric", "metric2")
+_TIES_SQL = "model NULLS LAST, dataset NULLS LAST, train NULLS LAST, gflops NULLS LAST, metric NULLS LAST, metric2 NULLS LAST"
+_BY_FAMILY = "head NULLS LAST, pretrain NULLS LAST, gflops NULLS LAST, train NULLS LAST, "
+_BY_METRICS = "metric DESC NULLS LAST, metric2 DESC NULLS LAST, "
+
+
+@_query(_ordered_sql(_downstream_sql("family = 'NATION_7'", "family"), _BY_FAMILY + _TIES_SQL))
+def order_instance_family(spark, sf_dir):
+    return _top(tb.downstream(bound(spark, sf_dir), "detection", "family", INSTANCE_TYPES, family="NATION_7"), "instance_family", _TIES)
+
+
+@_query(_ordered_sql(_downstream_sql("dataset = 'Brand#7'", "dataset"), _BY_METRICS + _TIES_SQL))
+def order_instance_dataset(spark, sf_dir):
+    return _top(tb.downstream(bound(spark, sf_dir), "detection", "dataset", INSTANCE_TYPES, dataset="Brand#7"), "instance_dataset", _TIES)
+
+
+@_query(_ordered_sql(_downstream_sql("head = 'Supplier#000000007'", "head"), _BY_METRICS + _TIES_SQL))
+def order_instance_head(spark, sf_dir):
+    return _top(tb.downstream(bound(spark, sf_dir), "detection", "head", INSTANCE_TYPES, head="Supplier#000000007"), "instance_head", _TIES)
+
+
+@_query(_ordered_sql(_downstream_sql("family = 'NATION_7'", "family", "semantic"), _BY_FAMILY + _TIES_SQL))
+def order_semantic_family(spark, sf_dir):
+    return _top(tb.downstream(bound(spark, sf_dir), "semantic", "family", family="NATION_7"), "semantic_family", _TIES)
+
+
+@_query(_ordered_sql(_downstream_sql("dataset = 'Brand#7'", "dataset", "semantic"), _BY_METRICS + _TIES_SQL))
+def order_semantic_dataset(spark, sf_dir):
+    return _top(tb.downstream(bound(spark, sf_dir), "semantic", "dataset", dataset="Brand#7"), "semantic_dataset", _TIES)
+
+
+@_query(_ordered_sql(_downstream_sql("head = 'Supplier#000000007'", "head", "semantic"), _BY_METRICS + _TIES_SQL))
+def order_semantic_head(spark, sf_dir):
+    return _top(tb.downstream(bound(spark, sf_dir), "semantic", "head", head="Supplier#000000007"), "semantic_head", _TIES)
 
 
-@_query("""SELECT pb_id, family, resolution, coalesce(train_dataset, '&mdash;') || ' : ' || train_epochs || ' : ' || resolution AS finetune,
-                  CASE WHEN metric IS NULL OR metric = 0 THEN '&mdash;' ELSE CAST(metric AS VARCHAR) END AS metric, CASE WHEN metric2 IS NULL OR metric2 = 0 THEN '&mdash;' ELSE CAST(metric2 AS VARCHAR) END AS metric2
-           FROM fact JOIN pb USING (pb_id) WHERE kind = 'R' AND dataset = 'Brand#9'""")
+_CLASSIFIED = f"""SELECT {_base_sql('dataset')}, {_FINETUNE_SQL} AS finetune, gflops,
+    {', '.join(_value_sql(m, h, f"CASE WHEN coalesce({m}, 0) <> 0 THEN {_PAPER_SQL} END") for m, h in (('metric', 'top-1'), ('metric2', 'top-5')))}
+    FROM fact JOIN pb USING (pb_id) WHERE kind = 'R' AND dataset = 'Brand#9'"""
+
+
+def _dash(c):
+    return f"CASE WHEN \"{c}\" IS NULL OR \"{c}\" = 0 THEN '&mdash;' ELSE CAST(\"{c}\" AS VARCHAR) END AS \"{c}\""
+
+
+@_query(f"SELECT * REPLACE ({_dash('top-1')}, {_dash('top-5')}) FROM ({_CLASSIFIED})")
 def dataset_classification(spark, sf_dir):
+    return tb.shown(tb.classification(bound(spark, sf_dir), "Brand#9"), ["top-1", "top-5"], zero=True)
+
+
+@_query(_ordered_sql(_CLASSIFIED, '"top-1" DESC NULLS LAST, "top-5" DESC NULLS LAST, model, finetune, gflops NULLS LAST'))
+def order_classification_dataset(spark, sf_dir):
+    return rp.in_order(tb.classification(bound(spark, sf_dir), "Brand#9"), "classification_dataset", ("top-1", "top-5"), ("model", "finetune", "gflops")).limit(60)
+
+
+@_query(_ordered_sql(f"SELECT {_base_sql('family')}, {_FINETUNE_SQL} AS finetune, gflops, metric FROM fact JOIN pb USING (pb_id) WHERE kind = 'R' AND family = 'NATION_7'", 'pretrain NULLS LAST, "params (m)" NULLS LAST, finetune NULLS LAST, gflops NULLS LAST, metric'))
+def order_classification_family(spark, sf_dir):
+    cat = bound(spark, sf_dir)
+    rows = rp.downstream_rows(cat, "classification", family="NATION_7")
+    rows = rows.select(*tb.base_columns(cat, rows.columns, "family"), tb.finetune(rows.columns).alias("finetune"), "gflops", "metric")
+    return rp.in_order(rows, "classification_family", ties=("gflops", "metric")).limit(60)
+
+
+@_query(f"SELECT * FROM ({_usage_sql('head', {'detection': _KINDS['detection']})}) ORDER BY n DESC, head LIMIT 60")
+def order_usage(spark, sf_dir):
+    return rp.in_order(_usage(spark, sf_dir, "head", {"detection": _KINDS["detection"]}), "usage", ties=("head",)).limit(60)
+
+
+@_query("SELECT family, max(pub_date) AS pub_date FROM pb GROUP BY family ORDER BY pub_date DESC NULLS LAST, family LIMIT 10")
+def order_family(spark, sf_dir):
+    return rp.in_order(bound(spark, sf_dir).pbs.groupBy("family").agg(F.max("pub_date").alias("pub_date")), "family", ties=("family",)).limit(10)
+
+
+_PLOTTED = f"""SELECT {_base_sql('', 'classification')}, {_FINETUNE_SQL} AS finetune, {_value_sql('gflops', 'GFLOPs')}, {_value_sql('metric', 'metric')}
+              FROM fact JOIN pb USING (pb_id) WHERE kind = 'R' AND dataset = 'Brand#2' AND gflops IS NOT NULL AND metric IS NOT NULL"""
+
+
+@_query(_PLOTTED)
+def plot_table_single(spark, sf_dir):
+    return tb.plot_table(bound(spark, sf_dir), _request())
+
+
+@_query(_ordered_sql(_PLOTTED, 'metric DESC NULLS LAST, model, finetune, "GFLOPs" NULLS LAST'))
+def order_plot(spark, sf_dir):
+    return rp.in_order(tb.plot_table(bound(spark, sf_dir), _request()), "plot", ties=("model", "finetune", "GFLOPs")).limit(60)
+
+
+@_query(f"""SELECT {_base_sql('family', 'detection')}, {_head_sql()}, {_TRAIN_SQL} AS train, {_value_sql('metric', 'metric')}
+            FROM fact JOIN pb USING (pb_id) WHERE {_KINDS['detection']} AND dataset = 'Brand#3' AND family = 'NATION_7' AND metric IS NOT NULL""")
+def plot_table_detection(spark, sf_dir):
+    r = _request("m_parameters", task="detection", dataset="Brand#3").scoped(family="NATION_7")
+    return tb.plot_table(bound(spark, sf_dir), r, "family", INSTANCE_TYPES)
+
+
+@_query(f"""WITH both_ AS (SELECT pb.*, a.metric AS x, b.metric2 AS y, a.paper AS ap, b.paper AS bp, b.head AS head FROM pb JOIN fact a USING (pb_id) JOIN fact b USING (pb_id)
+                          WHERE a.kind = 'R' AND b.kind = 'A' AND b.instance_type = 'F' AND a.dataset = 'Brand#2' AND b.dataset = 'Brand#4' AND a.metric IS NOT NULL AND b.metric2 IS NOT NULL)
+            SELECT {_base_sql('', 'instance')}, {_value_sql('x', 'metric', _PAPER_SQL.replace('paper,', 'ap,', 1))}, {_head_sql()}, {_value_sql('y', 'metric2', _PAPER_SQL.replace('paper,', 'bp,', 1))} FROM both_""")
+def plot_table_multi(spark, sf_dir):
+    r = _multi(y_task="instance", y="Brand#4")
+    return tb.plot_table(bound(spark, sf_dir), r, "", INSTANCE_TYPES)
+
+
+@_query(f"""SELECT {_base_sql()}, {_value_sql('pub_date', 'Publication Date')} FROM pb JOIN fact USING (pb_id) WHERE kind IN ('R', 'A') AND pub_date IS NOT NULL AND pretrain_dataset = 'F'""")
+def plot_table_none(spark, sf_dir):
+    r = Request(AxisArgs("m_parameters"), AxisArgs("pub_date"), group_by="family", pretrain_dataset="F")
+    return tb.plot_table(bound(spark, sf_dir), r)
+
+
+def _values_sql(field, values):
+    return " UNION ALL ".join(f"SELECT '{field}' AS field, '{k}' AS value, '{v}' AS label" for k, v in values.items())
+
+
+def _used_sql(field, column, where):
+    return f"SELECT DISTINCT '{field}' AS field, {column} AS value, {column} AS label FROM fact JOIN pb USING (pb_id) WHERE {where}"
+
+
+_OFFERED = {"results": "Results", "m_parameters": "Parameters (M)", "fps": "Images / Second", "pub_date": "Publication Date"}
+_LEGEND = {"family": "Family", "pretrain_dataset": "Pretrain Dataset", "pretrain_method": "Pretrain Method"}
+_TASKS_SQL = " UNION ALL ".join(f"SELECT '{p}_task' AS field, value, value AS label FROM (SELECT DISTINCT CASE WHEN kind = 'R' THEN 'classification' WHEN kind = 'N' THEN 'semantic' WHEN instance_type = 'O' THEN 'detection' ELSE 'instance' END AS value FROM fact)" for p in "y")
+_METHODS = ("Supervised", "Sup. + TL", "FCMAE", "MAE", "CL", "MAP")
+
+
+@_query(" UNION ALL ".join([
+    _values_sql("x_axis", {k: v for k, v in [*_OFFERED.items(), ("gflops", "GFLOPs")]}), _values_sql("y_axis", _OFFERED), _TASKS_SQL, f"SELECT * FROM ({_used_sql('y_dataset', 'dataset', _KINDS['detection'])}) WHERE value <> '{UNUSED}'",
+    _values_sql("y_metric", {"metric": "metric", "metric2": "metric2", "gflops": "GFLOPs"}), _used_sql("y_head", "head", _KINDS["detection"]), "SELECT DISTINCT 'pretrain_dataset' AS field, pretrain_dataset AS value, pretrain_dataset AS label FROM pb",
+    _values_sql("pretrain_method", {m: m for m in _METHODS}), _values_sql("legend", _LEGEND | {"instance.head": "Instance Head", "instance.train_epochs": "Instance Training Epochs"}),
+    _values_sql("legend_second", {k: v for k, v in (_LEGEND | {"instance.head": "Instance Head", "instance.train_epochs": "Instance Training Epochs"}).items() if k != "family"})]))
+def form_options(spark, sf_dir):
+    r = Request(AxisArgs("gflops"), AxisArgs("results", "metric"), DataArgs(), DataArgs(None, "detection"), group_by="family")
+    return ch.options(bound(spark, sf_dir), r)
+
+
+@_query(" UNION ALL ".join([
+    _values_sql("x_axis", _OFFERED | {"gflops": "GFLOPs"}), _values_sql("x_gpu", {g: g for g in ("click", "view")}), _values_sql("x_precision", {g: g for g in ("0", "1")}), _values_sql("y_axis", _OFFERED),
+    "SELECT DISTINCT 'y_task' AS field, CASE WHEN kind = 'N' THEN 'semantic' WHEN instance_type = 'O' THEN 'detection' ELSE 'instance' END AS value, CASE WHEN kind = 'N' THEN 'semantic' WHEN instance_type = 'O' THEN 'detection' ELSE 'instance' END AS label FROM fact WHERE kind <> 'R' AND head = 'Supplier#000000007'",
+    f"SELECT * FROM ({_used_sql('y_dataset', 'dataset', _KINDS['semantic'])}) WHERE value <> '{UNUSED}'", _values_sql("y_metric", {"metric": "metric", "metric2": "metric2", "gflops": "GFLOPs"}), _values_sql("y_resolution", {"512": "512x2048", "640": "640x2560"}),
+    "SELECT DISTINCT 'pretrain_dataset' AS field, pretrain_dataset AS value, pretrain_dataset AS label FROM pb", _values_sql("pretrain_method", {"a": "a"}),
+    _values_sql("legend", _LEGEND | {"semantic.head": "Semantic Segmentation Head", "semantic.crop_size": "Semantic Segmentation Resolution", "semantic.train_epochs": "Semantic Segmentation Training Epochs"})]))
+def form_options_of_head(spark, sf_dir):
+    r = Request(AxisArgs("fps"), AxisArgs("results", "metric"), DataArgs(), DataArgs(None, "semantic"))
+    return ch.options(bound(spark, sf_dir), r, head="Supplier#000000007", enums={"gpu": ("click", "view"), "precision": ("0", "1"), "pretrain_method": ("a",)})
+
+
+def _task_column():
+    return F.when(F.col("kind") == "N", "semantic").when(F.col("instance_type") == "O", "detection").otherwise("instance").alias("task")
+
+
+_TASK_SQL = "CASE WHEN kind = 'N' THEN 'semantic' WHEN instance_type = 'O' THEN 'detection' ELSE 'instance' END"
+
+
+@_query(f"""WITH f AS (SELECT head, {_TASK_SQL} AS task, dataset FROM fact WHERE kind <> 'R'),
+            a AS (SELECT head, task FROM (SELECT head, task, count(*) AS n FROM f GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY head ORDER BY n DESC, task DESC) = 1)
+            SELECT head, task, dataset FROM (SELECT head, task, dataset, count(*) AS n FROM f JOIN a USING (head, task) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY head, task ORDER BY n DESC, dataset DESC) = 1""")
+def head_page_defaults(spark, sf_dir):
+    facts = bound(spark, sf_dir).every_fact().filter("kind <> 'R'").select("head", _task_column(), "dataset")
+    return ch.page_defaults(facts, "head")
+
+
+@_query(f"""SELECT family, task, dataset FROM (SELECT family, {_TASK_SQL} AS task, dataset, count(*) AS n FROM fact JOIN pb USING (pb_id) WHERE kind <> 'R' GROUP BY ALL)
+            QUALIFY row_number() OVER (PARTITION BY family, task ORDER BY n DESC, dataset DESC) = 1""")
+def family_page_defaults(spark, sf_dir):
+    facts = _all_facts(bound(spark, sf_dir)).filter("kind <> 'R'").select("family", _task_column(), "dataset")
+    return ch.task_defaults(facts, "family")
+
+
+_TITLED = [(m, t) for k, tasks in (("classification", ("Classification",)), ("instance", ("Object Detection", "Instance Segmentation")), ("semantic", ("Semantic Segmentation",))) for t in tasks for m in METRICS[k]]
+_TITLES = {"top_1": "Top-1", "top_5": "Top-5", "ms_m_iou": "mIoU<sup>ms</sup>", "ms_pixel_accuracy": "pAcc<sup>ms</sup>", "ms_mean_accuracy": "mAcc<sup>ms</sup>", "ss_m_iou": "mIoU<sup>ss</sup>", "ss_pixel_accuracy": "pAcc<sup>ss</sup>", "ss_mean_accuracy": "mAcc<sup>ss</sup>"}
+_TITLES |= {("mAP", t): f"mAP<sup>{x}</sup>" for t, x in (("Object Detection", "b"), ("Instance Segmentation", "m"))}
+_TITLES |= {(f"AP{n}", t): f"AP<span class='supsub'><sup>{x}</sup><sub>{n}</sub></span>" for t, x in (("Object Detection", "b"), ("Instance Segmentation", "m")) for n in ("50", "75")}
+_TITLES |= {(f"mAP{n}", t): f"mAP<span class='supsub'><sup>{x}</sup><sub>{n}</sub></span>" for t, x in (("Object Detection", "b"), ("Instance Segmentation", "m")) for n in "sml"}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{m}' AS metric, '{t}' AS task, '{(_TITLES.get(m) or _TITLES[m, t]).replace(chr(39), chr(39) * 2)}' AS title" for m, t in _TITLED), roles=False)
+def metric_titles(spark, sf_dir):
+    return spark.createDataFrame([(m, t, axis_title(m, t)) for m, t in _TITLED], "metric string, task string, title string")
+
+
+@_query("SELECT family, backbone FROM pb WHERE family = 'NATION_7' OR backbone = 'NATION_7' GROUP BY ALL")
+def lookup_with_fallback(spark, sf_dir):
     cat = bound(spark, sf_dir)
-    rows = cat.pbs.join(cp.where_set(cat.fact("classification"), {"dataset": "Brand#9"}), "pb_id")
-    rows = rows.withColumn("finetune", tx.finetune_string("train_dataset", "train_epochs", "resolution"))
-    return rp.shown_metrics(rows, ("metric", "metric2")).select("pb_id", "family", "resolution", "finetune", "metric", "metric2")
+    return cat.pbs.filter(F.col("family") == rp.family_of(cat, "NATION_7")).select("family", "backbone").distinct()
+
+
+@_query("SELECT struct_pack(value := coalesce(n_name, ''), url := '/families/' || n_name) AS family, coalesce(CAST(n_regionkey AS VARCHAR), '') AS region, '' AS missing FROM nation", roles=False)
+def rendered_table(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("family"), F.col("n_regionkey").alias("region"), tx.page_url("/families", "n_name").alias("u"))
+    return rp.rendered(n, ["family", "region", "missing"], {"family": "u"})
+
+
+# ---- nested documents: the same tables as documents, shredded again
+
+
+def _documents(spark, sf_dir):
+    """By way of their texts."""
+    return ds.read_json(spark, documents(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")))
+
+
+@_query("""SELECT 'family' AS name, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'backbone', (SELECT count(*) FROM customer) UNION ALL SELECT 'pretrained_backbone', (SELECT count(*) FROM orders)
+           UNION ALL SELECT 'classification_result', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') UNION ALL SELECT 'instance_result', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A')
+           UNION ALL SELECT 'semantic_result', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'N') UNION ALL SELECT 'head', (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_returnflag <> 'R')
+           UNION ALL SELECT 'task', (SELECT count(DISTINCT CASE WHEN l_returnflag = 'R' THEN 'c' WHEN l_returnflag = 'N' THEN 's' ELSE l_linestatus END) FROM lineitem)""", roles=False)
+def shredded_tables(spark, sf_dir):
+    t = ds.shred(_documents(spark, sf_dir))
+    names = ("family", "backbone", "pretrained_backbone", "classification_result", "instance_result", "semantic_result", "head", "task")
+    return reduce(DataFrame.unionByName, (t[n].select(F.lit(n).alias("name")) for n in names)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("""SELECT n_name AS family, c_name AS backbone, CAST(o_orderkey AS VARCHAR) AS pb, p_brand AS dataset, s_name AS head, CASE WHEN l_linestatus = 'O' THEN 'Object Detection' ELSE 'Instance Segmentation' END AS instance_type,
+                  CAST(l_extendedprice AS DOUBLE) AS map FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'A'""", roles=False)
+def shredded_facts(spark, sf_dir):
+    cat = from_tables(ds.shred(_documents(spark, sf_dir)))
+    rows = cat.pbs.join(cat.fact("instance"), "pb_id")
+    return rows.select("family", "backbone", F.col("name").alias("pb"), "dataset", "head", "instance_type", F.col("mAP").alias("map"))
+
+
+@_query("""SELECT dataset, task FROM (SELECT DISTINCT p_brand AS dataset, CASE WHEN l_returnflag = 'R' THEN 'Classification' WHEN l_returnflag = 'N' THEN 'Semantic Segmentation' WHEN l_linestatus = 'O' THEN 'Object Detection' ELSE 'Instance Segmentation' END AS task
+           FROM lineitem JOIN part ON l_partkey = p_partkey)""", roles=False)
+def shredded_bridges(spark, sf_dir):
+    return from_tables(ds.shred(_documents(spark, sf_dir))).dimensions["dataset_task"]
+
+
+def _spoilt(spark, sf_dir):
+    """Every family but some has a fault: no name, no crop size, no links, or a dataset for a task that it isn't there for."""
+    d = documents(spark, sf_dir).withColumn("n", F.row_number().over(Window.orderBy("name")) % 5)
+    d = d.withColumn("name", F.when(F.col("n") != 1, F.col("name"))).withColumn("paper", F.when(F.col("n") != 2, F.col("paper")).otherwise(""))
+    return ds.read_json(spark, d.drop("n").select(F.to_json(F.struct("*")).alias("value")))
+
+
+@_query("""WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_name) % 5 AS k FROM nation)
+           SELECT CASE WHEN k = 2 THEN n_name END AS family, CASE WHEN k = 1 THEN 'malformed' ELSE 'K2' END AS reason FROM n WHERE k IN (1, 2)""", roles=False)
+def ingest_rejects(spark, sf_dir):
+    return ds.sorted_out(_spoilt(spark, sf_dir))[1]
+
+
+@_query("""SELECT 'J10 dataset' AS rule, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#1'
+           UNION ALL SELECT 'K9', count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#1' OR (p_brand = 'Brand#2' AND l_returnflag = 'N')""", roles=False)
+def unknown_names(spark, sf_dir):
+    """Against dimensions without a brand, and another brand without a task."""
+    t = ds.shred(_documents(spark, sf_dir))
+    dims = {x: t[x].select("name") for x in ("head", "task")} | {"dataset": t["dataset"].filter("name <> 'Brand#1'").select("name").unionByName(read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("name")).distinct())}
+    served = from_tables(t).dimensions["dataset_task"]
+    dims["dataset_task"] = served.filter("dataset <> 'Brand#1' AND NOT (dataset = 'Brand#2' AND task = 'Semantic Segmentation')")
+    found = ds.violations(t, dimensions=dims).filter("rule LIKE 'J10%' OR rule = 'K9'")
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NESTED = "n_name || '/backbones/' || c_name || '/pretrained_backbones/' || o_orderkey || '/instance_results/' || p_brand || '+' || s_name || '+' || CAST(l_extendedprice AS VARCHAR) || '/train_epochs' AS path"
+
+
+@_query(f"""SELECT {_NESTED}, CAST(l_linenumber AS VARCHAR) AS value FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+            WHERE l_returnflag = 'A' AND l_extendedprice < 100000""", roles=False)
+def nested_paths(spark, sf_dir):
+    flat = ds.flatten(_documents(spark, sf_dir).select("name", "backbones"), "name")
+    price = F.regexp_extract("path", r"\+([0-9.]+)/train_epochs$", 1)
+    return flat.filter(F.contains("path", F.lit("/instance_results/")) & F.endswith("path", F.lit("/train_epochs"))).filter(price.cast("double") < 100000)
+
+
+@_query("SELECT n_name AS family, list(c_name ORDER BY c_name) AS backbones FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name", roles=False)
+def canonical_order(spark, sf_dir):
+    d = ds.canonical(documents(spark, sf_dir).filter("backbones IS NOT NULL").select("name", "backbones"))
+    return d.select(F.col("name").alias("family"), F.transform("backbones", lambda b: b["name"]).alias("backbones"))
 
 
 @_query(f"SELECT pb_id, {_TRAIN_SQL} || ' : ' || resolution AS train FROM fact")
@@ -350,13 +633,16 @@ def catalogue_names(spark, sf_dir):
 
 @_query("SELECT DISTINCT 'dataset' AS name, dataset AS value FROM fact UNION ALL SELECT DISTINCT 'kind', kind FROM fact UNION ALL SELECT DISTINCT 'train_dataset', train_dataset FROM fact")
 def distinct_values(spark, sf_dir):
-    facts = reduce(DataFrame.unionByName, bound(spark, sf_dir).facts.values())
+    facts = bound(spark, sf_dir).every_fact()
     return rp.distinct_values(facts, "dataset", "kind", "train_dataset")
 
 
-@_query("SELECT page_id, nullif(regexp_extract(html, '(?s)<h1>(.*?)(</h1>|$)', 1), '') AS body FROM pages", roles=False)
+@_query("""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'so:```yaml' || chr(10) || text || chr(10) || '``` then' WHEN 1 THEN 'open ```yaml ' || text ELSE text END AS answer FROM documents)
+           SELECT doc_id, CASE WHEN contains(answer, '```yaml') THEN regexp_extract(answer, '(?s)```yaml(.*?)(```|$)', 1) END AS body FROM t""", roles=False)
 def fenced_extract(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("html", "(?s)<h1>(.*?)(</h1>|$)", 1), F.lit("")).alias("body"))
+    d, n = read(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    answer = F.when(n == 0, F.concat(F.lit("so:```yaml\n"), "text", F.lit("\n``` then"))).when(n == 1, F.concat(F.lit("open ```yaml "), "text")).otherwise(F.col("text"))
+    return d.select("doc_id", tx.fenced(answer).alias("body"))
 
 
 @_query(r"SELECT doc_id, trim(regexp_replace(text || chr(10) || '/uni12/uni34abc ' || lang, '/uni\d+/uni\d+[^\s]*', '', 'g')) AS cleaned FROM documents", roles=False)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import enum
 from dataclasses import dataclass, field, fields, replace
 
+from .catalogue import KIND_LEGENDS, LEGENDS, axis_title
+
 AXES = ("results", "m_parameters", "fps", "pub_date", "gflops")
 #: Axes whose values spread over orders of magnitude.
 LOG_AXES = ("fps", "m_parameters", "gflops")
@@ -107,8 +109,19 @@ class Request:
                 out.append(f"{name}: fps needs gpu and precision")
         if self.group_by and self.group_by == self.group_by_second:
             out.append("both legend keys are the same")
+        offered = self.legends()
+        out += [f"no legend key {k!r} for these tasks" for k in (self.group_by, self.group_by_second) if k and "." in k and k not in offered]
         return out
 
+    def legends(self) -> dict[str, str]:
+        """Legend keys and their labels that the request's tasks offer."""
+        kinds = dict.fromkeys(a.kind for a in (self.x_args, self.y_args) if a.kind)
+        return dict(LEGENDS) | {k: v for kind in KIND_LEGENDS if kind in kinds for k, v in KIND_LEGENDS[kind].items()}
+
+    def log_axes(self) -> tuple[bool, bool]:
+        """Whether the x and the y axis are drawn on a logarithmic scale."""
+        return self.x.attribute in LOG_AXES, self.y.attribute in LOG_AXES
+
     def scoped(self, family: str | None = None, head: str | None = None, dataset: str | None = None) -> Request:
         """The request as a page of one family, head or dataset asks it."""
         out = self
@@ -145,14 +158,8 @@ def default(metrics: dict[str, tuple[str, ...]], dataset: str = "ImageNet-1k", t
 
 
 def title(attribute: str, task: str | None = None, dataset: str | None = None, labels: dict[str, str] | None = None, suffix: bool = False) -> str:
-    """An axis' title: by label, as an error where the dataset counts errors, cut at a markup entity, with the dataset where several are compared."""
-    text = (labels or {}).get(attribute, attribute)
-    if attribute in ("top_1", "top_5") and dataset:
-        if dataset.endswith("-C"):
-            text = "mCE"
-        elif dataset.endswith("-C-bar"):
-            text = "CE"
-    text = text.split("&", 1)[0]
+    """A plot axis' title: by label, else as the catalogue calls it, cut at a markup entity, with the dataset where several are compared."""
+    text = ((labels or {}).get(attribute) or axis_title(attribute, task, dataset)).split("&", 1)[0]
     return f"{text} ({dataset})" if suffix and dataset else text
 
 

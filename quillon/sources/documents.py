@@ -7,13 +7,17 @@ everything after it is columns.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import fenced
+
 _FPS = "array<struct<resolution:int,gpu:string,precision:string,fps:double,source:string>>"
 _LINKS = "paper:string,github:string"
 _CLASSIFICATION = f"array<struct<dataset:string,resolution:int,top_1:double,top_5:double,gflops:double,fine_tune_dataset:string,fine_tune_epochs:int,fine_tune_resolution:int,intermediate_fine_tune_dataset:string,intermediate_fine_tune_epochs:int,intermediate_fine_tune_resolution:int,{_LINKS}>>"
@@ -39,9 +43,10 @@ def document_path(name: str) -> str:
     return name if ".yml" in name else f"{name}.yml"
 
 
-def read_json(spark: SparkSession, texts: DataFrame, column: str = "value") -> DataFrame:
-    """One nested document a row, from JSON texts. What doesn't parse has a null name (see malformed)."""
-    return texts.select(F.from_json(column, DOCUMENT, {"allowNonNumericNumbers": "true"}).alias("d")).select("d.*")
+def read_json(spark: SparkSession, texts: DataFrame, column: str = "value", keep: bool = False) -> DataFrame:
+    """One nested document a row, from JSON texts, and with keep its text. What doesn't parse has a null name (see malformed)."""
+    parsed = texts.select(column, F.from_json(column, DOCUMENT, {"allowNonNumericNumbers": "true"}).alias("d"))
+    return parsed.select("d.*", *([column] if keep else []))
 
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
@@ -60,6 +65,17 @@ def malformed(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("name").isNull() | F.col("backbones").isNull())
 
 
+def _uncropped(permissive: bool) -> Column:
+    """Semantic results lack crop_size; permissive, its older name train_resolution will do."""
+    crop = "coalesce(s.crop_size, s.train_resolution)" if permissive else "s.crop_size"
+    return F.expr(f"exists(backbones, b -> exists(coalesce(b.pretrained_backbones, array()), p -> exists(coalesce(p.semantic_seg_results, array()), s -> {crop} IS NULL)))")
+
+
+def refused(docs: DataFrame, permissive: bool = False) -> Column:
+    """Why a document can't be shredded, else null."""
+    return F.when(F.col("name").isNull() | F.col("backbones").isNull(), "malformed").when(F.coalesce(_uncropped(permissive), F.lit(False)), "crop_size")
+
+
 def key(*parts) -> Column:
     """A deterministic id of what names a row."""
     return F.xxhash64(*parts)
@@ -77,18 +93,16 @@ def _each(rows: DataFrame, column: str, *keep: str) -> DataFrame:
 def shred(docs: DataFrame, permissive: bool = False) -> dict[str, DataFrame]:
     """Nested documents -> relational tables and bridges, with deterministic keys.
 
-    Strict, a document whose semantic results lack crop_size is left out as a
-    whole; permissive, its older name train_resolution is taken.
+    Documents that refused() names are left out as a whole: load() and the
+    stream report them. Permissive, train_resolution stands for crop_size.
     """
-    crop = "coalesce(s.crop_size, s.train_resolution)" if permissive else "s.crop_size"
-    bad = F.expr(f"exists(backbones, b -> exists(coalesce(b.pretrained_backbones, array()), p -> exists(coalesce(p.semantic_seg_results, array()), s -> {crop} IS NULL)))")
-    docs = docs.filter(F.col("name").isNotNull() & ~F.coalesce(bad, F.lit(False)))
+    docs = docs.filter(refused(docs, permissive).isNull())
     t: dict[str, DataFrame] = {}
     t["family"] = docs.select(key("name").alias("family_id"), "name", "model_type", "hierarchical", "pretrain_method", F.to_date("pub_date").alias("pub_date"), _blank("paper"), _blank("github"))
     b = _each(docs.select(key("name").alias("family_id"), "backbones"), "backbones", "family_id").withColumn("backbone_id", key("name")).drop("place")
     t["backbone"] = b.select("backbone_id", "name", "family_id", "m_parameters", _blank("paper"), _blank("github"))
     p = _each(b.select("family_id", "backbone_id", "pretrained_backbones"), "pretrained_backbones", "family_id", "backbone_id").withColumn("pb_id", key("name")).drop("place")
-    named = lambda c: F.when(F.col(c).isNotNull(), key(c)).alias(f"{c}_id")
+    named = lambda c: F.when(F.col(c).isNotNull(), key(c)).alias(f"{c}_id", metadata={"refers_to": "head" if c == "head" else "task" if c == "instance_type" else "dataset"})
     t["pretrained_backbone"] = p.select("pb_id", "name", "backbone_id", "family_id", named("pretrain_dataset"), "pretrain_method", "pretrain_resolution", "pretrain_epochs", _blank("paper"), _blank("github"))
     c = _each(p.select("pb_id", "classification_results"), "classification_results", "pb_id").withColumn("result_id", key(F.lit("c"), "pb_id", "place"))
     i = _each(p.select("pb_id", "instance_results"), "instance_results", "pb_id").withColumn("result_id", key(F.lit("i"), "pb_id", "place"))
@@ -122,9 +136,27 @@ def shred(docs: DataFrame, permissive: bool = False) -> dict[str, DataFrame]:
     t["task"] = tasks.select(key("task").alias("task_id"), F.col("task").alias("name"))
     t["dataset_task"] = uses.distinct().select(key("dataset").alias("dataset_id"), key("task").alias("task_id"))
     t["head_task"] = heads.select(key("head").alias("head_id"), key("task").alias("task_id"))
+    for name, columns in REFERENCES.items():
+        for column, (relation, to) in columns.items():
+            t[name] = t[name].withMetadata(column, {"refers_to": to, "relation": relation})
     return t
 
 
+#: What columns of the tables refer to: one of them (FK), or as a bridge many (M2M).
+REFERENCES = {
+    "backbone": {"family_id": ("FK", "family")},
+    "pretrained_backbone": {"family_id": ("FK", "family"), "backbone_id": ("FK", "backbone")},
+    "classification_result": {"pb_id": ("FK", "pretrained_backbone")},
+    "instance_result": {"pb_id": ("FK", "pretrained_backbone")},
+    "semantic_result": {"pb_id": ("FK", "pretrained_backbone")},
+    "backbone_fps": {"fps_id": ("M2M", "fps_measurement")},
+    "instance_fps": {"fps_id": ("M2M", "fps_measurement")},
+    "semantic_fps": {"fps_id": ("M2M", "fps_measurement")},
+    "dataset_task": {"task_id": ("M2M", "task")},
+    "head_task": {"task_id": ("M2M", "task")},
+}
+
+
 # ---- data-quality rules: rows (rule, key)
 
 
@@ -160,33 +192,85 @@ def not_together(rows: DataFrame, name: str, a: str, b: str, rule: str) -> DataF
     return _violations(rows.filter(F.col(a).isNull() != F.col(b).isNull()), name, rule)
 
 
-def without(rows: DataFrame, name: str, other: DataFrame, other_name: str, rule: str) -> DataFrame:
-    """References that nothing answers to; null refers to nothing."""
-    found = other.select(F.col(other_name).alias(name)).distinct()
-    return _violations(rows.filter(F.col(name).isNotNull()).join(found, name, "left_anti"), name, rule)
+def without(rows: DataFrame, name: str, other: DataFrame, other_name: str, rule: str, reference: str | None = None) -> DataFrame:
+    """References (a column of rows; their names themselves if none is given) that nothing answers to; null refers to nothing."""
+    at = reference or name
+    found = other.select(F.col(other_name).alias(at)).distinct()
+    return _violations(rows.filter(F.col(at).isNotNull()).join(found, at, "left_anti"), name, rule)
+
+
+def by_family(t: Mapping[str, DataFrame], broken: DataFrame) -> DataFrame:
+    """family, rule, key: violations with the name of the document that they are in."""
+    families = t["family"].select("family_id", F.col("name").alias("family"))
+    pbs = t["pretrained_backbone"].select("pb_id", "family_id")
+    owners = [t[x].select("family_id", F.col("name").cast("string").alias("key")) for x in ("family", "backbone", "pretrained_backbone")]
+    results = {x: t[f"{x}_result"].join(pbs, "pb_id").select("family_id", "result_id") for x in ("classification", "instance", "semantic")}
+    owners += [r.select("family_id", F.col("result_id").cast("string").alias("key")) for r in results.values()]
+    owners += [t[f"{x}_fps"].join(results[x], "result_id").select("family_id", F.col("fps_id").cast("string").alias("key")) for x in ("instance", "semantic")]
+    owners.append(t["backbone_fps"].join(t["backbone"].select("backbone_id", "family_id"), "backbone_id").select("family_id", F.col("fps_id").cast("string").alias("key")))
+    return broken.join(reduce(DataFrame.unionByName, owners).distinct(), "key").join(families, "family_id").select("family", "rule", "key").distinct()
+
+
+def sorted_out(docs: DataFrame, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents that may be loaded, and family, reason of the others: what can't be shredded, and what breaks rules, document by document."""
+    why = docs.select(F.col("name").alias("family"), refused(docs, permissive).alias("reason")).filter("reason IS NOT NULL")
+    t = shred(docs, permissive)
+    # a row a rejected document, for both uses
+    broken = by_family(t, violations(t, dimensions=dimensions)).groupBy("family").agg(F.array_join(F.sort_array(F.collect_set("rule")), ", ").alias("reason")).persist()
+    rejects = why.unionByName(broken)
+    good = docs.filter(refused(docs, permissive).isNull()).join(broken.select(F.col("family").alias("name")), "name", "left_anti").select(*docs.columns)
+    return good, rejects
+
+
+def _listed(rows: DataFrame, name: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
+    """rule, key of rows that break rules (name, condition), all in one pass."""
+    broken = F.array_compact(F.array(*(F.when(c, F.lit(rule)) for rule, c in rules)))
+    return rows.select(F.explode(broken).alias("rule"), F.col(name).cast("string").alias("key")).distinct()
+
+
+def unknown(t: Mapping[str, DataFrame], dimensions: Mapping[str, DataFrame]) -> DataFrame:
+    """rule, key of what names a dataset, head or task that the given dimensions (name) don't have."""
+    asked = []
+    for table, name, columns in (("classification_result", "result_id", ("dataset", "fine_tune_dataset", "intermediate_fine_tune_dataset")), ("instance_result", "result_id", ("dataset", "train_dataset", "intermediate_train_dataset", "head", "instance_type")), ("semantic_result", "result_id", ("dataset", "train_dataset", "intermediate_train_dataset", "head")), ("pretrained_backbone", "name", ("pretrain_dataset",))):
+        named = F.array(*(F.struct(F.lit({"head": "head", "instance_type": "task"}.get(c, "dataset")).alias("kind"), F.col(f"{c}_id").alias("id")) for c in columns))
+        asked.append(t[table].select(F.col(name).cast("string").alias("key"), F.inline(named)))
+    known = reduce(DataFrame.unionByName, (dimensions[k].select(F.lit(k).alias("kind"), key("name").alias("id")) for k in ("dataset", "head", "task")))
+    lost = reduce(DataFrame.unionByName, asked).filter("id IS NOT NULL").join(known, ["kind", "id"], "left_anti")
+    return lost.select(F.concat(F.lit("J10 "), "kind").alias("rule"), "key").distinct()
+
 
+def violations(t: Mapping[str, DataFrame], enums: Mapping[str, Iterable[str]] = ENUMS, dimensions: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """rule, key of everything in shredded tables that breaks a rule; empty tables break none.
 
-def violations(t: Mapping[str, DataFrame], enums: Mapping[str, Iterable[str]] = ENUMS) -> DataFrame:
-    """rule, key of everything in shredded tables that breaks a rule; empty tables break none."""
+    With dimensions (dataset, head, task: name; dataset_task: dataset, task)
+    what they don't know is a violation, and datasets serve the tasks they say;
+    without, the documents' own names are all there is.
+    """
     c, i, s = t["classification_result"], t["instance_result"], t["semantic_result"]
     out = [repeated(t[x], "name", f"K1 {x}") for x in ("family", "backbone", "pretrained_backbone")]
-    out.append(all_missing(t["family"], "name", ("paper", "github"), "K2"))
-    for rule, p in (("K3", "fine_tune"), ("K4", "intermediate_fine_tune")):
+    null = lambda columns: reduce(lambda a, b: a | b, (F.col(x).isNull() for x in columns))
+    nothing = lambda rows, columns: reduce(lambda a, b: a & b, (missing(rows, x) for x in columns))
+    apart = lambda a, b: F.col(a).isNull() != F.col(b).isNull()
+    odd = lambda rows: [("K8", F.col(x).isNotNull() & ~F.col(x).isin(list(values))) for x, values in enums.items() if x in rows.columns]
+
+    def tuned(p):
         has, res, ep = F.col(f"{p}_dataset_id").isNotNull(), missing(c, f"{p}_resolution"), missing(c, f"{p}_epochs")
-        out.append(_violations(c.filter((has & res) | (~has & (~res | ~ep))), "result_id", rule))
-    out.append(not_together(i, "result_id", "intermediate_train_dataset_id", "intermediate_train_epochs", "K5"))
-    out.append(all_missing(s, "result_id", ("ms_m_iou", "ss_m_iou"), "K6"))
-    out.append(not_together(s, "result_id", "intermediate_train_dataset_id", "intermediate_train_epochs", "K7"))
-    for column, values in enums.items():
-        for x in ("family", "pretrained_backbone", "fps_measurement"):
-            if column in t[x].columns:
-                out.append(outside(t[x], "fps_id" if x == "fps_measurement" else "name", column, values, "K8"))
-    served = t["dataset_task"].join(t["task"], "task_id").select("dataset_id", F.col("name").alias("task"))
-    for rows, task in ((c, "Classification"), (s, "Semantic Segmentation")):
-        out.append(_violations(rows.join(served.filter(F.col("task") == task), "dataset_id", "left_anti"), "result_id", "K9"))
-    need = {"classification_result": ("dataset_id", "resolution", "top_1"), "instance_result": ("head_id", "dataset_id", "instance_type_id", "train_dataset_id", "train_epochs", "mAP"), "semantic_result": ("head_id", "dataset_id", "train_dataset_id", "train_epochs", "crop_size")}
-    out += [absent(t[x], "result_id", columns, "K10") for x, columns in need.items()]
-    out.append(absent(t["pretrained_backbone"], "name", ("pretrain_dataset_id", "pretrain_method", "pretrain_resolution", "pretrain_epochs"), "K10"))
+        return (has & res) | (~has & (~res | ~ep))
+
+    out.append(_listed(t["family"], "name", [("K2", nothing(t["family"], ("paper", "github"))), *odd(t["family"])]))
+    out.append(_listed(t["pretrained_backbone"], "name", [*odd(t["pretrained_backbone"]), ("K10", null(("pretrain_dataset_id", "pretrain_method", "pretrain_resolution", "pretrain_epochs")))]))
+    out.append(_listed(t["fps_measurement"], "fps_id", odd(t["fps_measurement"])))
+    out.append(_listed(c, "result_id", [("K3", tuned("fine_tune")), ("K4", tuned("intermediate_fine_tune")), ("K10", null(("dataset_id", "resolution", "top_1")))]))
+    need = ("head_id", "dataset_id", "train_dataset_id", "train_epochs")
+    out.append(_listed(i, "result_id", [("K5", apart("intermediate_train_dataset_id", "intermediate_train_epochs")), ("K10", null((*need, "instance_type_id", "mAP")))]))
+    out.append(_listed(s, "result_id", [("K6", nothing(s, ("ms_m_iou", "ss_m_iou"))), ("K7", apart("intermediate_train_dataset_id", "intermediate_train_epochs")), ("K10", null((*need, "crop_size")))]))
+    if dimensions:
+        out.append(unknown(t, dimensions))
+        served = dimensions["dataset_task"].select(key("dataset").alias("dataset_id"), key("task").alias("task_id"))
+        uses = ((c, key(F.lit("Classification"))), (i, F.col("instance_type_id")), (s, key(F.lit("Semantic Segmentation"))))
+        asked = reduce(DataFrame.unionByName, (rows.select("result_id", "dataset_id", task.alias("task_id")) for rows, task in uses))
+        lost = asked.filter("dataset_id IS NOT NULL AND task_id IS NOT NULL").join(served, ["dataset_id", "task_id"], "left_anti")
+        out.append(_violations(lost, "result_id", "K9"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -206,12 +290,49 @@ def may_delete(references: DataFrame, column: str, ids: DataFrame) -> bool:
     return not references.join(ids, column, "left_semi").limit(1).count()
 
 
-def write_family(t: Mapping[str, DataFrame], path: str, family: str) -> None:
-    """All of a family or nothing: validate first, then overwrite its partition of each table."""
-    if violations(t).limit(1).count():
+def write_family(t: Mapping[str, DataFrame], path: str, family: str, dimensions: Mapping[str, DataFrame] | None = None) -> None:
+    """All of a family or nothing: validate, write its tables to a folder of their own, then name that folder in the family's manifest by one rename."""
+    if not t["family"].filter(F.col("name") == family).limit(1).count():
+        raise ValueError(f"{family} has no tables: it was refused")
+    if violations(t, dimensions=dimensions).limit(1).count():
         raise ValueError(f"{family} breaks rules")
+    version = uuid.uuid4().hex
     for name, rows in t.items():
-        rows.withColumn("family", F.lit(family)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("family").parquet(f"{path}/{name}")
+        rows.write.parquet(f"{path}/versions/{version}/{name}")
+    spark = t["family"].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{quote(family, safe='')}")
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/.{version}")
+    out = fresh.getFileSystem(conf).create(fresh)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, place, overwrite)
+
+
+def load(docs: DataFrame, path: str, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None) -> list[str]:
+    """Writes every family of docs; an error that names the first rejects, and nothing written, if one can't be loaded."""
+    good, rejects = sorted_out(docs, permissive, dimensions)
+    bad = rejects.orderBy("family", "reason").limit(20).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['family']}: {r['reason']}" for r in bad))
+    names = [r["name"] for r in good.select("name").orderBy("name").collect()]
+    for name in names:
+        write_family(shred(good.filter(F.col("name") == name), permissive), path, name, dimensions)
+    return names
+
+
+def read_families(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of all families' present versions."""
+    manifests = spark.read.text(f"{path}/manifests/*", wholetext=True)
+    versions = [r["value"] for r in manifests.collect()]
+    names = (*("family", "backbone", "pretrained_backbone"), *(f"{x}_result" for x in ("classification", "instance", "semantic")), *(f"{x}_fps" for x in ("backbone", "instance", "semantic")), "fps_measurement", "dataset", "head", "task", "dataset_task", "head_task")
+    t = {n: spark.read.parquet(*(f"{path}/versions/{v}/{n}" for v in versions)) for n in names}
+    for n in ("head", "task", "dataset_task", "head_task"):
+        t[n] = t[n].distinct()
+    t["dataset"] = t["dataset"].groupBy("dataset_id", "name").agg(F.max("eval").alias("eval"), F.max("website").alias("website"))
+    return t
 
 
 # ---- nesting
@@ -282,16 +403,51 @@ def write_text(rows: DataFrame, path: str) -> None:
 # ---- differences
 
 
-def flatten(docs: DataFrame, name: str, arrays: Mapping[str, Sequence[str]]) -> DataFrame:
-    """path, value rows of documents' top-level fields and of arrays of structs, whose elements are named by their key fields (missing ones leave an empty name)."""
-    scalars = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
-    part = lambda p, v: F.struct(F.concat_ws("/", *p).alias("path"), v.cast("string").alias("value"))
-    rows = [docs.select(F.inline(F.array(*(part([F.col(name), F.lit(s)], F.col(s)) for s in scalars))))]
-    for column, keys in arrays.items():
-        fields = [f.name for f in docs.schema[column].dataType.elementType.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
-        e = docs.select(F.col(name).alias("__doc"), F.explode(column).alias("e"))
-        own = F.concat_ws("+", *(F.col(f"e.{k}").cast("string") for k in keys))
-        rows.append(e.select(F.inline(F.array(*(part([F.col("__doc"), F.lit(column), own, F.lit(x)], F.col(f"e.{x}")) for x in fields)))))
+def element_key(e: Column, names: Iterable[str], keys: Sequence[str] | None = None) -> Column:
+    """What names an element of a list: its name; else gpu, precision and resolution; else dataset, head and mAP; else dataset, resolution, fine-tuning dataset and top_1; an element without these fields has no name."""
+    have = set(names)
+    if keys is None:
+        rules = (("name",), ("gpu", "precision", "resolution"), ("dataset", "head", "mAP"), ("dataset", "resolution", "fine_tune_dataset", "top_1"))
+        keys = next((r for first, r in zip(("name", "gpu", "mAP", "top_1"), rules) if first in have and have >= set(r)), ())
+    return F.concat_ws("+", *(F.coalesce(e[k].cast("string"), F.lit("None")) for k in keys)) if keys else F.lit("")
+
+
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+
+
+def canonical(docs: DataFrame) -> DataFrame:
+    """docs with the fields of all levels by name, and all lists of structs by their elements' keys (equal keys keep their order)."""
+
+    def ordered(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            fields = sorted(kind.fields, key=lambda f: f.name)
+            return F.when(c.isNotNull(), F.struct(*(ordered(c[f.name], f.dataType).alias(f.name) for f in fields)))
+        if not _nested(kind):
+            return c
+        inner = kind.elementType
+        keyed = F.transform(c, lambda e, i: F.struct(element_key(e, inner.names).alias("k"), i.alias("i"), ordered(e, inner).alias("e")))
+        return F.transform(F.array_sort(keyed, lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(x["i"] - y["i"])), lambda x: x["e"])
+
+    return docs.select(*(ordered(F.col(f.name), f.dataType).alias(f.name) for f in sorted(docs.schema.fields, key=lambda f: f.name)))
+
+
+def flatten(docs: DataFrame, name: str, arrays: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """path, value rows of documents, down to the deepest list: elements are named by element_key(), or by the fields given for their list."""
+    rows: list[DataFrame] = []
+
+    def walk(d: DataFrame, kind: T.StructType) -> None:
+        scalars = [f.name for f in kind.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
+        if scalars:
+            part = lambda x: F.struct(F.concat_ws("/", "p", F.lit(x)).alias("path"), F.col(f"e.`{x}`").cast("string").alias("value"))
+            rows.append(d.select(F.inline(F.array(*map(part, scalars)))))
+        for f in kind.fields:
+            if _nested(f.dataType):
+                inner = f.dataType.elementType
+                own = element_key(F.col("e"), inner.names, (arrays or {}).get(f.name))
+                walk(d.select("p", F.explode(f"e.`{f.name}`").alias("e")).select(F.concat_ws("/", "p", F.lit(f.name), own).alias("p"), "e"), inner)
+
+    walk(docs.select(F.col(name).cast("string").alias("p"), F.struct(*docs.columns).alias("e")), docs.schema)
     return reduce(DataFrame.unionByName, rows).filter("value IS NOT NULL")
 
 
@@ -304,9 +460,10 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def diff_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
     """changed, lines (of the longer), percent (may exceed 100; 0 of nothing)."""
-    sizes = old.agg(F.count(F.lit(1)).alias("a")).join(new.agg(F.count(F.lit(1)).alias("b")), F.lit(True)).select(F.greatest("a", "b").alias("lines"))
-    changed = diff(old, new).agg(F.count(F.lit(1)).alias("changed"))
-    return changed.join(sizes, F.lit(True)).select("changed", "lines", F.coalesce(F.try_divide(100.0 * F.col("changed"), F.col("lines")), F.lit(0.0)).alias("percent"))
+    parts = [rows.select(F.lit(k).alias("of")) for k, rows in (("a", old), ("b", new), ("c", diff(old, new)))]
+    n = {k: F.count_if(F.col("of") == k) for k in "abc"}
+    counted = reduce(DataFrame.unionByName, parts).agg(n["c"].alias("changed"), F.greatest(n["a"], n["b"]).alias("lines"))
+    return counted.select("changed", "lines", F.coalesce(F.try_divide(100.0 * F.col("changed"), F.col("lines")), F.lit(0.0)).alias("percent"))
 
 
 def schema_text(df: DataFrame) -> str:
@@ -327,3 +484,13 @@ def examples(paths: Sequence[str], k: int, family: str) -> list[str]:
 def prompt(template: str, **parts: str) -> str:
     """The template with `{name}` replaced by each part; other braces stay."""
     return reduce(lambda t, kv: t.replace("{" + kv[0] + "}", kv[1]), parts.items(), template)
+
+
+def extracted(prompts: DataFrame, call: Callable[[str], str], language: str = "yaml") -> DataFrame:
+    """prompts (name, prompt) with response and body: what an extractor (a function of the prompt, called in the tasks, once a row) answers, and the fenced block in it."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["name"]].assign(response=[call(x) for x in pdf["prompt"]])
+
+    return prompts.select("name", "prompt").mapInPandas(run, "name string, response string").withColumn("body", fenced("response", language))

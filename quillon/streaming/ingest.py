@@ -1,28 +1,34 @@
-"""Continuous ingest of nested documents: each micro-batch is shredded, validated and appended, or kept aside."""
+"""Continuous ingest of nested documents: each document of a micro-batch is loaded, or kept aside with the reason."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import documents as ds
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, permissive: bool = False, **trigger) -> StreamingQuery:
-    """JSON documents (a line each) that arrive in folder -> tables under out; documents that break rules -> out/rejected.
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None, **trigger) -> StreamingQuery:
+    """JSON documents (a line each) that arrive in folder -> tables under out; out/rejected (value, reason) has the others.
 
     The batch id is a column of what is written, so a batch that is run again
-    replaces itself.
+    replaces itself. A name that arrives twice in a batch is rejected twice;
+    lines that don't parse have no name and are rejected as malformed.
     """
     lines = spark.readStream.text(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
-        parsed = ds.read_json(spark, rows)
-        tables = ds.shred(parsed, permissive)
-        bad = ds.violations(tables).limit(1).count() > 0
-        written = {"rejected": rows} if bad else tables
-        for name, table in written.items():
+        parsed = ds.read_json(spark, rows, keep=True)
+        good, rejects = ds.sorted_out(parsed, permissive, dimensions)
+        tables = ds.shred(good.drop("value"), permissive)
+        why = rejects.filter("family IS NOT NULL").groupBy("family").agg(F.array_join(F.sort_array(F.collect_set("reason")), ", ").alias("why"))
+        refused = parsed.withColumn("reason", ds.refused(parsed, permissive)).select(F.col("name").alias("family"), "value", "reason")
+        rejected = refused.join(why, "family", "left").select("value", F.coalesce("reason", "why").alias("reason")).filter("reason IS NOT NULL")
+        for name, table in {**tables, "rejected": rejected}.items():
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         rows.unpersist()
 

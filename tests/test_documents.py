@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from quillon.catalogue import from_tables
 from quillon.operators import reports as rp
@@ -65,6 +64,7 @@ def test_each_rule(spark):
     assert broken(put("semantic_seg_results", ms_m_iou=0)) == ["K6"]
     assert broken(put("semantic_seg_results", intermediate_train_dataset="X")) == ["K7"]
     assert broken(lambda d, p: d.update(pretrain_method="magic")) == ["K8"]
+    assert broken(lambda d, p: None) == []
     assert broken(put("classification_results", top_1=None)) == ["K10"]
     assert [r["rule"] for r in ds.violations(load(spark, family(), family())).collect()][:3] == ["K1 family", "K1 backbone", "K1 backbone"]
 
@@ -143,4 +143,65 @@ def test_yaml_and_driver_helpers(spark, tmp_path):
     with pytest.raises(ValueError, match="breaks"):
         ds.write_family(load(spark, family(paper="", github="")), str(tmp_path / "w"), "Fam")
     ds.write_family(load(spark, family()), str(tmp_path / "w"), "Fam")
-    assert spark.read.parquet(str(tmp_path / "w" / "family")).select(F.col("family")).first()[0] == "Fam"
+    ds.write_family(load(spark, family(model_type="Convolution")), str(tmp_path / "w"), "Fam")
+    t = ds.read_families(spark, str(tmp_path / "w"))
+    assert [(r["name"], r["model_type"]) for r in t["family"].collect()] == [("Fam", "Convolution")]
+    with pytest.raises(ValueError, match="refused"):
+        ds.write_family(load(spark, uncropped("Late")), str(tmp_path / "w"), "Late")
+    answer = ds.extracted(spark.createDataFrame([("a", "p")], "name string, prompt string"), lambda p: f"so ```yaml\nname: {p}\n``` it is").first()
+    assert answer["body"].strip() == "name: p"
+
+
+def uncropped(name):
+    d = family(name)
+    d["backbones"][0]["pretrained_backbones"][0]["semantic_seg_results"][0].pop("crop_size")
+    return d
+
+
+def test_load_reports_what_it_refuses(spark, tmp_path):
+    docs = lambda *d: ds.read_json(spark, spark.createDataFrame([(x if isinstance(x, str) else json.dumps(x),) for x in d], "value string"))
+    good, rejects = ds.sorted_out(docs(family("A"), uncropped("B"), family("C", paper="", github=""), "[1]"))
+    assert [r["name"] for r in good.collect()] == ["A"]
+    assert sorted((str(r["family"]), r["reason"]) for r in rejects.collect()) == [("B", "crop_size"), ("C", "K2"), ("None", "malformed")]
+    with pytest.raises(ValueError, match="B: crop_size"):
+        ds.load(docs(family("A"), uncropped("B")), str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists()
+    assert ds.load(docs(family("A"), family("D")), str(tmp_path / "x")) == ["A", "D"]
+    assert ds.read_families(spark, str(tmp_path / "x"))["pretrained_backbone"].count() == 2
+
+
+def test_given_dimensions(spark):
+    """Names that nobody knows, and a dataset that isn't there for a task."""
+    names = lambda *x: spark.createDataFrame([(v,) for v in x], "name string")
+    tasks = [("ImageNet-1k", "Classification"), ("COCO", "Object Detection"), ("ADE", "Semantic Segmentation")]
+    dims = {"dataset": names("ImageNet-1k", "COCO", "ADE"), "head": names("Mask", "UPer"), "task": names(*(t for _, t in tasks)), "dataset_task": spark.createDataFrame(tasks, "dataset string, task string")}
+    rules = lambda d: sorted({r["rule"] for r in ds.violations(load(spark, d), dimensions=dims).collect()})
+
+    def put(kind, **values):
+        d = family()
+        d["backbones"][0]["pretrained_backbones"][0][kind][0].update(values)
+        return d
+
+    assert rules(family()) == []
+    assert rules(put("classification_results", dataset="COCO")) == ["K9"]
+    assert rules(put("instance_results", instance_type="Instance Segmentation")) == ["J10 task", "K9"]
+    assert rules(put("instance_results", head="Nobody")) == ["J10 head"]
+    assert rules(put("semantic_seg_results", train_dataset="Nowhere")) == ["J10 dataset"]
+
+
+def test_nested_differences_and_order(spark):
+    docs = lambda d: ds.read_json(spark, spark.createDataFrame([(json.dumps(d),)], "value string"))
+    a, b = family(), family()
+    b["backbones"][0]["pretrained_backbones"][0]["semantic_seg_results"][0]["ms_m_iou"] = 49.0
+    b["backbones"].reverse()
+    flat = lambda d: ds.flatten(docs(d), "name")
+    assert sorted(map(tuple, ds.diff(flat(a), flat(b)).collect())) == [("+", "Fam/backbones/Fam-S/pretrained_backbones/Fam-S-1k/semantic_seg_results//ms_m_iou", "49.0"), ("-", "Fam/backbones/Fam-S/pretrained_backbones/Fam-S-1k/semantic_seg_results//ms_m_iou", "48.0")]
+    one, other = (ds.canonical(docs(x)).first() for x in (a, a | {"backbones": a["backbones"][::-1]}))
+    assert one == other and one.__fields__ == sorted(one.__fields__)
+    fps = one["backbones"][1]["fps_measurements"]
+    assert [(x["gpu"], x["resolution"], x["fps"]) for x in fps] == [("3080", 224, 1000.0), ("3080", 224, 900.0), ("V100", 384, 1000.0)]
+
+
+def test_schema_text_names_references(tables):
+    assert "family_id (FK to family)" in ds.schema_text(tables["backbone"]) and "dataset_id (FK to dataset)" in ds.schema_text(tables["instance_result"])
+    assert "task_id (M2M to task)" in ds.schema_text(tables["dataset_task"])

@@ -1,6 +1,6 @@
 import json
 
-from test_documents import family
+from test_documents import family, uncropped
 
 from quillon.streaming.ingest import ingest
 
@@ -14,3 +14,7 @@ def test_ingest(spark, tmp_path):
     ingest(spark, str(folder), str(out), str(tmp_path / "c")).awaitTermination()
     assert [r["name"] for r in spark.read.parquet(str(out / "family")).collect()] == ["Fam"]
     assert spark.read.parquet(str(out / "rejected")).count() == 1
+    (folder / "c.json").write_text("\n".join([json.dumps(family("Good")), json.dumps(family("Worse", paper="", github="")), json.dumps(uncropped("Late")), "[1]"]) + "\n")
+    ingest(spark, str(folder), str(out), str(tmp_path / "c")).awaitTermination()
+    assert sorted(r["name"] for r in spark.read.parquet(str(out / "family")).collect()) == ["Fam", "Good"]
+    assert sorted(r["reason"] for r in spark.read.parquet(str(out / "rejected")).collect()) == ["K2", "K2", "crop_size", "malformed"]
