@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, cut, table
 
 WEIGHTS, EPOCHS, REPEAT = (5.0, 2.0, 1.0), 1.5, 2.0
 #: By weight class: the schedule at times 0, 1/2 and 1, as multiples of the weight; each integrates to 1.
@@ -71,7 +71,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: floa
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, repeat: float = REPEAT, schedules=SCHEDULES) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies and positions (of each pass over the document)."""
-    d = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    # words are counted once; everything after reads three narrow columns
+    d = cut(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")))
     d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), weights, epochs, repeat)
     d = d.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))

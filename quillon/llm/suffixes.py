@@ -13,8 +13,9 @@ also starts earlier: in a document of smaller doc_id, or in the same one.
    the first are marked. What is left of a shard holds a window once, so a
    string that a third of all documents hold is sent once a shard.
 3. What is left around anchors that other shards have too is sent to the
-   anchors' own shards, where the sorted runs of windows are merged by binary
-   search for the first occurrence, and compared with it byte by byte.
+   anchors' own shards. Their windows' hashes stand for sorted suffixes there:
+   a window finds the first of its hash by binary search and is compared with
+   it byte by byte.
 
 Texts are taken as UTF-8 bytes; null texts are empty. Rows that agree in doc_id
 and text are one document, and each gets its result. Rows of one doc_id with
@@ -118,30 +119,37 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, step: int = 64) -> np.ndarray:
     """Kasai's common prefixes of neighbours in the suffix array, up to depth; the first has 0.
 
     In text order a suffix shares at least one byte less with its neighbour
-    than the one before it did: all places are lengthened together, and only
-    those whose ranks differ are compared at all.
+    than the one before it did. The text is walked in lanes of `step` places, all
+    lanes at once, each with what the place before it has left: bytes are
+    compared in proportion to the text, and up to depth anew for each lane.
     """
     n = len(order)
+    before = np.full(n, -1, dtype=np.int64)
+    before[order[1:]] = order[:-1]
     out = np.zeros(n, dtype=np.int64)
-    if n < 2:
-        return out
-    same = np.flatnonzero(rank[order[1:]] == rank[order[:-1]]) + 1
-    out[same] = depth
-    open_ = np.flatnonzero(rank[order[1:]] != rank[order[:-1]]) + 1
-    a, b = order[open_ - 1], order[open_]
-    for k in range(depth):
-        inside = (a + k < n) & (b + k < n)
-        go = np.zeros(len(a), bool)
-        go[inside] = data[a[inside] + k] == data[b[inside] + k]
-        if not go.any():
-            break
-        open_, a, b = open_[go], a[go], b[go]
-        out[open_] = k + 1
-    return out
+    begin = np.arange(0, n, step)
+    have = np.zeros(len(begin), dtype=np.int64)
+    for t in range(min(step, n)):
+        at = begin + t
+        if at[-1] >= n:
+            at, have = at[:-1], have[:-1]
+            begin = begin[:-1]
+        other = before[at]
+        have = np.where(other >= 0, np.maximum(have - 1, 0), 0)
+        go = np.flatnonzero((other >= 0) & (have < depth))
+        while len(go):
+            a, b = at[go] + have[go], other[go] + have[go]
+            inside = (a < n) & (b < n)
+            go, a, b = go[inside], a[inside], b[inside]
+            go = go[data[a] == data[b]]
+            have[go] += 1
+            go = go[have[go] < depth]
+        out[at] = have
+    return out[order]
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +172,8 @@ def _repeats(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> n
     at = np.concatenate([[0], np.cumsum(size)])
     source = np.arange(at[-1]) + np.repeat(lo - at[:-1], size)
     text = data[source]
-    order, rank = suffix_array(text, length)
-    prefix = common_prefixes(text, order, rank, length) if len(text) < 1 << 16 else np.where(np.append(False, rank[order[1:]] == rank[order[:-1]]), length, 0)
+    order, _ = suffix_array(text, length)
+    prefix = common_prefixes(text, order, length)
     inside = np.zeros(len(text), bool)
     inside[np.repeat(at[:-1], hi - lo + 1) + np.arange((hi - lo + 1).sum()) - np.repeat(np.concatenate([[0], np.cumsum(hi - lo + 1)[:-1]]), hi - lo + 1)] = True
     order_in = inside[order]

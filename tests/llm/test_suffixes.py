@@ -40,11 +40,11 @@ def test_empty_table(spark, empty):
 def test_suffix_array_and_prefixes():
     data = np.frombuffer(b"banana bandana banana bandana cabana" * 3, np.uint8)
     depth = 40
-    order, rank = suffixes.suffix_array(data, depth)
+    order, _ = suffixes.suffix_array(data, depth)
     raw = data.tobytes() + b"\0" * depth
     want = sorted(range(len(data)), key=lambda i: (raw[i : i + depth], i))
     assert [raw[i : i + depth] for i in order] == [raw[i : i + depth] for i in want]
-    prefix = suffixes.common_prefixes(data, order, rank, depth)
+    prefix = suffixes.common_prefixes(data, order, depth)
     for k in range(1, len(data)):
         a, b = raw[order[k - 1] : order[k - 1] + depth], raw[order[k] : order[k] + depth]
         n = next((i for i in range(depth) if a[i] != b[i]), depth)
