@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, each_slice, free, mix, shuffle_width, sized, slices, text_buffers
+from .common import counted, cut, each_slice, free, mix, shuffle_width, text_buffers
 
 ORDER = 5
 #: Entries up to which they are broadcast; bytes of text in a block; entries in a shard; n-grams that a counting task holds.
@@ -452,7 +452,7 @@ def score(docs: DataFrame, entries: DataFrame, width: int, of_grams: tuple[tuple
             got = features(scorer(a, b), chars, s, batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.float64()) for x in got)], names=schema.names)
 
-    many = entries.count()
+    many = counted(entries)
     if many > bound:
         return _by_shards(docs, entries, many, orders, fn, fold, width, finish, schema)
     t = entries.toArrow().combine_chunks()
@@ -464,6 +464,8 @@ def score(docs: DataFrame, entries: DataFrame, width: int, of_grams: tuple[tuple
     order = np.argsort(h)
     v = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float32).reshape(len(k), width) if len(k) else np.zeros((0, width), np.float32)
     sent = spark.sparkContext.broadcast((h[order], v[order]))
+    del t, k, a, b, h, v, order
+    pa.default_memory_pool().release_unused()
 
     def run(batches):
         yield from finish(batches, Scorer(*sent.value, orders, fn))

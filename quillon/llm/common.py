@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,22 +60,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **counts: Column) -> DataFrame:
     """df from a table written to the shared folder of spark.checkpoint.dir (one is set only where none is).
 
     That ends the lineage for executors that are lost, and for the optimizer:
     a checkpointed frame would keep the orderings of all the joins it came of,
-    which grow without bound over rounds.
+    which grow without bound over rounds. How many rows it has, and further
+    aggregates, are counted on the way (see counted()).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in counts.items())).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._quillon_path = path
+    out._quillon_path, out._quillon_counts = path, seen.get
     _written[path] = spark
     return out
 
 
+def counted(df: DataFrame, name: str = "rows") -> int:
+    """A count of a frame that cut() made; rows of any other are counted by a job."""
+    have = getattr(df, "_quillon_counts", None)
+    return have[name] if have is not None else df.count()
+
+
 def free(*frames: DataFrame) -> None:
     """Deletes the tables of frames that cut() made, when nothing that is still to run reads them."""
     for df in frames:
@@ -101,8 +109,9 @@ def free_since(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
 
 
 def settle(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished phases: it does when their frames are collected as garbage."""
+    """Lets Spark delete the shuffle files of finished phases (it does when their frames are collected as garbage), and gives memory back."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -226,22 +235,22 @@ def word_hashes(lowered: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
 
 
 def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most so many rows; counts no further than that, and a table of cut() not again."""
+    return counted(df) <= rows if hasattr(df, "_quillon_counts") else df.limit(rows + 1).count() <= rows
 
 
 #: Narrow rows (ids and hashes) up to which a side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for a broadcast if it is small(); beyond that the join shuffles."""
-    return F.broadcast(df) if small(df, rows) else df
+def sized(df: DataFrame, within: DataFrame | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for a broadcast if it is small(), or `within`, which has at least its rows; beyond that the join shuffles."""
+    return F.broadcast(df) if (within is not None and small(within, rows)) or small(df, rows) else df
 
 
 def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join by doc_id. labels (one row a doc_id) are broadcast up to that many rows, joined by a shuffle beyond it."""
-    return docs.join(sized(labels, broadcast_rows), "doc_id")
+    return docs.join(sized(labels, rows=broadcast_rows), "doc_id")
 
 
 def ceil_div(a: int, b: int) -> int:

@@ -108,7 +108,7 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     in_class = _limits(by[0], pooled, low, high, enough).select("__lang", "__null", "__class", F.col("n").alias("__n0"), F.col("lo").alias("__lo0"), F.col("hi").alias("__hi0"))
     in_lang = _limits(by[1], pooled, low, high, enough).select("__lang", "__null", F.col("lo").alias("__lo1"), F.col("hi").alias("__hi1"))
     scored = scored.withColumn("__lang", F.coalesce("lang", F.lit(""))).withColumn("__null", F.col("lang").isNull())
-    scored = scored.join(sized(in_class), ["__lang", "__null", "__class"], "left").join(sized(in_lang), ["__lang", "__null"], "left")
+    scored = scored.join(sized(in_class, cells), ["__lang", "__null", "__class"], "left").join(sized(in_lang, cells), ["__lang", "__null"], "left")
     # five length classes at most
     scored = scored.join(F.broadcast(by[2].filter(F.col("n") >= enough).select("__class", F.col("q").alias("__q2"))), "__class", "left")
     every = F.array(*(F.lit(x) for x in overall["q"])) if overall and overall["q"] else F.lit(None).cast("array<double>")
