@@ -123,23 +123,28 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, step: int =
     """Kasai's common prefixes of neighbours in the suffix array, up to depth; the first has 0.
 
     In text order a suffix shares at least one byte less with its neighbour
-    than the one before it did. The text is walked in lanes of `step` places, all
+    than the one before it did. (Where that one shared all of depth the order of
+    the two goes by place; it holds if their followers stand in the same order.)
+    The text is walked in lanes of `step` places, all
     lanes at once, each with what the place before it has left: bytes are
     compared in proportion to the text, and up to depth anew for each lane.
     """
     n = len(order)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
     out = np.zeros(n, dtype=np.int64)
     begin = np.arange(0, n, step)
-    have = np.zeros(len(begin), dtype=np.int64)
+    have, last = np.zeros(len(begin), dtype=np.int64), np.full(len(begin), -1, dtype=np.int64)
     for t in range(min(step, n)):
         at = begin + t
         if at[-1] >= n:
-            at, have = at[:-1], have[:-1]
-            begin = begin[:-1]
+            at, have, last, begin = at[:-1], have[:-1], last[:-1], begin[:-1]
         other = before[at]
-        have = np.where(other >= 0, np.maximum(have - 1, 0), 0)
+        sure = (have < depth) | ((last + 1 < n) & (place[np.minimum(last + 1, n - 1)] < place[at]))
+        have = np.where(sure & (other >= 0), np.maximum(have - 1, 0), 0)
+        last = other
         go = np.flatnonzero((other >= 0) & (have < depth))
         while len(go):
             a, b = at[go] + have[go], other[go] + have[go]

@@ -51,6 +51,25 @@ def test_suffix_array_and_prefixes():
         assert min(prefix[k], n) == min(n, len(data) - max(order[k - 1], order[k])) or prefix[k] == n
 
 
+def test_prefixes_of_long_repeats():
+    """Repeats beyond depth, whose followers stand the other way round."""
+    r = np.random.default_rng(4)
+    for n, depth in ((1, 8), (63, 8), (700, 8), (3000, 40)):
+        base = r.integers(97, 100, 150).astype(np.uint8)
+        data = np.concatenate([base, r.integers(97, 99, 9).astype(np.uint8)] * (n // 100 + 1))[:n]
+        data = np.where(r.random(n) < 0.01, 98, data).astype(np.uint8)
+        order, _ = suffixes.suffix_array(data, depth)
+        raw = data.tobytes()
+
+        def common(a, b):
+            k = 0
+            while k < depth and max(a, b) + k < n and raw[a + k] == raw[b + k]:  # noqa: B023
+                k += 1
+            return k
+
+        assert suffixes.common_prefixes(data, order, depth).tolist() == [0, *(common(order[k - 1], order[k]) for k in range(1, n))]
+
+
 def test_windows_of_equal_hash_are_compared_by_bytes(monkeypatch, spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     monkeypatch.setattr(suffixes, "_window_hashes", lambda data, length: np.zeros(len(data), np.uint64))
