@@ -109,7 +109,8 @@ def ordered(mixed: DataFrame) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = ordered(mix(table(spark, sf_dir, "documents")))
-    return m.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("position"))
+    rounded = F.transform("positions", lambda x: F.round(x, 6)).alias("positions")
+    return m.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("position"), rounded)
 
 
 ORACLE_SQL = r"""
@@ -124,9 +125,10 @@ r AS (SELECT doc_id, size, source_size, target, klass, CAST(round(target) AS BIG
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, CAST(greatest(0, least(size, goal - start)) AS BIGINT) AS p0, CAST(greatest(0, least(size, goal - source_size - start)) AS BIGINT) AS p1,
              CASE klass WHEN 0 THEN 1.4::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS k0, 1.0::DOUBLE AS k1, CASE klass WHEN 0 THEN 0.6::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.6::DOUBLE END AS k2 FROM r),
-a AS (SELECT *, (start + p0::DOUBLE / 2) / greatest(goal, 1) * ((k0 + k1) / 4 + k1 * 0.5::DOUBLE + (k2 - k1) * 0.25::DOUBLE) AS area, (k0 + k1) / 4 AS half FROM p)
-SELECT doc_id, size, source_size, target, p0 + p1 AS taken, CAST((p0 > 0) AS INTEGER) + CAST((p1 > 0) AS INTEGER) AS copies,
-       CASE WHEN p0 > 0 THEN round(CASE WHEN area <= half THEN 2 * area / (k0 + sqrt(greatest(k0 * k0 + 4 * (k1 - k0) * area, 0)))
-            ELSE 0.5::DOUBLE + 2 * (area - half) / (k1 + sqrt(greatest(k1 * k1 + 4 * (k2 - k1) * (area - half), 0))) END, 6) END AS position
-FROM a
+a AS (SELECT *, (k0 + k1) / 4 AS half, (k0 + k1) / 4 + k1 * 0.5::DOUBLE + (k2 - k1) * 0.25::DOUBLE AS whole FROM p),
+m AS (SELECT *, (start + p0::DOUBLE / 2) / greatest(goal, 1) * whole AS a0, (source_size + start + p1::DOUBLE / 2) / greatest(goal, 1) * whole AS a1 FROM a),
+t2 AS (SELECT *, CASE WHEN p0 > 0 THEN round(CASE WHEN a0 <= half THEN 2 * a0 / (k0 + sqrt(greatest(k0 * k0 + 4 * (k1 - k0) * a0, 0))) ELSE 0.5::DOUBLE + 2 * (a0 - half) / (k1 + sqrt(greatest(k1 * k1 + 4 * (k2 - k1) * (a0 - half), 0))) END, 6) END AS t0,
+              CASE WHEN p1 > 0 THEN round(CASE WHEN a1 <= half THEN 2 * a1 / (k0 + sqrt(greatest(k0 * k0 + 4 * (k1 - k0) * a1, 0))) ELSE 0.5::DOUBLE + 2 * (a1 - half) / (k1 + sqrt(greatest(k1 * k1 + 4 * (k2 - k1) * (a1 - half), 0))) END, 6) END AS t1 FROM m)
+SELECT doc_id, size, source_size, target, p0 + p1 AS taken, CAST((p0 > 0) AS INTEGER) + CAST((p1 > 0) AS INTEGER) AS copies, coalesce(t0, t1) AS position, list_filter([t0, t1], lambda x: x IS NOT NULL) AS positions
+FROM t2
 """
