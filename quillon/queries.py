@@ -460,10 +460,10 @@ def lookup_with_fallback(spark, sf_dir):
     return cat.pbs.filter(F.col("family") == rp.family_of(cat, "NATION_7")).select("family", "backbone").distinct()
 
 
-@_query("SELECT struct_pack(value := coalesce(n_name, ''), url := '/families/' || n_name) AS family, coalesce(CAST(n_regionkey AS VARCHAR), '') AS region, '' AS missing FROM nation", roles=False)
+@_query("SELECT coalesce(n_name, '') AS family, '/families/' || n_name AS url, coalesce(CAST(n_regionkey AS VARCHAR), '') AS region, '' AS missing FROM nation", roles=False)
 def rendered_table(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("family"), F.col("n_regionkey").alias("region"), tx.page_url("/families", "n_name").alias("u"))
-    return rp.rendered(n, ["family", "region", "missing"], {"family": "u"})
+    return rp.rendered(n, ["family", "region", "missing"], {"family": "u"}).select("family.value", "family.url", "region", "missing").withColumnRenamed("value", "family")
 
 
 # ---- nested documents: the same tables as documents, shredded again
