@@ -470,8 +470,8 @@ def rendered_table(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    """By way of their texts."""
-    return ds.read_json(spark, documents(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")))
+    """By way of their texts; kept, since every table is shredded from them."""
+    return ds.read_json(spark, documents(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))).persist()
 
 
 @_query("""SELECT 'family' AS name, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'backbone', (SELECT count(*) FROM customer) UNION ALL SELECT 'pretrained_backbone', (SELECT count(*) FROM orders)
@@ -502,7 +502,7 @@ def _spoilt(spark, sf_dir):
     """Every family but some has a fault: no name, no crop size, no links, or a dataset for a task that it isn't there for."""
     d = documents(spark, sf_dir).withColumn("n", F.row_number().over(Window.orderBy("name")) % 5)
     d = d.withColumn("name", F.when(F.col("n") != 1, F.col("name"))).withColumn("paper", F.when(F.col("n") != 2, F.col("paper")).otherwise(""))
-    return ds.read_json(spark, d.drop("n").select(F.to_json(F.struct("*")).alias("value")))
+    return ds.read_json(spark, d.drop("n").select(F.to_json(F.struct("*")).alias("value"))).persist()
 
 
 @_query("""WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_name) % 5 AS k FROM nation)
