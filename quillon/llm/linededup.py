@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODE, cut, each_slice, guarded, mix, rolling, sized, small, span_hash, table
+from .common import BYTE_CODE, cut, each_slice, guarded, mix, rolling, settle, sized, small, span_hash, table
 
 BOUNDARY, LEAST_LINES = 2, 2
 #: A line of so many words is a passage by itself.
@@ -202,6 +202,8 @@ def deduplicate(docs: DataFrame, units: Callable = _chunks) -> DataFrame:
     marked = dealt.join(wanted, ["__id", "__th"], "left")
     sent = marked.filter("want IS NOT NULL").select("text", "want").mapInArrow(_agreed, "h bigint, size bigint, bytes binary")
     odd = cut(sent.groupBy("h", "size").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a != b").select("h", "size"))
+    # the texts are dealt again for the result: the first time's shuffle files may go
+    settle(docs.sparkSession)
     gone = wanted.select("__id", "__th", F.explode(F.filter("want", lambda w: ~w["own"])).alias("w")).select("__id", "__th", "w.at", "w.size", "w.h")
     if not small(odd, 0):
         # a hash that different passages share: their occurrences are grouped by their bytes
