@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, and their SQL where it can express them."""
 
-from . import decontamination, html, linededup, mixing, nearest, ngramjoin, quality, secrets, suffixes, toxicity
+from . import decontamination, html, linededup, mixing, nearest, ngramjoin, prefixes, quality, secrets, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_linededup": linededup.op9_linededup,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_prefixes": prefixes.op11_prefixes,
+    "op12_tokens": tokens.op12_tokens,
 }
 
 ORACLE_SQL = {
@@ -20,4 +22,5 @@ ORACLE_SQL = {
     "op3_suffixes": suffixes.ORACLE_SQL,
     "op7_ngramjoin": ngramjoin.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
+    "op11_prefixes": prefixes.ORACLE_SQL,
 }
