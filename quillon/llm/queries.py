@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, and their SQL where it can express them."""
 
-from . import decontamination, html, linededup, mixing, nearest, ngramjoin, prefixes, quality, secrets, suffixes, tokens, toxicity
+from . import decontamination, html, linededup, mixing, nearest, ngramjoin, phrases, prefixes, quality, secrets, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_prefixes": prefixes.op11_prefixes,
     "op12_tokens": tokens.op12_tokens,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op7_ngramjoin": ngramjoin.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
     "op11_prefixes": prefixes.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
