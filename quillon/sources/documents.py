@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import fenced
+from .files import parsed, read_files
 
 _FPS = "array<struct<resolution:int,gpu:string,precision:string,fps:double,source:string>>"
 _LINKS = "paper:string,github:string"
@@ -50,17 +51,21 @@ def read_json(spark: SparkSession, texts: DataFrame, column: str = "value", keep
 
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """YAML files, read whole by Spark; numbers and dates become what the schema says."""
+    """The documents of YAML files that have one, read whole by Spark; numbers and dates become what the schema says."""
 
     def run(batches):
-        import yaml
-
         for pdf in batches:
-            yield pdf[["value"]].assign(value=[json.dumps(yaml.safe_load(x), default=str) for x in pdf["value"]])
+            yield pdf[["value"]].assign(value=[parsed(x.encode(), True)[0] for x in pdf["value"]])
 
     return read_json(spark, spark.read.text(path, wholetext=True).mapInPandas(run, "value string"))
 
 
+def read_folder(spark: SparkSession, path: str, **options: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of a folder (see files), and file, reason of the files that have none."""
+    found = read_files(spark, path, **options)
+    return read_json(spark, found.filter("reason IS NULL").select("value")), found.filter("reason IS NOT NULL").select("file", "reason")
+
+
 def malformed(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("name").isNull() | F.col("backbones").isNull())
 
