@@ -5,10 +5,10 @@ pieces at spaces and tabs into words. A phrase of 2 to `depth` words that
 occurs `least` times or more is a candidate; everything is counted within a
 language, a null language is `und`.
 
-1. Sieves: words, then pairs of words that pass, are counted by their hashes
-   over all documents; the frequent ones are bits of a bitmap of fixed size
-   that every task gets. A phrase with a part that isn't frequent can't be
-   frequent itself, and a bit too many only lets more through.
+1. Sieves: words, then phrases of two to four words whose parts pass, are
+   counted by their hashes over all documents; the frequent ones are bits of a
+   bitmap of fixed size that every task gets. A phrase with a part that isn't
+   frequent can't be frequent itself, and a bit too many only lets more through.
 2. Each shard of texts becomes a trie of exact words with a count a node, its
    root counting all words. It is written out in order, a row a node.
 3. Ranges of the order take the tries' rows sorted, sum equal ones and keep
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut, free, lookup, mix, shuffle_width, slices, table, text_buffers, word_hashes, words_of
 
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
-SIEVE_BITS, SIEVES = 27, 2
-SLICE, SHARD, HELD = 2 << 20, 16 << 20, 6_000_000
+SIEVE_BITS, SIEVES = 27, 4
+SLICE, SHARD, HELD = 2 << 20, 32 << 20, 4_000_000
 BREAKS = (*b".,;:!?", *range(0x0A, 0x0E))
 _LOW, _WORD = lookup((0x20, 0x09, *BREAKS))
 _BREAK = np.zeros(256, dtype=bool)
@@ -176,9 +176,9 @@ class _Trie:
         every = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(words.lowered))
         own = every.take(pa.array(2 * at)).dictionary_encode()
         number = np.array([self.ids.setdefault(w, len(self.ids)) for w in own.dictionary.to_pylist()], dtype=np.int64)
-        ids = np.full(len(words.start), -1, dtype=np.int64)
+        ids = np.full(len(words.start), -1, dtype=np.int32)
         ids[at] = number[own.indices.to_numpy()]
-        self.parts.append((ids, deep, words.lang))
+        self.parts.append((ids, deep.astype(np.int8), words.lang.astype(np.int32)))
 
     def rows(self, names: list[str]) -> pa.RecordBatch:
         """A row a node in order: language, words, count."""
@@ -187,7 +187,7 @@ class _Trie:
             ids, deep, code = (np.concatenate(x) for x in zip(*self.parts))
             words, langs = pa.array(list(self.ids), pa.string()), pa.array(names, pa.string())
             at = np.flatnonzero(deep >= 1)
-            keys, node, n = np.unique(code[at] * len(words) + ids[at], return_inverse=True, return_counts=True)
+            keys, node, n = np.unique(code[at].astype(np.int64) * len(words) + ids[at], return_inverse=True, return_counts=True)
             own, text = langs.take(pa.array(keys // len(words))), words.take(pa.array(keys % len(words)))
             where = np.empty(len(ids), dtype=np.int64)
             for d in range(1, self.depth + 1):
