@@ -41,7 +41,7 @@ def bound(spark: SparkSession, sf_dir: str) -> Catalogue:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as nested documents, a row a family: what sources.documents reads."""
+    """The same as nested documents, a row a customer: what sources.documents reads. A document is as large as a customer's orders, their number grows with the data."""
     t = lambda n: read(spark, sf_dir, n)
     line = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("dataset")), "l_partkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("head")), "l_suppkey")
     gflops = F.nullif("l_tax", F.lit(0.0)).alias("gflops")
@@ -53,9 +53,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.struct("l_linenumber", "head", "dataset", *trained, size.alias("crop_size"), F.col("l_extendedprice").alias("ms_m_iou"), gflops)
     of = lambda flag, x: F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == flag, x)))
     results = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(of("R", c).alias("classification_results"), of("A", i).alias("instance_results"), of("N", s).alias("semantic_seg_results"))
-    pb = F.struct(F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("pretrain_dataset"), F.lit("Supervised").alias("pretrain_method"), F.lit(224).alias("pretrain_resolution"), F.lit(300).alias("pretrain_epochs"), "classification_results", "instance_results", "semantic_seg_results")
-    pbs = t("orders").join(results, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(pb).alias("pretrained_backbones"))
+    return _families(t, t("orders").join(results, "o_orderkey", "left"), "classification_results", "instance_results", "semantic_seg_results")
+
+
+def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents() without results."""
+    t = lambda n: read(spark, sf_dir, n)
+    return _families(t, t("orders"))
+
+
+def _families(t, orders: DataFrame, *results: str) -> DataFrame:
+    pb = F.struct(F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("pretrain_dataset"), F.lit("Supervised").alias("pretrain_method"), F.lit(224).alias("pretrain_resolution"), F.lit(300).alias("pretrain_epochs"), *results)
+    pbs = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(pb).alias("pretrained_backbones"))
     backbone = F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("m_parameters"), "pretrained_backbones")
-    backbones = t("customer").join(pbs, "c_custkey", "left").groupBy("c_nationkey").agg(F.collect_list(backbone).alias("backbones"))
-    n = t("nation").join(backbones, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    return n.select(F.col("n_name").alias("name"), F.lit("Attention").alias("model_type"), F.lit(True).alias("hierarchical"), F.lit("Supervised").alias("pretrain_method"), F.lit("2022-04-15").alias("pub_date"), F.col("n_name").alias("paper"), F.lit("").alias("github"), "backbones")
+    n = t("customer").join(pbs, "c_custkey", "left")
+    return n.select(F.col("c_name").alias("name"), F.lit("Attention").alias("model_type"), F.lit(True).alias("hierarchical"), F.lit("Supervised").alias("pretrain_method"), F.lit("2022-04-15").alias("pub_date"), F.col("c_name").alias("paper"), F.lit("").alias("github"), F.array(backbone).alias("backbones"))

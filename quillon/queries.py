@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .binding import INSTANCE_TYPES, UNUSED, bound, documents, read
+from .binding import INSTANCE_TYPES, UNUSED, bound, documents, plain_documents, read
 from .catalogue import METRICS, axis_title, from_tables
 from .functions import text as tx
+from .operators import alignment as al
 from .operators import choices as ch
+from .operators import references as rf
 from .operators import reports as rp
 from .plans import comparison as cp
 from .plans import tables as tb
 from .request import AxisArgs, DataArgs, Request
 from .sources import documents as ds
+from .sources import files
+from .sources.store import Store
+from .sources.written import fresh_folder, kept
+from .streaming.ingest import ROCKS, versions
 
 BRANDS = tuple(f"Brand#{i}" for i in range(1, 26))
 _ROLES = """
@@ -470,11 +476,11 @@ def rendered_table(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    """By way of their texts; kept, since every table is shredded from them."""
-    return ds.read_json(spark, documents(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))).persist()
+    """By way of their texts; written, since every table is shredded from them."""
+    return kept(ds.read_json(spark, documents(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))))
 
 
-@_query("""SELECT 'family' AS name, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'backbone', (SELECT count(*) FROM customer) UNION ALL SELECT 'pretrained_backbone', (SELECT count(*) FROM orders)
+@_query("""SELECT 'family' AS name, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'backbone', (SELECT count(*) FROM customer) UNION ALL SELECT 'pretrained_backbone', (SELECT count(*) FROM orders)
            UNION ALL SELECT 'classification_result', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') UNION ALL SELECT 'instance_result', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A')
            UNION ALL SELECT 'semantic_result', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'N') UNION ALL SELECT 'head', (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_returnflag <> 'R')
            UNION ALL SELECT 'task', (SELECT count(DISTINCT CASE WHEN l_returnflag = 'R' THEN 'c' WHEN l_returnflag = 'N' THEN 's' ELSE l_linestatus END) FROM lineitem)""", roles=False)
@@ -484,8 +490,8 @@ def shredded_tables(spark, sf_dir):
     return reduce(DataFrame.unionByName, (t[n].select(F.lit(n).alias("name")) for n in names)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("""SELECT n_name AS family, c_name AS backbone, CAST(o_orderkey AS VARCHAR) AS pb, p_brand AS dataset, s_name AS head, CASE WHEN l_linestatus = 'O' THEN 'Object Detection' ELSE 'Instance Segmentation' END AS instance_type,
-                  CAST(l_extendedprice AS DOUBLE) AS map FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'A'""", roles=False)
+@_query("""SELECT c_name AS family, c_name AS backbone, CAST(o_orderkey AS VARCHAR) AS pb, p_brand AS dataset, s_name AS head, CASE WHEN l_linestatus = 'O' THEN 'Object Detection' ELSE 'Instance Segmentation' END AS instance_type,
+                  CAST(l_extendedprice AS DOUBLE) AS map FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'A'""", roles=False)
 def shredded_facts(spark, sf_dir):
     cat = from_tables(ds.shred(_documents(spark, sf_dir)))
     rows = cat.pbs.join(cat.fact("instance"), "pb_id")
@@ -499,16 +505,15 @@ def shredded_bridges(spark, sf_dir):
 
 
 def _spoilt(spark, sf_dir):
-    """Every family but some has a fault: no name, no crop size, no links, or a dataset for a task that it isn't there for."""
-    d = documents(spark, sf_dir).withColumn("n", F.row_number().over(Window.orderBy("name")) % 5)
+    """Of every five families one has no name and one no links."""
+    d = documents(spark, sf_dir).withColumn("n", F.regexp_extract("name", "([0-9]+)$", 1).cast("int") % 5)
     d = d.withColumn("name", F.when(F.col("n") != 1, F.col("name"))).withColumn("paper", F.when(F.col("n") != 2, F.col("paper")).otherwise(""))
-    return ds.read_json(spark, d.drop("n").select(F.to_json(F.struct("*")).alias("value"))).persist()
+    return kept(ds.read_json(spark, d.drop("n").select(F.to_json(F.struct("*")).alias("value"))))
 
 
-@_query("""WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_name) % 5 AS k FROM nation)
-           SELECT CASE WHEN k = 2 THEN n_name END AS family, CASE WHEN k = 1 THEN 'malformed' ELSE 'K2' END AS reason FROM n WHERE k IN (1, 2)""", roles=False)
+@_query("SELECT CASE WHEN c_custkey % 5 = 2 THEN c_name END AS family, CASE WHEN c_custkey % 5 = 1 THEN 'malformed' ELSE 'K2' END AS reason FROM customer WHERE c_custkey % 5 IN (1, 2)", roles=False)
 def ingest_rejects(spark, sf_dir):
-    return ds.sorted_out(_spoilt(spark, sf_dir))[1]
+    return ds.rejected(_spoilt(spark, sf_dir))
 
 
 @_query("""SELECT 'J10 dataset' AS rule, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#1'
@@ -523,10 +528,10 @@ def unknown_names(spark, sf_dir):
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NESTED = "n_name || '/backbones/' || c_name || '/pretrained_backbones/' || o_orderkey || '/instance_results/' || p_brand || '+' || s_name || '+' || CAST(l_extendedprice AS VARCHAR) || '/train_epochs' AS path"
+_NESTED = "c_name || '/backbones/' || c_name || '/pretrained_backbones/' || o_orderkey || '/instance_results/' || p_brand || '+' || s_name || '+' || CAST(l_extendedprice AS VARCHAR) || '/train_epochs' AS path"
 
 
-@_query(f"""SELECT {_NESTED}, CAST(l_linenumber AS VARCHAR) AS value FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+@_query(f"""SELECT {_NESTED}, CAST(l_linenumber AS VARCHAR) AS value FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
             WHERE l_returnflag = 'A' AND l_extendedprice < 100000""", roles=False)
 def nested_paths(spark, sf_dir):
     flat = ds.flatten(_documents(spark, sf_dir).select("name", "backbones"), "name")
@@ -534,10 +539,10 @@ def nested_paths(spark, sf_dir):
     return flat.filter(F.contains("path", F.lit("/instance_results/")) & F.endswith("path", F.lit("/train_epochs"))).filter(price.cast("double") < 100000)
 
 
-@_query("SELECT n_name AS family, list(c_name ORDER BY c_name) AS backbones FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name", roles=False)
+@_query("SELECT c_name AS family, list(CAST(o_orderkey AS VARCHAR) ORDER BY CAST(o_orderkey AS VARCHAR)) AS pbs FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name", roles=False)
 def canonical_order(spark, sf_dir):
-    d = ds.canonical(documents(spark, sf_dir).filter("backbones IS NOT NULL").select("name", "backbones"))
-    return d.select(F.col("name").alias("family"), F.transform("backbones", lambda b: b["name"]).alias("backbones"))
+    d = ds.canonical(plain_documents(spark, sf_dir).select("name", "backbones"))
+    return d.select(F.col("name").alias("family"), F.transform(F.col("backbones")[0]["pretrained_backbones"], lambda p: p["name"]).alias("pbs")).filter("pbs IS NOT NULL")
 
 
 @_query(f"SELECT pb_id, {_TRAIN_SQL} || ' : ' || resolution AS train FROM fact")
@@ -625,6 +630,123 @@ def diff_metrics(spark, sf_dir):
     return ds.diff_metrics(*_versions(spark, sf_dir))
 
 
+_OLD_DOC = "SELECT l_orderkey AS k, list({'number': l_linenumber, 'part': l_partkey, 'quantity': CAST(l_quantity AS INTEGER)} ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INTEGER)) AS l FROM lineitem GROUP BY l_orderkey"
+_NEW_DOC = """SELECT k, list_transform(list_filter(CASE WHEN k % 3 = 0 THEN list_reverse(l) ELSE l END, lambda x: NOT (x.number = 3 AND x.part % 3 = 0)),
+                     lambda x: {'number': x.number, 'part': x.part, 'quantity': x.quantity + CASE WHEN x.number = 1 AND x.part % 2 = 0 THEN 1 ELSE 0 END}) AS l FROM old_doc"""
+_LINES = "CASE WHEN len(l) = 0 THEN ['name: ' || k, 'lines: []'] ELSE list_concat(['name: ' || k, 'lines:'], flatten(list_transform(l, lambda x: ['- number: ' || x.number, '  part: ' || x.part, '  quantity: ' || x.quantity]))) END"
+#: The table of common lengths from the end, a row an old line, and the way through it.
+_ALIGNED = f"""WITH RECURSIVE old_doc AS MATERIALIZED ({_OLD_DOC}), new_doc AS ({_NEW_DOC}),
+pair AS MATERIALIZED (SELECT a.k, a.l AS a, b.l AS b FROM (SELECT k, {_LINES} AS l FROM old_doc) a JOIN (SELECT k, {_LINES} AS l FROM new_doc) b USING (k)),
+dp AS (SELECT k, len(a) + 1 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS r FROM pair
+       UNION ALL
+       SELECT k, i - 1, list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(j, len(b) + 2), lambda q: CASE WHEN q <= len(b) AND a[i - 1] = b[q] THEN r[q + 1] + 1 ELSE r[q] END)))
+       FROM dp JOIN pair USING (k) WHERE i > 1),
+way AS (SELECT k, 1 AS i, 1 AS j, ' ' AS sign, 0 AS number, '' AS line FROM pair
+        UNION ALL
+        SELECT k, CASE WHEN step = '+' THEN i ELSE i + 1 END, CASE WHEN step = '-' THEN j ELSE j + 1 END, step, CASE WHEN step = '-' THEN i ELSE j END, CASE WHEN step = '-' THEN a[i] ELSE b[j] END
+        FROM (SELECT way.k, way.i, way.j, a, b, CASE WHEN way.i <= len(a) AND way.j <= len(b) AND a[way.i] = b[way.j] THEN ' '
+                          WHEN way.j > len(b) OR (way.i <= len(a) AND below.r[way.j] >= here.r[way.j + 1]) THEN '-' ELSE '+' END AS step
+              FROM way JOIN pair USING (k) JOIN dp here ON here.k = way.k AND here.i = way.i LEFT JOIN dp below ON below.k = way.k AND below.i = way.i + 1
+              WHERE way.i <= len(a) OR way.j <= len(b)))"""
+
+
+def _aligned(spark, sf_dir):
+    """Orders as documents, and the same after lines were changed, taken out and turned round."""
+    line = read(spark, sf_dir, "lineitem")
+    lines = F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("quantity"))))
+    old = line.groupBy(F.col("l_orderkey").alias("name")).agg(lines.alias("lines"))
+    turned = F.when(F.col("name") % 3 == 0, F.reverse("lines")).otherwise(F.col("lines"))
+    left = F.filter(turned, lambda x: ~((x["number"] == 3) & (x["part"] % 3 == 0)))
+    new = old.withColumn("lines", F.transform(left, lambda x: x.withField("quantity", x["quantity"] + F.when((x["number"] == 1) & (x["part"] % 2 == 0), 1).otherwise(0))))
+    return al.aligned(al.rendered(old, "name"), al.rendered(new, "name"))
+
+
+@_query(f"{_ALIGNED} SELECT k AS key, sign, CAST(number AS INTEGER) AS number, line FROM way WHERE sign <> ' '", roles=False)
+def line_diff(spark, sf_dir):
+    return al.edits(_aligned(spark, sf_dir))
+
+
+@_query(f"""{_ALIGNED} SELECT changed, lines, 100.0::DOUBLE * changed / lines AS percent FROM (SELECT (SELECT count(*) FROM way WHERE sign <> ' ') AS changed, (SELECT CAST(sum(greatest(len(a), len(b))) AS BIGINT) FROM pair) AS lines)""", roles=False)
+def line_diff_figures(spark, sf_dir):
+    return al.figures(_aligned(spark, sf_dir))
+
+
+@_query("""SELECT s_name AS file, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN NULL ELSE s_nationkey END AS nation,
+                  CASE WHEN s_suppkey % 7 = 0 THEN 'malformed at line 3' WHEN s_suppkey % 11 = 0 THEN 'not a mapping' END AS reason FROM supplier""", roles=False)
+def document_files(spark, sf_dir):
+    """Suppliers as a folder of document files, some of them broken, written and read again by the data source."""
+    s, key = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    text = F.when(key % 7 == 0, F.concat(F.lit("name: "), "s_name", F.lit("\nnations: [1, 2\nmore: 3\n"))).when(key % 11 == 0, "- 1\n- 2\n").otherwise(F.concat(F.lit("name: "), F.to_json(F.struct("s_name")), F.lit("\nnation: "), F.col("s_nationkey").cast("string"), F.lit("\n")))
+    folder = fresh_folder(spark, "documents")
+    files.register(spark)
+    s.select(F.col("s_name").alias("name"), text.alias("value")).write.format("documents").option("raw", "true").mode("append").save(folder)
+    found = files.read_files(spark, folder)
+    return found.select("file", F.get_json_object("value", "$.nation").cast("int").alias("nation"), "reason")
+
+
+@_query("""WITH left_ AS (SELECT * FROM customer WHERE c_custkey % 7 <> 0)
+           SELECT CASE WHEN c_custkey % 3 = 0 THEN 'LSTM' ELSE 'Attention' END AS model_type, count(DISTINCT c_custkey) AS families, count(o_orderkey) AS pbs
+           FROM left_ LEFT JOIN orders ON o_custkey = c_custkey AND NOT (c_custkey % 3 = 0 AND o_orderstatus = 'O') GROUP BY ALL""", roles=False)
+def store_versions(spark, sf_dir):
+    """Three commits: all families, a third of them replaced by smaller ones, and a seventh deleted."""
+    store = Store(spark, fresh_folder(spark, "store"))
+    docs = ds.read_json(spark, plain_documents(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")))
+    number = F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
+    store.begin().put(docs).commit()
+    fewer = F.transform("backbones", lambda b: b.withField("pretrained_backbones", F.filter(b["pretrained_backbones"], lambda p: p["pretrain_dataset"] != "O")))
+    store.begin().put(docs.filter(number % 3 == 0).withColumn("model_type", F.lit("LSTM")).withColumn("backbones", fewer)).commit()
+    store.begin().delete(docs.filter(number % 7 == 0).select("name")).commit()
+    t = store.tables()
+    rows = t["family"].select("family_id", "model_type").join(t["pretrained_backbone"].groupBy("family_id").count(), "family_id", "left")
+    return rows.groupBy("model_type").agg(F.count(F.lit(1)).alias("families"), F.coalesce(F.sum("count"), F.lit(0)).alias("pbs"))
+
+
+@_query("SELECT s_name AS family, CAST(number AS BIGINT) AS number FROM supplier, (SELECT unnest([1, 2]) AS number) WHERE number = 1 OR s_suppkey % 3 = 0", roles=False)
+def streamed_versions(spark, sf_dir):
+    """Suppliers arrive twice, the second time some with another text, with a restart between: each version once."""
+    folder = fresh_folder(spark, "stream")
+    s = read(spark, sf_dir, "supplier")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    for more in (F.lit(0), F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0)):
+        s.select(F.to_json(F.struct(F.col("s_name").alias("name"), more.alias("more")))).write.mode("append").text(f"{folder}/in")
+        run = versions(spark.readStream.text(f"{folder}/in")).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+        run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").filter("reason IS NULL").select("family", "number")
+
+
+_STAR = [
+    rf.Edge("customer", "c_nationkey", "nation", "n_nationkey", "CASCADE"), rf.Edge("orders", "o_custkey", "customer", "c_custkey", "CASCADE"), rf.Edge("lineitem", "l_orderkey", "orders", "o_orderkey", "CASCADE"),
+    rf.Edge("supplier", "s_nationkey", "nation", "n_nationkey", "RESTRICT"), rf.Edge("supplies", "l_suppkey", "supplier", "s_suppkey", "LINK"), rf.Edge("supplies", "l_partkey", "part", "p_partkey", "OWNED"),
+]
+_STAR_KEYS = {"nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "supplier": "s_suppkey", "part": "p_partkey"}
+
+
+def _star(spark, sf_dir):
+    """Tables that refer to each other; which supplier has which part is a bridge, and a part that nobody has any more goes."""
+    t = {n: read(spark, sf_dir, n) for n in _STAR_KEYS}
+    return t | {"supplies": t["lineitem"].filter("l_suppkey % 2 = l_partkey % 2").select("l_suppkey", "l_partkey").distinct()}
+
+
+@_query("""WITH supplies AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey % 2 = l_partkey % 2), c AS (SELECT * FROM customer WHERE c_custkey % 10 <> 0),
+           o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), s AS (SELECT * FROM supplies WHERE l_suppkey % 4 <> 0)
+           SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'orders', count(*) FROM o
+           UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_suppkey % 4 <> 0
+           UNION ALL SELECT 'supplies', count(*) FROM s UNION ALL SELECT 'part', count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM s) OR p_partkey NOT IN (SELECT l_partkey FROM supplies)""", roles=False)
+def cascade_delete(spark, sf_dir):
+    t = _star(spark, sf_dir)
+    seeds = {"customer": t["customer"].filter("c_custkey % 10 = 0").select("c_custkey"), "supplier": t["supplier"].filter("s_suppkey % 4 = 0").select("s_suppkey")}
+    left = rf.deleted(t, seeds, _STAR, _STAR_KEYS)
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(n).alias("name")) for n, rows in left.items())).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT 'supplier' AS \"table\", CAST(s_suppkey AS VARCHAR) AS key, 's_nationkey' AS \"column\", 'nation' AS \"to\", CAST(s_nationkey AS VARCHAR) AS to_key FROM supplier WHERE s_nationkey % 3 = 0 AND s_suppkey % 2 = 0", roles=False)
+def delete_restricted(spark, sf_dir):
+    """Nations that were to go with half of their suppliers: the other half keeps them."""
+    t = _star(spark, sf_dir)
+    seeds = {"nation": t["nation"].filter("n_nationkey % 3 = 0").select("n_nationkey"), "supplier": t["supplier"].filter("s_nationkey % 3 = 0 AND s_suppkey % 2 = 1").select("s_suppkey")}
+    return rf.restrictions(t, rf.cascade(t, seeds, _STAR, _STAR_KEYS), _STAR, _STAR_KEYS)
+
+
 @_query("SELECT (SELECT list(DISTINCT n_name ORDER BY n_name) FROM nation) AS family, (SELECT list(DISTINCT p_brand ORDER BY p_brand) FROM part) AS dataset, (SELECT list(DISTINCT s_name ORDER BY s_name) FROM supplier) AS head", roles=False)
 def catalogue_names(spark, sf_dir):
     t = {"family": ("nation", "n_name"), "dataset": ("part", "p_brand"), "head": ("supplier", "s_name")}

@@ -7,10 +7,8 @@ everything after it is columns.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import fenced
 from .files import parsed, read_files
+from .written import kept
 
 _FPS = "array<struct<resolution:int,gpu:string,precision:string,fps:double,source:string>>"
 _LINKS = "paper:string,github:string"
@@ -95,12 +94,14 @@ def _each(rows: DataFrame, column: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.posexplode(column).alias("place", "e")).select(*keep, "place", "e.*")
 
 
-def shred(docs: DataFrame, permissive: bool = False) -> dict[str, DataFrame]:
+def shred(docs: DataFrame, permissive: bool = False, owners: bool = False) -> dict[str, DataFrame]:
     """Nested documents -> relational tables and bridges, with deterministic keys.
 
     Documents that refused() names are left out as a whole: load() and the
-    stream report them. Permissive, train_resolution stands for crop_size.
+    stream report them. Permissive, train_resolution stands for crop_size. With
+    owners every table but the dimensions says its rows' family_id.
     """
+    own = ("family_id",) if owners else ()
     docs = docs.filter(refused(docs, permissive).isNull())
     t: dict[str, DataFrame] = {}
     t["family"] = docs.select(key("name").alias("family_id"), "name", "model_type", "hierarchical", "pretrain_method", F.to_date("pub_date").alias("pub_date"), _blank("paper"), _blank("github"))
@@ -109,24 +110,24 @@ def shred(docs: DataFrame, permissive: bool = False) -> dict[str, DataFrame]:
     p = _each(b.select("family_id", "backbone_id", "pretrained_backbones"), "pretrained_backbones", "family_id", "backbone_id").withColumn("pb_id", key("name")).drop("place")
     named = lambda c: F.when(F.col(c).isNotNull(), key(c)).alias(f"{c}_id", metadata={"refers_to": "head" if c == "head" else "task" if c == "instance_type" else "dataset"})
     t["pretrained_backbone"] = p.select("pb_id", "name", "backbone_id", "family_id", named("pretrain_dataset"), "pretrain_method", "pretrain_resolution", "pretrain_epochs", _blank("paper"), _blank("github"))
-    c = _each(p.select("pb_id", "classification_results"), "classification_results", "pb_id").withColumn("result_id", key(F.lit("c"), "pb_id", "place"))
-    i = _each(p.select("pb_id", "instance_results"), "instance_results", "pb_id").withColumn("result_id", key(F.lit("i"), "pb_id", "place"))
-    s = _each(p.select("pb_id", "semantic_seg_results"), "semantic_seg_results", "pb_id").withColumn("result_id", key(F.lit("s"), "pb_id", "place"))
+    c = _each(p.select("pb_id", *own, "classification_results"), "classification_results", "pb_id", *own).withColumn("result_id", key(F.lit("c"), "pb_id", "place"))
+    i = _each(p.select("pb_id", *own, "instance_results"), "instance_results", "pb_id", *own).withColumn("result_id", key(F.lit("i"), "pb_id", "place"))
+    s = _each(p.select("pb_id", *own, "semantic_seg_results"), "semantic_seg_results", "pb_id", *own).withColumn("result_id", key(F.lit("s"), "pb_id", "place"))
     if permissive:
         s = s.withColumn("crop_size", F.coalesce("crop_size", "train_resolution"))
-    t["classification_result"] = c.select("result_id", "pb_id", "place", named("dataset"), "resolution", named("fine_tune_dataset"), "fine_tune_epochs", "fine_tune_resolution", named("intermediate_fine_tune_dataset"), "intermediate_fine_tune_epochs", "intermediate_fine_tune_resolution", "top_1", "top_5", "gflops", _blank("paper"), _blank("github"))
+    t["classification_result"] = c.select("result_id", "pb_id", *own, "place", named("dataset"), "resolution", named("fine_tune_dataset"), "fine_tune_epochs", "fine_tune_resolution", named("intermediate_fine_tune_dataset"), "intermediate_fine_tune_epochs", "intermediate_fine_tune_resolution", "top_1", "top_5", "gflops", _blank("paper"), _blank("github"))
     train = ("train_epochs", "intermediate_train_epochs", "gflops")
     refs = lambda: (named("head"), named("dataset"), named("train_dataset"), named("intermediate_train_dataset"))
-    t["instance_result"] = i.select("result_id", "pb_id", "place", *refs(), named("instance_type"), *train, "mAP", "AP50", "AP75", "mAPs", "mAPm", "mAPl", _blank("paper"), _blank("github"))
+    t["instance_result"] = i.select("result_id", "pb_id", *own, "place", *refs(), named("instance_type"), *train, "mAP", "AP50", "AP75", "mAPs", "mAPm", "mAPl", _blank("paper"), _blank("github"))
     scores = [f"{a}_{m}" for a in ("ms", "ss") for m in ("m_iou", "pixel_accuracy", "mean_accuracy")]
-    t["semantic_result"] = s.select("result_id", "pb_id", "place", *refs(), *train, "crop_size", *scores, F.coalesce("flip_test", F.lit(False)).alias("flip_test"), _blank("paper"), _blank("github"))
+    t["semantic_result"] = s.select("result_id", "pb_id", *own, "place", *refs(), *train, "crop_size", *scores, F.coalesce("flip_test", F.lit(False)).alias("flip_test"), _blank("paper"), _blank("github"))
     measured = {"backbone": (b, "backbone_id"), "instance": (i, "result_id"), "semantic": (s, "result_id")}
     every = []
     for name, (rows, owner) in measured.items():
-        m = rows.select(F.col(owner).alias("owner"), "fps_measurements")
-        m = _each(m, "fps_measurements", "owner").withColumn("fps_id", key(F.lit(name), "owner", "place"))
-        every.append(m.select("fps_id", "resolution", "fps", "gpu", "precision", _blank("source")))
-        t[f"{name}_fps"] = m.select(F.col("owner").alias(owner), "fps_id")
+        m = rows.select(F.col(owner).alias("owner"), *own, "fps_measurements")
+        m = _each(m, "fps_measurements", "owner", *own).withColumn("fps_id", key(F.lit(name), "owner", "place"))
+        every.append(m.select("fps_id", *own, "resolution", "fps", "gpu", "precision", _blank("source")))
+        t[f"{name}_fps"] = m.select(F.col("owner").alias(owner), "fps_id", *own)
     t["fps_measurement"] = reduce(DataFrame.unionByName, every)
     # dimensions are what the documents name; which tasks they serve is where they are used
     uses = [c.select("dataset", F.lit("Classification").alias("task")), i.select("dataset", F.col("instance_type").alias("task")), s.select("dataset", F.lit("Semantic Segmentation").alias("task"))]
@@ -141,12 +142,23 @@ def shred(docs: DataFrame, permissive: bool = False) -> dict[str, DataFrame]:
     t["task"] = tasks.select(key("task").alias("task_id"), F.col("task").alias("name"))
     t["dataset_task"] = uses.distinct().select(key("dataset").alias("dataset_id"), key("task").alias("task_id"))
     t["head_task"] = heads.select(key("head").alias("head_id"), key("task").alias("task_id"))
+    return with_references(t)
+
+
+def with_references(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables whose columns say what they refer to (see schema_text)."""
     for name, columns in REFERENCES.items():
         for column, (relation, to) in columns.items():
             t[name] = t[name].withMetadata(column, {"refers_to": to, "relation": relation})
     return t
 
 
+def columns_without_owner(schemas: Mapping[str, T.StructType]) -> dict[str, list[str]]:
+    """Columns of shred()'s tables without owners, from their schemas with them."""
+    keep = ("family", "backbone", "pretrained_backbone")
+    return {n: [c for c in s.names if n in keep or c != "family_id"] for n, s in schemas.items()}
+
+
 #: What columns of the tables refer to: one of them (FK), or as a bridge many (M2M).
 REFERENCES = {
     "backbone": {"family_id": ("FK", "family")},
@@ -216,14 +228,18 @@ def by_family(t: Mapping[str, DataFrame], broken: DataFrame) -> DataFrame:
     return broken.join(reduce(DataFrame.unionByName, owners).distinct(), "key").join(families, "family_id").select("family", "rule", "key").distinct()
 
 
-def sorted_out(docs: DataFrame, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Documents that may be loaded, and family, reason of the others: what can't be shredded, and what breaks rules, document by document."""
+def rejected(docs: DataFrame, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """family, reason of documents that may not be loaded: what can't be shredded, and what breaks rules, document by document."""
     why = docs.select(F.col("name").alias("family"), refused(docs, permissive).alias("reason")).filter("reason IS NOT NULL")
     t = shred(docs, permissive)
-    # a row a rejected document, for both uses
-    broken = by_family(t, violations(t, dimensions=dimensions)).groupBy("family").agg(F.array_join(F.sort_array(F.collect_set("rule")), ", ").alias("reason")).persist()
-    rejects = why.unionByName(broken)
-    good = docs.filter(refused(docs, permissive).isNull()).join(broken.select(F.col("family").alias("name")), "name", "left_anti").select(*docs.columns)
+    broken = by_family(t, violations(t, dimensions=dimensions)).groupBy("family").agg(F.array_join(F.sort_array(F.collect_set("rule")), ", ").alias("reason"))
+    return why.unionByName(broken)
+
+
+def sorted_out(docs: DataFrame, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents that may be loaded, and family, reason of the others (written once, for both uses)."""
+    rejects = kept(rejected(docs, permissive, dimensions))
+    good = docs.filter(refused(docs, permissive).isNull()).join(rejects.filter("family IS NOT NULL").select(F.col("family").alias("name")).distinct(), "name", "left_anti").select(*docs.columns)
     return good, rejects
 
 
@@ -279,67 +295,6 @@ def violations(t: Mapping[str, DataFrame], enums: Mapping[str, Iterable[str]] =
     return reduce(DataFrame.unionByName, out)
 
 
-def delete_family(t: Mapping[str, DataFrame], family_ids: DataFrame) -> dict[str, DataFrame]:
-    """Tables without the families (family_id) and everything that hangs on them."""
-    out = dict(t)
-    gone_pb = t["pretrained_backbone"].join(family_ids, "family_id", "left_semi").select("pb_id")
-    for x in ("family", "backbone", "pretrained_backbone"):
-        out[x] = t[x].join(family_ids, "family_id", "left_anti")
-    for x in ("classification_result", "instance_result", "semantic_result"):
-        out[x] = t[x].join(gone_pb, "pb_id", "left_anti")
-    return out
-
-
-def may_delete(references: DataFrame, column: str, ids: DataFrame) -> bool:
-    """Whether nothing refers to the ids (one column, named as the reference)."""
-    return not references.join(ids, column, "left_semi").limit(1).count()
-
-
-def write_family(t: Mapping[str, DataFrame], path: str, family: str, dimensions: Mapping[str, DataFrame] | None = None) -> None:
-    """All of a family or nothing: validate, write its tables to a folder of their own, then name that folder in the family's manifest by one rename."""
-    if not t["family"].filter(F.col("name") == family).limit(1).count():
-        raise ValueError(f"{family} has no tables: it was refused")
-    if violations(t, dimensions=dimensions).limit(1).count():
-        raise ValueError(f"{family} breaks rules")
-    version = uuid.uuid4().hex
-    for name, rows in t.items():
-        rows.write.parquet(f"{path}/versions/{version}/{name}")
-    spark = t["family"].sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{quote(family, safe='')}")
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/.{version}")
-    out = fresh.getFileSystem(conf).create(fresh)
-    out.write(bytearray(version.encode()))
-    out.close()
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, place, overwrite)
-
-
-def load(docs: DataFrame, path: str, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None) -> list[str]:
-    """Writes every family of docs; an error that names the first rejects, and nothing written, if one can't be loaded."""
-    good, rejects = sorted_out(docs, permissive, dimensions)
-    bad = rejects.orderBy("family", "reason").limit(20).collect()
-    if bad:
-        raise ValueError("; ".join(f"{r['family']}: {r['reason']}" for r in bad))
-    names = [r["name"] for r in good.select("name").orderBy("name").collect()]
-    for name in names:
-        write_family(shred(good.filter(F.col("name") == name), permissive), path, name, dimensions)
-    return names
-
-
-def read_families(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of all families' present versions."""
-    manifests = spark.read.text(f"{path}/manifests/*", wholetext=True)
-    versions = [r["value"] for r in manifests.collect()]
-    names = (*("family", "backbone", "pretrained_backbone"), *(f"{x}_result" for x in ("classification", "instance", "semantic")), *(f"{x}_fps" for x in ("backbone", "instance", "semantic")), "fps_measurement", "dataset", "head", "task", "dataset_task", "head_task")
-    t = {n: spark.read.parquet(*(f"{path}/versions/{v}/{n}" for v in versions)) for n in names}
-    for n in ("head", "task", "dataset_task", "head_task"):
-        t[n] = t[n].distinct()
-    t["dataset"] = t["dataset"].groupBy("dataset_id", "name").agg(F.max("eval").alias("eval"), F.max("website").alias("website"))
-    return t
-
-
 # ---- nesting
 
 
