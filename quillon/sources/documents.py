@@ -393,21 +393,28 @@ def canonical(docs: DataFrame) -> DataFrame:
 
 
 def flatten(docs: DataFrame, name: str, arrays: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """path, value rows of documents, down to the deepest list: elements are named by element_key(), or by the fields given for their list."""
+    """path, value rows of documents, down to every leaf: elements of lists of structs are named by element_key(), or by the fields given for their list, others by their place."""
     rows: list[DataFrame] = []
-
-    def walk(d: DataFrame, kind: T.StructType) -> None:
-        scalars = [f.name for f in kind.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
-        if scalars:
-            part = lambda x: F.struct(F.concat_ws("/", "p", F.lit(x)).alias("path"), F.col(f"e.`{x}`").cast("string").alias("value"))
-            rows.append(d.select(F.inline(F.array(*map(part, scalars)))))
-        for f in kind.fields:
-            if _nested(f.dataType):
-                inner = f.dataType.elementType
-                own = element_key(F.col("e"), inner.names, (arrays or {}).get(f.name))
-                walk(d.select("p", F.explode(f"e.`{f.name}`").alias("e")).select(F.concat_ws("/", "p", F.lit(f.name), own).alias("p"), "e"), inner)
-
-    walk(docs.select(F.col(name).cast("string").alias("p"), F.struct(*docs.columns).alias("e")), docs.schema)
+    leaf = lambda kind: not isinstance(kind, (T.ArrayType, T.StructType))
+    under = lambda *parts: F.concat_ws("/", "p", *parts).alias("p")
+
+    def walk(d: DataFrame, kind: T.DataType, field: str) -> None:
+        if leaf(kind):
+            rows.append(d.select(F.col("p").alias("path"), F.col("e").cast("string").alias("value")))
+        elif isinstance(kind, T.StructType):
+            scalars = [f.name for f in kind.fields if leaf(f.dataType)]
+            if scalars:
+                part = lambda x: F.struct(F.concat_ws("/", "p", F.lit(x)).alias("path"), F.col(f"e.`{x}`").cast("string").alias("value"))
+                rows.append(d.select(F.inline(F.array(*map(part, scalars)))))
+            for f in kind.fields:
+                if not leaf(f.dataType):
+                    walk(d.select(under(F.lit(f.name)), F.col(f"e.`{f.name}`").alias("e")), f.dataType, f.name)
+        else:
+            inner = kind.elementType
+            own = element_key(F.col("e"), inner.names, (arrays or {}).get(field)) if isinstance(inner, T.StructType) else F.col("at").cast("string")
+            walk(d.select("p", F.posexplode("e").alias("at", "e")).select(under(own), "e"), inner, field)
+
+    walk(docs.select(F.col(name).cast("string").alias("p"), F.struct(*docs.columns).alias("e")), docs.schema, "")
     return reduce(DataFrame.unionByName, rows).filter("value IS NOT NULL")
 
 
