@@ -10,12 +10,14 @@ language, a null language is `und`.
    bitmap of fixed size that every task gets. A phrase with a part that isn't
    frequent can't be frequent itself, and a bit too many only lets more through.
 2. Each shard of texts becomes a trie of exact words with a count a node, its
-   root counting all words. It is written out in order, a row a node.
-3. Ranges of the order take the tries' rows sorted, sum equal ones and keep
-   frequent nodes. Walking a range, a stack of ancestors gives each node the
-   counts of its left parts and, from the root, of all words. Ancestors that
-   stand in earlier ranges are those of the range's first node: at most `depth`
-   a range, which are looked up afterwards.
+   root counting all words. It is written out in order, in blocks of nodes.
+3. The order is cut into ranges of about RANGE nodes (of all tries), at keys
+   that blocks begin with; they may cut through a word's subtree. Blocks are cut
+   at them, and each range merges its parts of all tries and keeps frequent
+   nodes. Walking a range, a stack of ancestors gives each node the counts of
+   its left parts and, from the root, of all words. Ancestors that stand in
+   earlier ranges are those of the range's first node: at most `depth` a range,
+   which are looked up afterwards.
 4. Right parts are nodes that suffix links lead to: a join by the rest's words.
    A child or a node that links to a candidate and is as frequent as it takes
    the candidate out. (A longer phrase that contains it by more than one word
@@ -30,6 +32,7 @@ exact: decimals of 38 digits.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +41,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, free, lookup, mix, shuffle_width, slices, table, text_buffers, word_hashes, words_of
+from .common import bound_batches, counted, cut, free, lookup, mix, shuffle_width, slices, table, text_buffers, word_hashes, words_of
 
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
 SIEVE_BITS, SIEVES = 27, 4
 SLICE, SHARD, HELD = 2 << 20, 32 << 20, 4_000_000
+#: Nodes of a block, nodes of a range (a task holds one), and block keys looked at for each range.
+BLOCK, RANGE, LOOKED = 2048, 200_000, 40
 BREAKS = (*b".,;:!?", *range(0x0A, 0x0E))
 _LOW, _WORD = lookup((0x20, 0x09, *BREAKS))
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(BREAKS)] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_NODES = "lang string, phrase string, n long"
+_BLOCKS = "lang string, first string, phrases array<string>, counts array<long>"
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,15 +185,15 @@ class _Trie:
         ids[at] = number[own.indices.to_numpy()]
         self.parts.append((ids, deep.astype(np.int8), words.lang.astype(np.int32)))
 
-    def rows(self, names: list[str]) -> pa.RecordBatch:
-        """A row a node in order: language, words, count."""
-        lang, phrase, count = [pa.array([names[c] for c in self.totals], pa.string())], [pa.array([""] * len(self.totals), pa.string())], [np.array(list(self.totals.values()), dtype=np.int64)]
+    def blocks(self, names: list[str], block: int) -> pa.RecordBatch:
+        """The nodes in order, each its words and count; a block is of one language."""
+        lang, phrase, count = [np.array(list(self.totals), dtype=np.int64)], [pa.array([""] * len(self.totals), pa.string())], [np.array(list(self.totals.values()), dtype=np.int64)]
         if self.parts:
             ids, deep, code = (np.concatenate(x) for x in zip(*self.parts))
-            words, langs = pa.array(list(self.ids), pa.string()), pa.array(names, pa.string())
+            words = pa.array(list(self.ids), pa.string())
             at = np.flatnonzero(deep >= 1)
             keys, node, n = np.unique(code[at].astype(np.int64) * len(words) + ids[at], return_inverse=True, return_counts=True)
-            own, text = langs.take(pa.array(keys // len(words))), words.take(pa.array(keys % len(words)))
+            own, text = keys // len(words), words.take(pa.array(keys % len(words)))
             where = np.empty(len(ids), dtype=np.int64)
             for d in range(1, self.depth + 1):
                 lang, phrase, count = [*lang, own], [*phrase, text], [*count, n]
@@ -197,13 +202,21 @@ class _Trie:
                 if not len(at):
                     break
                 keys, node, n = np.unique(where[at] * len(words) + ids[at + d], return_inverse=True, return_counts=True)
-                up = pa.array(keys // len(words))
-                own, text = own.take(up), pc.binary_join_element_wise(text.take(up), words.take(pa.array(keys % len(words))), " ")
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(lang), pa.concat_arrays(phrase), pa.array(np.concatenate(count))], names=["lang", "phrase", "n"])
+                up = keys // len(words)
+                own, text = own[up], pc.binary_join_element_wise(text.take(pa.array(up)), words.take(pa.array(keys % len(words))), " ")
+        langs, counts, phrases = np.concatenate(lang), np.concatenate(count), pa.concat_arrays(phrase).to_pylist()
+        out = []
+        for code in self.totals:
+            mine = np.flatnonzero(langs == code)
+            order = mine[sorted(range(len(mine)), key=[phrases[i].split(" ") for i in mine].__getitem__)]
+            for k in range(0, len(order), block):
+                part = order[k : k + block]
+                out.append((names[code], phrases[part[0]], [phrases[i] for i in part], counts[part]))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["lang", "first", "phrases", "counts"])
 
 
-def tries(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
-    """lang, phrase, n: the rows of every shard's trie; a phrase that occurs `least` times over all shards is in each trie that has it, with all its occurrences."""
+def tries(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """Blocks of every shard's trie; a phrase that occurs `least` times over all shards is in each trie that has it, with all its occurrences."""
     sc, sieves = docs.sparkSession.sparkContext, []
     for _ in range(min(SIEVES, depth)):
         sieves.append(sc.broadcast(_sieve(docs, list(sieves), least)))
@@ -218,72 +231,77 @@ def tries(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
             for may, _ in words.levels(np.array(salts, dtype=np.uint64), have, depth):
                 deep += may
             trie.add(words, deep)
-            if trie.size >= SHARD:
-                yield trie.rows(list(names))
+            if trie.size >= shard:
+                yield trie.blocks(list(names), block)
                 trie = _Trie(depth)
         if trie.size:
-            yield trie.rows(list(names))
+            yield trie.blocks(list(names), block)
 
-    return _texts(docs).mapInArrow(run, _NODES)
+    return _texts(docs).mapInArrow(run, _BLOCKS)
 
 
-def _order():
-    """Words before words: the order in which a node stands before its subtree and next to it."""
-    return ["lang", F.split("phrase", " ")]
+def _key(lang: str, phrase: str) -> tuple[str, list[str]]:
+    """Orders nodes by words: a node before its subtree, the subtree next to it."""
+    return lang, phrase.split(" ")
 
 
-def merged(shards: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
-    """Frequent nodes over all shards: lang, phrase, a, and l0 to l<depth - 1>: counts of the root and of left parts, null from the phrase's own length on and where an earlier range has the part."""
-    schema = "lang string, phrase string, a long, " + ", ".join(f"l{k} long" for k in range(depth))
+def _bounds(shards: DataFrame, nodes: int, size: int) -> list[tuple[str, list[str]]]:
+    """Keys that cut the order into ranges of about `size` nodes. Blocks hold equally many nodes, so some of their first keys tell."""
+    ranges = -(-nodes // size)
+    if ranges < 2:
+        return []
+    seen = sorted(_key(*r) for r in shards.select("lang", "first").orderBy(F.rand(7)).limit(LOOKED * ranges).collect())
+    found = [seen[i * len(seen) // ranges] for i in range(1, ranges)]
+    return [b for i, b in enumerate(found) if not i or b != found[i - 1]]
 
-    def sums(batches):
-        """(lang, phrase, count) of runs of equal rows; a run may go on in the next batch."""
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lang, phrase = b.column("lang"), b.column("phrase")
-            new = np.ones(b.num_rows, dtype=bool)
-            new[1:] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(phrase[1:], phrase[:-1])).to_numpy(zero_copy_only=False)
-            first = np.flatnonzero(new)
-            total = np.add.reduceat(b.column("n").to_numpy(), first)
-            if held is not None and (held[0], held[1]) == (lang[0].as_py(), phrase[0].as_py()):
-                total[0] += held[2]
-            elif held is not None:
-                yield held
-            last = len(first) - 1
-            keep = np.flatnonzero((total >= least) | pc.equal(phrase.take(pa.array(first)), "").to_numpy(zero_copy_only=False))
-            keep = keep[keep < last]
-            at = pa.array(first[keep])
-            yield from zip(lang.take(at).to_pylist(), phrase.take(at).to_pylist(), total[keep].tolist())
-            held = (lang[int(first[last])].as_py(), phrase[int(first[last])].as_py(), int(total[last]))
-        if held is not None:
-            yield held
+
+def _cut_blocks(shards: DataFrame, bounds: list) -> DataFrame:
+    """at (the range), lang, phrases, counts."""
+    sent = shards.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches):
-        arrow = pa.schema([("lang", pa.string()), ("phrase", pa.string()), *((x, pa.int64()) for x in ("a", *(f"l{k}" for k in range(depth))))])
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+        cuts = sent.value
+        for batch in batches:
+            out = []
+            for lang, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrases", "counts"))):
+                begin, low, high = 0, bisect_right(cuts, _key(lang, phrases[0])), bisect_right(cuts, _key(lang, phrases[-1]))
+                for at in range(low, high):
+                    end = bisect_left(phrases, cuts[at], begin, key=lambda p, lang=lang: _key(lang, p))
+                    if end > begin:
+                        out.append((at, lang, phrases[begin:end], counts[begin:end]))
+                        begin = end
+                out.append((high, lang, phrases[begin:], counts[begin:]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["at", "lang", "phrases", "counts"])
+
+    return shards.mapInArrow(run, "at long, lang string, phrases array<string>, counts array<long>")
+
+
+def merged(shards: DataFrame, depth: int = DEPTH, least: int = LEAST, size: int = RANGE) -> DataFrame:
+    """Frequent nodes over all shards (blocks that cut() wrote with a count `nodes`): lang, phrase, a, and l0 to l<depth - 1>: counts of the root and of left parts, null from the phrase's own length on and where an earlier range has the part."""
+    columns = ["lang", "phrase", "a", *(f"l{k}" for k in range(depth))]
+    arrow = pa.schema([(c, pa.string() if c in ("lang", "phrase") else pa.int64()) for c in columns])
+
+    def merge(parts: pa.Table) -> pa.Table:
+        phrases, counts = parts.column("phrases").combine_chunks(), parts.column("counts").combine_chunks()
+        lang = parts.column("lang").combine_chunks().take(pc.list_parent_indices(phrases))
+        sums = pa.table({"lang": lang, "phrase": phrases.flatten(), "n": counts.flatten()}).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        sums = sums.filter(pc.or_(pc.greater_equal(sums["n_sum"], least), pc.equal(sums["phrase"], "")))
         stack: list[tuple | None] = [None] * (depth + 1)
         out = []
-        for lang, phrase, n in sums(batches):
-            words = phrase.split(" ") if phrase else []
-            if words and n < least:
-                continue
-            d = len(words)
+        for (name, words), n in sorted((_key(x, p), n) for x, p, n in zip(*(sums[c].to_pylist() for c in ("lang", "phrase", "n_sum")))):
+            d = len(words) if words != [""] else 0
             left = [None] * depth
             for k in range(d):
                 known = stack[k]
-                if known and known[0] == lang and known[1] == words[:k]:
+                if known and known[0] == name and known[1] == words[:k]:
                     left[k] = known[2]
-            stack[d] = (lang, words, n)
-            out.append((lang, phrase, n, *left))
-            if len(out) >= 20_000:
-                yield pack(out)
-                out = []
-        if out:
-            yield pack(out)
+            stack[d] = (name, words[:d], n)
+            out.append((name, " ".join(words), n, *left))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
 
-    return shards.repartitionByRange(*_order()).sortWithinPartitions(*_order()).mapInArrow(run, schema)
+    cuts = _cut_blocks(shards, _bounds(shards, counted(shards, "nodes") or 0, size))
+    return cuts.groupBy("at").applyInArrow(merge, "lang string, phrase string, " + ", ".join(f"{c} long" for c in columns[2:]))
 
 
 def _length():
@@ -314,10 +332,10 @@ def scored_cuts(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     return each.join(right, ["lang", "rest"]).withColumn("score", F.expr(score))
 
 
-def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, share: int = SHARE) -> DataFrame:
-    """lang, phrase, k (the cut that counts: words of its first part), a, l, r, n, score of every candidate that no longer one takes out."""
-    shards = cut(tries(docs, depth, least))
-    walked = cut(merged(shards, depth, least))
+def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, share: int = SHARE, size: int = RANGE, **sizes: int) -> DataFrame:
+    """lang, phrase, k (the cut that counts: words of its first part), a, l, r, n, score of every candidate that no longer one takes out. Sizes of shards, blocks and ranges don't matter to the result."""
+    shards = cut(tries(docs, depth, least, **sizes), nodes=F.sum(F.size("phrases")))
+    walked = cut(merged(shards, depth, least, size))
     free(shards)
     cuts = cut(scored_cuts(with_left_parts(walked, depth), depth))
     by_child = cuts.filter((F.col("k") == F.col("d") - 1) & (100 * F.col("a") >= share * F.col("l")) & (F.col("d") > 2)).select("lang", F.expr("substring_index(phrase, ' ', k)").alias("phrase"))

@@ -3,8 +3,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import phrases
+from quillon.llm import common, phrases
 
 
 def counts(rows, depth):
@@ -67,29 +68,22 @@ def frame(spark, rows, parts=5):
 
 
 @pytest.mark.parametrize(("depth", "least", "share", "top"), [(5, 30, 100, 2000), (4, 3, 60, 7), (2, 50, 100, 50), (5, 1, 100, 100)])
-def test_against_brute_force(spark, monkeypatch, depth, least, share, top):
-    monkeypatch.setattr(phrases, "SHARD", 3000)
+def test_against_brute_force(spark, depth, least, share, top):
     rows = invented(depth)
-    got = phrases.ranked(phrases.collocations(frame(spark, rows), depth, least, share), top).select(*COLUMNS)
+    got = phrases.ranked(phrases.collocations(frame(spark, rows), depth, least, share, size=60, shard=3000, block=8), top).select(*COLUMNS)
     assert sorted(map(tuple, got.collect())) == brute(rows, depth, least, share, top)
 
 
 def test_ranges_split_subtrees(spark):
     """Many ranges over few first words: ancestors stand in earlier ones."""
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "40")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        rows = invented(9)
-        nodes = phrases.merged(phrases.tries(frame(spark, rows), 5, 5), 5, 5)
-        assert nodes.filter("a > 0 AND phrase LIKE '% %' AND (l0 IS NULL OR l1 IS NULL)").count()
-        n, f = counts(rows, 5)
-        want = {p: [n[p[0]], *(f[p[:k]] for k in range(2, len(p)))] for p, a in f.items() if a >= 5}
-        full = phrases.with_left_parts(nodes).filter("phrase <> ''").collect()
-        assert {(r["lang"], *r["phrase"].split(" ")): [r[f"l{k}"] for k in range(len(r["phrase"].split(" ")))] for r in full} == want
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = invented(9)
+    shards = common.cut(phrases.tries(frame(spark, rows), 5, 5, 3000, 8), nodes=F.sum(F.size("phrases")))
+    nodes = common.cut(phrases.merged(shards, 5, 5, 60))
+    assert nodes.filter("phrase LIKE '% %' AND (l0 IS NULL OR l1 IS NULL)").count()
+    n, f = counts(rows, 5)
+    want = {p: [n[p[0]], *(f[p[:k]] for k in range(2, len(p)))] for p, a in f.items() if a >= 5}
+    full = phrases.with_left_parts(nodes).filter("phrase <> ''").collect()
+    assert {(r["lang"], *r["phrase"].split(" ")): [r[f"l{k}"] for k in range(len(r["phrase"].split(" ")))] for r in full} == want
 
 
 def test_long_texts_in_parts():
