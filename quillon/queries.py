@@ -15,10 +15,11 @@ from .operators import choices as ch
 from .operators import references as rf
 from .operators import reports as rp
 from .plans import comparison as cp
+from .plans import fronts, grids
 from .plans import tables as tb
 from .request import AxisArgs, DataArgs, Request
 from .sources import documents as ds
-from .sources import files
+from .sources import files, shapeless
 from .sources.store import Store
 from .sources.written import fresh_folder, kept
 from .streaming.ingest import ROCKS, versions
@@ -747,6 +748,62 @@ def delete_restricted(spark, sf_dir):
     return rf.restrictions(t, rf.cascade(t, seeds, _STAR, _STAR_KEYS), _STAR, _STAR_KEYS)
 
 
+_POINTS = "SELECT family AS key, pb_id, gflops AS x, metric AS y FROM fact JOIN pb USING (pb_id) WHERE kind = 'R' AND dataset = 'Brand#2' AND gflops IS NOT NULL AND metric IS NOT NULL"
+
+
+@_query(f"WITH p AS ({_POINTS}) SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.key = a.key AND b.x <= a.x AND b.y >= a.y AND (b.x < a.x OR b.y > a.y))")
+def pareto_front(spark, sf_dir):
+    """Of each family the results that nothing cheaper equals and nothing as cheap exceeds."""
+    rows = cp.points(bound(spark, sf_dir), _request()).select("key", "pb_id", "x", "y")
+    return fronts.front(rows, "key", "x", "y")
+
+
+@_query(f"WITH p AS ({_POINTS}), t AS (SELECT unnest([0.01, 0.03, 0.05, 0.08]::DOUBLE[]) AS bound) SELECT k.key, bound, (SELECT max(y) FROM p WHERE p.key = k.key AND p.x <= bound) AS best FROM (SELECT DISTINCT key FROM p) k, t")
+def best_for_every_threshold(spark, sf_dir):
+    rows = cp.points(bound(spark, sf_dir), _request()).select("key", "pb_id", "x", "y")
+    return fronts.best_within(fronts.front(rows, "key", "x", "y"), "key", "x", "y", [0.01, 0.03, 0.05, 0.08])
+
+
+_GRID = """WITH p AS (SELECT family AS key, pb_id * 100 + train_epochs AS seq, CAST(metric AS DOUBLE) AS x, CAST(m_parameters AS DOUBLE) AS y FROM fact JOIN pb USING (pb_id) WHERE metric IS NOT NULL AND m_parameters IS NOT NULL),
+e AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM p),
+g AS (SELECT key, CAST(least(floor((x - a) / (b - a) * 64), 63) AS INTEGER) AS px, CAST(least(floor((y - c) / (d - c) * 32), 31) AS INTEGER) AS py, seq, x, y FROM p, e)
+SELECT key, {px} AS px, {py} AS py, count(*) AS n, min(seq) AS first_at, max(seq) AS last_at, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM g GROUP BY ALL"""
+
+
+def _grid(spark, sf_dir):
+    """Every result of every family: a row a pixel, however many there are."""
+    cat = bound(spark, sf_dir)
+    rows = cat.every_fact().select("pb_id", "train_epochs", "metric").join(cat.pbs.select("pb_id", "family", "m_parameters"), "pb_id")
+    return grids.grid(rows.select(F.col("family").alias("key"), (F.col("pb_id") * 100 + F.col("train_epochs")).alias("at"), F.col("metric").alias("x"), F.col("m_parameters").alias("y")), "at", 64, 32)
+
+
+@_query(_GRID.format(px="px", py="py"))
+def point_grid(spark, sf_dir):
+    return _grid(spark, sf_dir).select("key", "px", "py", "n", F.col("first.at").alias("first_at"), F.col("last.at").alias("last_at"), "x_min", "x_max", "y_min", "y_max")
+
+
+@_query(_GRID.format(px="px // 8", py="py // 8"))
+def point_grid_coarser(spark, sf_dir):
+    return grids.coarser(_grid(spark, sf_dir), 3).select("key", "px", "py", "n", F.col("first.at").alias("first_at"), F.col("last.at").alias("last_at"), "x_min", "x_max", "y_min", "y_max")
+
+
+_SHAPELESS = """WITH j AS (SELECT c_custkey AS key, to_json({'name': c_name, 'even': c_custkey % 2 = 0, 'none': NULL, 'at': {'nation': c_nationkey, 'tags': ['a', CAST(c_custkey AS VARCHAR)]}, 'orders': coalesce(o, [])}) AS d
+                      FROM customer LEFT JOIN (SELECT o_custkey, list({'key': o_orderkey, 'status': o_orderstatus, 'days': [o_orderkey % 7, o_orderkey % 11], 'more': CASE WHEN o_orderkey % 5 = 0 THEN {'note': o_orderpriority} END} ORDER BY o_orderkey) AS o FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)"""
+
+
+@_query(_SHAPELESS + """ SELECT j.key, t.fullkey AS path, CASE WHEN t.type IN ('ARRAY', 'OBJECT') THEN '[]' ELSE t.atom ->> '$' END AS value FROM j, json_tree(j.d) t
+        WHERE t.type NOT IN ('ARRAY', 'OBJECT') OR json_array_length(j.d, t.fullkey) = 0 AND t.type = 'ARRAY'""", roles=False)
+def variant_paths(spark, sf_dir):
+    """Customers as documents whose shape nobody declares: every leaf."""
+    o = F.col("o_orderkey")
+    one = F.struct(o.alias("key"), F.col("o_orderstatus").alias("status"), F.array(o % 7, o % 11).alias("days"), F.when(o % 5 == 0, F.struct(F.col("o_orderpriority").alias("note"))).alias("more"))
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(one)).alias("orders"))
+    c = F.col("c_custkey")
+    doc = F.struct(F.col("c_name").alias("name"), (c % 2 == 0).alias("even"), F.lit(None).cast("string").alias("none"), F.struct(F.col("c_nationkey").alias("nation"), F.array(F.lit("a"), c.cast("string")).alias("tags")).alias("at"), F.coalesce("orders", F.array().cast(orders.schema["orders"].dataType)).alias("orders"))
+    texts = read(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select("c_custkey", F.to_json(doc, {"ignoreNullFields": "false"}).alias("value"))
+    return shapeless.leaves(shapeless.variants(texts, "c_custkey")).select("key", "path", "value")
+
+
 @_query("SELECT (SELECT list(DISTINCT n_name ORDER BY n_name) FROM nation) AS family, (SELECT list(DISTINCT p_brand ORDER BY p_brand) FROM part) AS dataset, (SELECT list(DISTINCT s_name ORDER BY s_name) FROM supplier) AS head", roles=False)
 def catalogue_names(spark, sf_dir):
     t = {"family": ("nation", "n_name"), "dataset": ("part", "p_brand"), "head": ("supplier", "s_name")}
