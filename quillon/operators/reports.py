@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 
 from ..catalogue import Catalogue
 from ..functions.text import display_name, first_link, pair_cell, truthy
+from ..sources.written import kept
 
 
-def pivot(rows: DataFrame, keys: Sequence[str], column: str, values: Sequence[str], cell: Column, order: Column, missing: str) -> DataFrame:
-    """A column for each of values; of several cells the one of the greatest order."""
-    out = rows.groupBy(*keys).pivot(column, list(values)).agg(F.max_by(cell, order))
-    return out.fillna(missing, subset=list(values))
+def pivot(rows: DataFrame, keys: Sequence[str], column: str, values: Sequence[str] | None, cell: Column, order: Column, missing: str) -> DataFrame:
+    """A column for each of values; of several cells the one of the greatest order. Without values those that rows have, sorted: cells are written once and say them."""
+    value = F.max_by(cell, order)
+    if values is None:
+        rows, value = kept(rows.groupBy(*keys, column).agg(value.alias("cell"))), F.first("cell")
+        values = [r[0] for r in rows.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    out = rows.groupBy(*keys).pivot(column, list(values)).agg(value)
+    return out.fillna(missing, subset=list(values)) if values else out
 
 
-def classification_pivot(rows: DataFrame, keys: Sequence[str], datasets: Sequence[str], first: str, second: str, order: Column, names=display_name) -> DataFrame:
+def classification_pivot(rows: DataFrame, keys: Sequence[str], datasets: Sequence[str] | None, first: str, second: str, order: Column, names=display_name) -> DataFrame:
     """Cells `first/second` by dataset, of the greatest order (resolution first); datasets nothing was measured on show dashes."""
     out = pivot(rows, keys, "dataset", datasets, pair_cell(first, second), order, "&mdash;/&mdash;")
-    return out.withColumnsRenamed({d: names(d) for d in datasets})
+    return out.withColumnsRenamed({d: names(d) for d in (datasets if datasets is not None else [c for c in out.columns if c not in keys])})
 
 
 def distinct_values(rows: DataFrame, *columns: str) -> DataFrame:

@@ -34,10 +34,10 @@ def github(columns: list[str]) -> Column:
     return tx.first_link(*_links(columns, "pb_github", "backbone_github", "family_github"))
 
 
-def base_columns(cat: Catalogue, columns: list[str], page: str = "", task: str | None = None) -> list[Column]:
-    """Family, model, parameters and pretraining of a row, with links."""
+def base_columns(cat: Catalogue, columns: list[str], page: str = "", task: str | None = None, parameters: bool = True) -> list[Column]:
+    """Family, model, parameters (where they are wanted) and pretraining of a row, with links."""
     pretrain = tx.pretrain_string("pretrain_dataset", "pretrain_method", "pretrain_epochs", plain=cat.plain_method)
-    row = [F.col("backbone").alias("model"), F.col("m_parameters").alias("params (m)"), pretrain.alias("pretrain")]
+    row = [F.col("backbone").alias("model"), *([F.col("m_parameters").alias("params (m)")] if parameters else []), pretrain.alias("pretrain")]
     if page == "family":
         return [*row, github(columns).alias("model link")]
     query = {} if task is None else {"task": F.lit(task)}
@@ -125,7 +125,7 @@ def downstream(cat: Catalogue, task: str, page: str = "", instance_types: Mappin
         wanted["instance_type"] = (instance_types or {}).get(task, task)
     rows = rp.downstream_rows(cat, kind, family=family, **wanted)
     have = rows.columns
-    base = [c for c in base_columns(cat, have, page, task) if c._jc.toString() != F.col("m_parameters").alias("params (m)")._jc.toString()]
+    base = base_columns(cat, have, page, task, parameters=False)
     head = [] if page == "head" else head_columns("head", "head", page, task)
     address = tx.page_url("/datasets", "dataset", task=F.lit(task)).alias("dataset link")
     values = []

@@ -12,6 +12,7 @@ from .catalogue import METRICS, axis_title, from_tables
 from .functions import text as tx
 from .operators import alignment as al
 from .operators import choices as ch
+from .operators import facets
 from .operators import references as rf
 from .operators import reports as rp
 from .plans import comparison as cp
@@ -19,7 +20,7 @@ from .plans import fronts, grids
 from .plans import tables as tb
 from .request import AxisArgs, DataArgs, Request
 from .sources import documents as ds
-from .sources import files, shapeless
+from .sources import extraction, files, shapeless
 from .sources.store import Store
 from .sources.written import fresh_folder, kept
 from .streaming.ingest import ROCKS, versions
@@ -449,16 +450,40 @@ def family_page_defaults(spark, sf_dir):
     return ch.task_defaults(facts, "family")
 
 
-_TITLED = [(m, t) for k, tasks in (("classification", ("Classification",)), ("instance", ("Object Detection", "Instance Segmentation")), ("semantic", ("Semantic Segmentation",))) for t in tasks for m in METRICS[k]]
-_TITLES = {"top_1": "Top-1", "top_5": "Top-5", "ms_m_iou": "mIoU<sup>ms</sup>", "ms_pixel_accuracy": "pAcc<sup>ms</sup>", "ms_mean_accuracy": "mAcc<sup>ms</sup>", "ss_m_iou": "mIoU<sup>ss</sup>", "ss_pixel_accuracy": "pAcc<sup>ss</sup>", "ss_mean_accuracy": "mAcc<sup>ss</sup>"}
-_TITLES |= {("mAP", t): f"mAP<sup>{x}</sup>" for t, x in (("Object Detection", "b"), ("Instance Segmentation", "m"))}
-_TITLES |= {(f"AP{n}", t): f"AP<span class='supsub'><sup>{x}</sup><sub>{n}</sub></span>" for t, x in (("Object Detection", "b"), ("Instance Segmentation", "m")) for n in ("50", "75")}
-_TITLES |= {(f"mAP{n}", t): f"mAP<span class='supsub'><sup>{x}</sup><sub>{n}</sub></span>" for t, x in (("Object Detection", "b"), ("Instance Segmentation", "m")) for n in "sml"}
-
-
-@_query(" UNION ALL ".join(f"SELECT '{m}' AS metric, '{t}' AS task, '{(_TITLES.get(m) or _TITLES[m, t]).replace(chr(39), chr(39) * 2)}' AS title" for m, t in _TITLED), roles=False)
+#: What is expected, spelled out.
+_TITLES = [
+    ("Classification", "top_1", "Top-1"),
+    ("Classification", "top_5", "Top-5"),
+    ("Object Detection", "mAP", "mAP<sup>b</sup>"),
+    ("Object Detection", "AP50", "AP<span class='supsub'><sup>b</sup><sub>50</sub></span>"),
+    ("Object Detection", "AP75", "AP<span class='supsub'><sup>b</sup><sub>75</sub></span>"),
+    ("Object Detection", "mAPs", "mAP<span class='supsub'><sup>b</sup><sub>s</sub></span>"),
+    ("Object Detection", "mAPm", "mAP<span class='supsub'><sup>b</sup><sub>m</sub></span>"),
+    ("Object Detection", "mAPl", "mAP<span class='supsub'><sup>b</sup><sub>l</sub></span>"),
+    ("Instance Segmentation", "mAP", "mAP<sup>m</sup>"),
+    ("Instance Segmentation", "AP50", "AP<span class='supsub'><sup>m</sup><sub>50</sub></span>"),
+    ("Instance Segmentation", "AP75", "AP<span class='supsub'><sup>m</sup><sub>75</sub></span>"),
+    ("Instance Segmentation", "mAPs", "mAP<span class='supsub'><sup>m</sup><sub>s</sub></span>"),
+    ("Instance Segmentation", "mAPm", "mAP<span class='supsub'><sup>m</sup><sub>m</sub></span>"),
+    ("Instance Segmentation", "mAPl", "mAP<span class='supsub'><sup>m</sup><sub>l</sub></span>"),
+    ("Semantic Segmentation", "ms_m_iou", "mIoU<sup>ms</sup>"),
+    ("Semantic Segmentation", "ms_pixel_accuracy", "pAcc<sup>ms</sup>"),
+    ("Semantic Segmentation", "ms_mean_accuracy", "mAcc<sup>ms</sup>"),
+    ("Semantic Segmentation", "ss_m_iou", "mIoU<sup>ss</sup>"),
+    ("Semantic Segmentation", "ss_pixel_accuracy", "pAcc<sup>ss</sup>"),
+    ("Semantic Segmentation", "ss_mean_accuracy", "mAcc<sup>ss</sup>"),
+]
+_TASK_NAME_SQL = "CASE WHEN kind = 'R' THEN 'Classification' WHEN kind = 'N' THEN 'Semantic Segmentation' WHEN instance_type = 'O' THEN 'Object Detection' ELSE 'Instance Segmentation' END"
+
+
+@_query(f"WITH e(task, metric, title) AS (VALUES {', '.join('(' + ', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in r) + ')' for r in _TITLES)}) SELECT metric, task, title, n FROM e JOIN (SELECT {_TASK_NAME_SQL} AS task, count(*) AS n FROM fact GROUP BY ALL) USING (task)")
 def metric_titles(spark, sf_dir):
-    return spark.createDataFrame([(m, t, axis_title(m, t)) for m, t in _TITLED], "metric string, task string, title string")
+    """What the metrics of the tasks that facts have are called, and how many facts have them."""
+    kind = F.when(F.col("kind") == "R", "classification").when(F.col("kind") == "N", "semantic").otherwise("instance")
+    task = F.when(F.col("kind") == "R", "Classification").when(F.col("kind") == "N", "Semantic Segmentation").when(F.col("instance_type") == "O", "Object Detection").otherwise("Instance Segmentation")
+    held = bound(spark, sf_dir).every_fact().groupBy(kind.alias("kind"), task.alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    titles = spark.createDataFrame([(k, t, m, axis_title(m, t)) for k, tasks in (("classification", ("Classification",)), ("instance", ("Object Detection", "Instance Segmentation")), ("semantic", ("Semantic Segmentation",))) for t in tasks for m in METRICS[k]], "kind string, task string, metric string, title string")
+    return held.join(titles, ["kind", "task"]).select("metric", "task", "title", "n")
 
 
 @_query("SELECT family, backbone FROM pb WHERE family = 'NATION_7' OR backbone = 'NATION_7' GROUP BY ALL")
@@ -748,6 +773,42 @@ def delete_restricted(spark, sf_dir):
     return rf.restrictions(t, rf.cascade(t, seeds, _STAR, _STAR_KEYS), _STAR, _STAR_KEYS)
 
 
+_FACETS = {"pretrain_method": "pretrain_method", "pretrain_dataset": "pretrain_dataset", "family": "family", "dataset": "dataset", "task": _TASK_NAME_SQL, "resolution": "CAST(resolution AS VARCHAR)"}
+_CHOICES = {"dataset": ["Brand#2", "Brand#3"], "pretrain_method": ["1-URGENT", "2-HIGH"], "task": ["Classification"]}
+
+
+@_query(f"""WITH v AS (SELECT pb_id, pretrain_method, pretrain_dataset, family, dataset, {_TASK_NAME_SQL} AS task, CAST(resolution AS VARCHAR) AS resolution FROM fact JOIN pb USING (pb_id)),
+            e AS ({' UNION '.join(f"SELECT '{f}' AS field, {f} AS value, pb_id FROM v WHERE {f} IS NOT NULL" for f in _FACETS)})
+            SELECT field, value, count(*) FILTER ({' AND '.join(f"(field = '{f}' OR pb_id IN (SELECT pb_id FROM v WHERE {f} IN ({', '.join(repr(x) for x in values)})))" for f, values in _CHOICES.items())}) AS n FROM e GROUP BY field, value""")
+def facet_counts(spark, sf_dir):
+    """How many versions each choice of a form would leave beside what is chosen in its other fields."""
+    cat = bound(spark, sf_dir)
+    task = F.when(F.col("kind") == "R", "Classification").when(F.col("kind") == "N", "Semantic Segmentation").when(F.col("instance_type") == "O", "Object Detection").otherwise("Instance Segmentation")
+    rows = cat.every_fact().select("pb_id", "dataset", task.alias("task"), "resolution").join(cat.pbs.select("pb_id", "pretrain_method", "pretrain_dataset", "family"), "pb_id")
+    return facets.counts(kept(facets.index(rows, "pb_id", list(_FACETS))), _CHOICES)
+
+
+@_query("""SELECT s_name AS name, CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 10 <> 0 THEN 'second' WHEN s_suppkey % 5 <> 0 THEN 'first' END AS answered, CASE WHEN s_suppkey % 10 = 0 THEN 2 ELSE 0 END AS failed FROM supplier""", roles=False)
+def extraction_resumed(spark, sf_dir):
+    """A service fails for a fifth of the suppliers; the next run asks for these only, and fails for half of them again."""
+
+    def service(run, every):
+        def call(prompt):
+            if int(prompt[-9:]) % every == 0:
+                raise TimeoutError(prompt)
+            return f"so ```yaml\n{run}\n``` it is"
+
+        return call
+
+    s, path = read(spark, sf_dir, "supplier"), fresh_folder(spark, "extraction")
+    prompts = s.select(F.col("s_name").alias("name"), F.concat(F.lit("about "), "s_name").alias("prompt"))
+    for run, every in (("first", 5), ("second", 10)):
+        extraction.run(prompts, service(run, every), path)
+    answers = extraction.results(spark, path).select("name", F.trim(F.translate("body", "\n", "")).alias("answered"))
+    failed = extraction.failures(spark, path).select("name", F.col("attempts").cast("int").alias("failed"))
+    return prompts.select("name").join(answers, "name", "left").join(failed, "name", "left").select("name", "answered", F.coalesce("failed", F.lit(0)).alias("failed"))
+
+
 _POINTS = "SELECT family AS key, pb_id, gflops AS x, metric AS y FROM fact JOIN pb USING (pb_id) WHERE kind = 'R' AND dataset = 'Brand#2' AND gflops IS NOT NULL AND metric IS NOT NULL"
 
 

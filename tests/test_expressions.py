@@ -31,6 +31,9 @@ def test_strings(spark):
 
 def test_pivot(spark):
     rows = spark.createDataFrame([("p", "f", "A", 224, 80.0, 95.0), ("p", "f", "A", 384, 82.0, 0.0), ("q", "f", "B", 224, 70.0, None)], "pb string, ft string, dataset string, resolution int, a double, b double")
+    found = rp.classification_pivot(rows, ["pb", "ft"], None, "a", "b", F.struct("resolution"), names=str.lower)
+    assert sorted(map(str, found.collect())) == sorted(map(str, rp.classification_pivot(rows, ["pb", "ft"], [r["dataset"] for r in rows.select("dataset").distinct().orderBy("dataset").collect()], "a", "b", F.struct("resolution"), names=str.lower).collect()))
+    assert rp.classification_pivot(rows.limit(0), ["pb", "ft"], None, "a", "b", F.struct("resolution")).columns == ["pb", "ft"]
     got = {r["pb"]: r for r in rp.classification_pivot(rows, ["pb", "ft"], ["A", "B"], "a", "b", F.struct("resolution"), names=str.lower).collect()}
     assert got["p"]["a"] == "82.0/&mdash;" and got["p"]["b"] == "&mdash;/&mdash;" and got["q"]["b"] == "70.0/&mdash;"
 
