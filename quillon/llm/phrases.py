@@ -16,8 +16,8 @@ language, a null language is `und`.
    at them, and each range merges its parts of all tries and keeps frequent
    nodes. Walking a range, a stack of ancestors gives each node the counts of
    its left parts and, from the root, of all words. Ancestors that stand in
-   earlier ranges are those of the range's first node: at most `depth` a range,
-   which are looked up afterwards.
+   earlier ranges begin the range's first node, so they are few a range; they
+   are looked up afterwards.
 4. Right parts are nodes that suffix links lead to: a join by the rest's words.
    A child or a node that links to a candidate and is as frequent as it takes
    the candidate out. (A longer phrase that contains it by more than one word
@@ -45,7 +45,7 @@ from .common import bound_batches, counted, cut, free, lookup, mix, shuffle_widt
 
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
 SIEVE_BITS, SIEVES = 27, 4
-SLICE, SHARD, HELD = 2 << 20, 32 << 20, 4_000_000
+SLICE, SHARD, HELD = 2 << 20, 16 << 20, 4_000_000
 #: Nodes of a block, nodes of a range (a task holds one), and block keys looked at for each range.
 BLOCK, RANGE, LOOKED = 2048, 200_000, 40
 BREAKS = (*b".,;:!?", *range(0x0A, 0x0E))
@@ -186,7 +186,7 @@ class _Trie:
         self.parts.append((ids, deep.astype(np.int8), words.lang.astype(np.int32)))
 
     def blocks(self, names: list[str], block: int) -> pa.RecordBatch:
-        """The nodes in order, each its words and count; a block is of one language."""
+        """The nodes in order, each its words (joined by tabs, which words have not) and count; a block is of one language."""
         lang, phrase, count = [np.array(list(self.totals), dtype=np.int64)], [pa.array([""] * len(self.totals), pa.string())], [np.array(list(self.totals.values()), dtype=np.int64)]
         if self.parts:
             ids, deep, code = (np.concatenate(x) for x in zip(*self.parts))
@@ -204,15 +204,18 @@ class _Trie:
                 keys, node, n = np.unique(where[at] * len(words) + ids[at + d], return_inverse=True, return_counts=True)
                 up = keys // len(words)
                 own, text = own[up], pc.binary_join_element_wise(text.take(pa.array(up)), words.take(pa.array(keys % len(words))), " ")
-        langs, counts, phrases = np.concatenate(lang), np.concatenate(count), pa.concat_arrays(phrase).to_pylist()
-        out = []
-        for code in self.totals:
-            mine = np.flatnonzero(langs == code)
-            order = mine[sorted(range(len(mine)), key=[phrases[i].split(" ") for i in mine].__getitem__)]
-            for k in range(0, len(order), block):
-                part = order[k : k + block]
-                out.append((names[code], phrases[part[0]], [phrases[i] for i in part], counts[part]))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["lang", "first", "phrases", "counts"])
+        codes = np.concatenate(lang)
+        rank = np.argsort(np.argsort(names))  # of languages by name
+        nodes = pa.table({"rank": rank[codes], "code": codes, "phrase": pc.replace_substring(pa.concat_arrays(phrase), " ", "\t"), "n": np.concatenate(count)})
+        nodes = nodes.take(pc.sort_indices(nodes, [("rank", "ascending"), ("phrase", "ascending")])).combine_chunks()
+        code = nodes["code"].to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(code)) + 1, len(code))
+        begin = np.concatenate([np.arange(i, j, block) for i, j in zip(np.append(0, ends[:-1]), ends)])
+        offsets, values = pa.array(np.append(begin, len(code)).astype(np.int32)), nodes["phrase"].chunk(0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()).take(pa.array(code[begin])), values.take(pa.array(begin)), pa.ListArray.from_arrays(offsets, values), pa.ListArray.from_arrays(offsets, nodes["n"].chunk(0).cast(pa.int64()))],
+            names=["lang", "first", "phrases", "counts"],
+        )
 
 
 def tries(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -240,17 +243,12 @@ def tries(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shard: int =
     return _texts(docs).mapInArrow(run, _BLOCKS)
 
 
-def _key(lang: str, phrase: str) -> tuple[str, list[str]]:
-    """Orders nodes by words: a node before its subtree, the subtree next to it."""
-    return lang, phrase.split(" ")
-
-
-def _bounds(shards: DataFrame, nodes: int, size: int) -> list[tuple[str, list[str]]]:
+def _bounds(shards: DataFrame, nodes: int, size: int) -> list[tuple[str, str]]:
     """Keys that cut the order into ranges of about `size` nodes. Blocks hold equally many nodes, so some of their first keys tell."""
     ranges = -(-nodes // size)
     if ranges < 2:
         return []
-    seen = sorted(_key(*r) for r in shards.select("lang", "first").orderBy(F.rand(7)).limit(LOOKED * ranges).collect())
+    seen = sorted(tuple(r) for r in shards.select("lang", "first").orderBy(F.rand(7)).limit(LOOKED * ranges).collect())
     found = [seen[i * len(seen) // ranges] for i in range(1, ranges)]
     return [b for i, b in enumerate(found) if not i or b != found[i - 1]]
 
@@ -262,17 +260,25 @@ def _cut_blocks(shards: DataFrame, bounds: list) -> DataFrame:
     def run(batches):
         cuts = sent.value
         for batch in batches:
-            out = []
-            for lang, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrases", "counts"))):
-                begin, low, high = 0, bisect_right(cuts, _key(lang, phrases[0])), bisect_right(cuts, _key(lang, phrases[-1]))
-                for at in range(low, high):
-                    end = bisect_left(phrases, cuts[at], begin, key=lambda p, lang=lang: _key(lang, p))
+            at, langs, ends, parts = [], [], [0], []
+            phrases, counts = batch.column("phrases"), batch.column("counts")
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
+                own, n = phrases[i].values, counts[i].values
+                low, high = (bisect_right(cuts, (lang, own[k].as_py())) for k in (0, len(own) - 1))
+                texts = own.to_pylist() if low < high else []
+                begin = 0
+                for k in range(low, high + 1):
+                    end = bisect_left(texts, cuts[k][1], begin) if k < high else len(own)
                     if end > begin:
-                        out.append((at, lang, phrases[begin:end], counts[begin:end]))
+                        at.append(k)
+                        langs.append(lang)
+                        ends.append(ends[-1] + end - begin)
+                        parts.append((own.slice(begin, end - begin), n.slice(begin, end - begin)))
                         begin = end
-                out.append((high, lang, phrases[begin:], counts[begin:]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["at", "lang", "phrases", "counts"])
+            if parts:
+                offsets = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays(x)) for x in zip(*parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(langs, pa.string()), *lists], names=["at", "lang", "phrases", "counts"])
 
     return shards.mapInArrow(run, "at long, lang string, phrases array<string>, counts array<long>")
 
@@ -287,17 +293,17 @@ def merged(shards: DataFrame, depth: int = DEPTH, least: int = LEAST, size: int
         lang = parts.column("lang").combine_chunks().take(pc.list_parent_indices(phrases))
         sums = pa.table({"lang": lang, "phrase": phrases.flatten(), "n": counts.flatten()}).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
         sums = sums.filter(pc.or_(pc.greater_equal(sums["n_sum"], least), pc.equal(sums["phrase"], "")))
-        stack: list[tuple | None] = [None] * (depth + 1)
+        stack: list[tuple[str, str, int]] = []  # nodes whose words begin the present one's
         out = []
-        for (name, words), n in sorted((_key(x, p), n) for x, p, n in zip(*(sums[c].to_pylist() for c in ("lang", "phrase", "n_sum")))):
-            d = len(words) if words != [""] else 0
+        for name, words, n in sorted(zip(*(sums[c].to_pylist() for c in ("lang", "phrase", "n_sum")))):
+            while stack and not (stack[-1][0] == name and words.startswith(stack[-1][1])):
+                stack.pop()
             left = [None] * depth
-            for k in range(d):
-                known = stack[k]
-                if known and known[0] == name and known[1] == words[:k]:
-                    left[k] = known[2]
-            stack[d] = (name, words[:d], n)
-            out.append((name, " ".join(words), n, *left))
+            for _, part, m in stack:
+                if not part or words[len(part)] == "\t":
+                    left[part.count("\t") + 1 if part else 0] = m
+            stack.append((name, words, n))
+            out.append((name, words.replace("\t", " "), n, *left))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
 
     cuts = _cut_blocks(shards, _bounds(shards, counted(shards, "nodes") or 0, size))
@@ -315,7 +321,7 @@ def with_left_parts(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     missing = nodes.withColumn("d", _length()).select("lang", F.explode(F.array_compact(F.array(*open_))).alias("phrase")).distinct()
     found = cut(missing.join(nodes.select("lang", "phrase", "a"), ["lang", "phrase"]))
     out = nodes
-    for k in range(depth):  # at most `depth` rows a range, so they may be broadcast
+    for k in range(depth):  # a few rows a range, so they may be broadcast
         mine = F.broadcast(found.filter(F.col("phrase") == "" if k == 0 else F.size(F.split("phrase", " ")) == k).filter((F.col("phrase") != "") | F.lit(k == 0)).select("lang", F.col("phrase").alias("part"), F.col("a").alias("more")))
         out = out.withColumn("part", F.when(F.col(f"l{k}").isNull() & (_length() > k), part(k))).join(mine, ["lang", "part"], "left")
         out = out.withColumn(f"l{k}", F.coalesce(f"l{k}", "more")).drop("part", "more")
