@@ -5,9 +5,9 @@ of both: orders of three symbols and more are a class's own, and an expression
 rare in a class is smoothed by shared counts of one and two symbols. (Were more
 orders shared, a toxic word would be as likely in the class that never has it.)
 A document's features are length-normalised differences of log-likelihood: a
-character over the whole text, and a character over its most toxic words (the
-best word, and the words' excess over a margin). A logistic curve over them,
-fitted on labelled rows, gives the score.
+character over the whole text, and by piece (words, and parts of 24 symbols of
+what has no spaces) the best one and the pieces' excess over a margin. A
+logistic curve over them, fitted on labelled rows, gives the score.
 
 The counts are of all training rows, in two halves by a hash of the text; the
 curve is fitted on rows scored by the models of the other half (at most
@@ -34,6 +34,8 @@ from .charlm import BOUND, NEWLINE, SPACE, count, kneser_ney, probabilities, sco
 from .common import cut, labelled, table
 
 FIT_ROWS, THRESHOLD, MARGIN, SHARED = 20_000, 0.7, 4.0, 2
+#: The greatest length of a piece in symbols: what has no spaces is as many pieces as its length gives.
+PIECE = 24
 FEATURES = ["f_mean", "f_best", "f_excess"]
 
 
@@ -43,22 +45,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(r: np.ndarray, chars: np.ndarray, symbol: np.ndarray) -> list[np.ndarray]:
-    """Of each text, by its symbols' differences: the mean, that of the best word, and what words have over the margin, by word."""
+    """Of each text, by its symbols' differences: the mean, that of the best piece, and what pieces have over the margin, by piece."""
     n, docs = np.diff(chars), len(chars) - 1
     mean = sums(r, chars) / np.maximum(n, 1)
     best, excess = np.zeros(docs), np.zeros(docs)
     if len(r):
-        # a word begins after white space or at the start of a text; what ends a word counts in it
+        # a piece begins after white space, at the start of a text, and every PIECE symbols since; what ends a word counts in it
         new = np.zeros(len(r), dtype=bool)
         new[1:] = (symbol[:-1] == SPACE) | (symbol[:-1] == NEWLINE)
         new[chars[:-1][n > 0]] = True
-        at = np.flatnonzero(new)
-        word = np.add.reduceat(r.astype(np.float64), at)
+        since = np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
+        at = np.flatnonzero(since % PIECE == 0)
+        piece = np.add.reduceat(r.astype(np.float64), at)
         doc = np.searchsorted(chars, at, side="right") - 1
         first = np.flatnonzero(np.diff(doc, prepend=-1))
-        best[doc[first]] = np.maximum(np.maximum.reduceat(word, first), 0)
-        words = np.bincount(doc, minlength=docs)
-        excess = np.bincount(doc, weights=np.maximum(word - MARGIN, 0), minlength=docs) / np.maximum(words, 1)
+        best[doc[first]] = np.maximum(np.maximum.reduceat(piece, first), 0)
+        pieces = np.bincount(doc, minlength=docs)
+        excess = np.bincount(doc, weights=np.maximum(piece - MARGIN, 0), minlength=docs) / np.maximum(pieces, 1)
     return [np.clip(mean * 10, -5, 5), best / 10, np.log1p(excess * 10)]
 
 

@@ -216,6 +216,37 @@ def test_toxicity(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-12 for r in rows)
 
 
+def test_features_do_not_follow_the_length():
+    """The same differences a character give the same features, with and without spaces."""
+    for every in (6, 10**9):
+        rows = []
+        for n in (240, 2400, 24_000):
+            symbol = np.full(n, 97)
+            symbol[every - 1 :: every] = toxicity.SPACE
+            rows.append([float(x[0]) for x in toxicity._features(np.full(n, 0.12), np.array([0, n]), symbol)])
+        assert np.allclose(rows[0], rows[1], rtol=0.02) and np.allclose(rows[0], rows[2], rtol=0.02)
+    assert all(len(x) == 2 for x in toxicity._features(np.zeros(0), np.zeros(3, np.int64), np.zeros(0, np.int64)))
+
+
+def test_scripts_without_spaces(spark):
+    """Chinese and Thai: a few toxic expressions in texts of very different lengths."""
+    r = random.Random(8)
+    letters = ("的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年", "กขคงจฉชซญดตถทนบปผพฟมยรลวสหอาเแโไ")
+    bad = (("滚蛋废物", "白痴混账"), ("ไอโง่", "สารเลว"))
+    rows, marks = [], []
+    for i in range(900):
+        own, words, toxic = letters[i % 2], bad[i % 2], int(i % 5 < 2)
+        text = [r.choice(own) for _ in range(r.choice([60, 400, 3000]))]
+        for _ in range(max(3, len(text) // 60) if toxic else 0):
+            text.insert(r.randrange(len(text)), r.choice(words))
+        rows.append((i, "".join(text)))
+        marks.append((i, toxic))
+    out = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(marks, "doc_id long, toxic int")).filter("held_out").collect()
+    for script in (0, 1):
+        held = [x for x in out if x["doc_id"] % 2 == script]
+        assert sum(x["predicted"] == marks[x["doc_id"]][1] for x in held) / len(held) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = corpus(spark, 20)
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
