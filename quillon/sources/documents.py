@@ -235,6 +235,13 @@ def rejected(docs: DataFrame, permissive: bool = False, dimensions: Mapping[str,
     return why.unionByName(broken)
 
 
+def flawless(docs: DataFrame, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None) -> bool:
+    """Whether all documents may be loaded; which may not, and why, is asked of rejected() only where this is false."""
+    if docs.filter(refused(docs, permissive).isNotNull()).limit(1).count():
+        return False
+    return not violations(shred(docs, permissive), dimensions=dimensions).limit(1).count()
+
+
 def sorted_out(docs: DataFrame, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents that may be loaded, and family, reason of the others (written once, for both uses)."""
     rejects = kept(rejected(docs, permissive, dimensions))

@@ -158,8 +158,8 @@ class Change:
         parts, families = [], [spark.createDataFrame([], store.schemas[_FAMILIES])]
         for k, (docs, permissive, dimensions, replace) in enumerate(self.docs):
             docs = kept(docs, f"{place}/{k}")
-            rejects = ds.rejected(docs, permissive, dimensions).orderBy("family", "reason").limit(20).collect()
-            if rejects:
+            if not ds.flawless(docs, permissive, dimensions):
+                rejects = ds.rejected(docs, permissive, dimensions).orderBy("family", "reason").limit(20).collect()
                 raise ValueError("; ".join(f"{r['family']}: {r['reason']}" for r in rejects))
             t = ds.shred(docs, permissive, owners=True)
             there = [] if replace or not self.entries else t["family"].join(store.live(entries=self.entries).select("family_id"), "family_id", "left_semi").limit(20).collect()

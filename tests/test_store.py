@@ -8,6 +8,18 @@ from quillon.sources import documents as ds
 from quillon.sources.store import Conflict, Store
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """These tables are small and their jobs many: compiling them would take most of the time."""
+    quick = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    old = {k: spark.conf.get(k, None) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.fixture
 def docs(spark):
     return lambda *d: ds.read_json(spark, spark.createDataFrame([(x if isinstance(x, str) else json.dumps(x),) for x in d], "value string").coalesce(1))

@@ -1,12 +1,25 @@
 import json
 import shutil
 
+import pytest
 from test_documents import family, uncropped
 
 from quillon.sources.store import Store
 from quillon.streaming.ingest import ingest
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """These tables are small and their jobs many: compiling them would take most of the time."""
+    quick = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    old = {k: spark.conf.get(k, None) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_ingest(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
     folder.mkdir()
