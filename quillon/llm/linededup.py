@@ -1,28 +1,34 @@
 """Line deduplication by content-defined chunks of lines.
 
 A rolling hash over the hashes of two neighbouring lines chooses boundaries, so
-that chunks depend on what they hold and not on where they stand. A chunk has
-two lines at least that aren't blank. Of the occurrences of a chunk in all
-documents the first (by doc_id, then by place) stays; the others are removed
-after their bytes are compared with the first's.
+that chunks depend on what they hold and not on where they stand. A chunk begins
+and ends with a line that isn't blank, and has two of them at least. Of the
+occurrences of a chunk in all documents the first (by doc_id, then by place)
+stays; the others are removed after their bytes are compared with the first's.
 
 A chunk that reaches over the edge of a shared passage is nobody's equal, so
-chunks alone lose the ends of passages and short ones altogether. The operator
-and the pipeline therefore compare passages: every two neighbouring lines that
+chunks alone lose the ends of passages, and passages too short to hold a chunk.
+Edges are therefore units beside the chunks: every two neighbouring lines that
 aren't blank, with what is between them, and every line of LONG_WORDS words or
-more. Those are all the repeats of two lines or more, and of one long line,
-wherever a chunk would begin; what chunks find is among them. A line goes with
-any passage that stands somewhere before, so one copy of each always stays.
+more. Chunks come first: a chunk that goes absorbs the edges inside it, which
+are repeats of edges inside the chunk's first occurrence. What is left of the
+edges extends a repeated chunk line by line on both sides, and finds the short
+repeats. A line goes with any unit that stands somewhere before, so one copy of
+each always stays.
 
 Only hashes are grouped over the corpus, added up by batch before they are
-shuffled. Then the bytes are compared: each batch holds the passages of a hash
+shuffled. Then the bytes are compared: each batch holds the units of a hash
 against one another, and sends the bytes of one of them, so a hot passage is a
-row a batch. A hash all of whose bytes are the same stands for its passage; one
-with different bytes (a collision) is settled by the bytes of its occurrences.
-
-Null texts stay null and have no lines. Rows that agree in doc_id and text are
-one document: none of them makes the other a repetition. Null ids come before
-all others. Other columns are passed on untouched.
+row a batch. A hash all of whose bytes are the same stands for its unit. One
+with different bytes is a collision: then nothing is absorbed, since a chunk
+that seemed to repeat may not, and the units of that hash are settled by their
+bytes.
+
+Null texts stay null and have no lines, empty texts stay empty and have none.
+Rows that agree in doc_id and text are one document: none of them makes the
+other a repetition. Null ids come before all others. Other columns, whatever
+their names, are passed on untouched; an empty table gives an empty one. A text
+is one row, however long: memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -58,11 +64,11 @@ def _lines(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray):
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray):
-    """Document, first and last byte (exclusive), lines and hash of each chunk of at least LEAST_LINES lines that aren't blank."""
+    """Document, first and last byte (exclusive), whether it is a chunk, and hash of each chunk of at least LEAST_LINES lines that aren't blank."""
     docs = np.flatnonzero(np.diff(offsets))
     if not len(docs):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(bool), none.astype(np.uint64)
     doc, begin, end, last, full = _lines(data, offsets, docs)
     sums = rolling(BYTE_CODE[data])
     line = span_hash(sums, begin, end)
@@ -84,11 +90,13 @@ def _chunks(data: np.ndarray, offsets: np.ndarray):
     s = np.concatenate([[0], e[:-1] + 1])
     lines = np.concatenate([[0], np.cumsum(full)])
     own = lines[e + 1] - lines[s] >= LEAST_LINES
-    s, e = s[own], e[own]
-    return doc[s], begin[s], end[e], e - s + 1, span_hash(sums, begin[s], end[e])
+    # blank lines at a chunk's ends are none of it
+    at = np.flatnonzero(full)
+    s, e = at[lines[s[own]]], at[lines[e[own] + 1] - 1]
+    return doc[s], begin[s], end[e], np.ones(len(s), bool), span_hash(sums, begin[s], end[e])
 
 
-def _passages(data: np.ndarray, offsets: np.ndarray):
+def _edges(data: np.ndarray, offsets: np.ndarray):
     """As _chunks(), of each two neighbouring lines that aren't blank and of each long line; they overlap."""
     docs = np.flatnonzero(np.diff(offsets))
     if not len(docs):
@@ -104,7 +112,17 @@ def _passages(data: np.ndarray, offsets: np.ndarray):
     pair = np.flatnonzero(doc[own[1:]] == doc[own[:-1]])
     long = own[words[end[own]] - words[begin[own]] >= LONG_WORDS]
     s, e = np.concatenate([own[pair], long]), np.concatenate([own[pair + 1], long])
-    return doc[s], begin[s], end[e], e - s + 1, span_hash(rolling(BYTE_CODE[data]), begin[s], end[e])
+    return doc[s], begin[s], end[e], np.zeros(len(s), bool), span_hash(rolling(BYTE_CODE[data]), begin[s], end[e])
+
+
+def _seeded(data: np.ndarray, offsets: np.ndarray):
+    """Chunks, and the edges that aren't chunks themselves."""
+    chunks, edges = _chunks(data, offsets), _edges(data, offsets)
+    # starts are places in a whole slice, so a start and an end name a unit
+    width = len(data) + 1
+    own = ~np.isin(edges[1] * width + edges[2], chunks[1] * width + chunks[2])
+    doc, s, e, _, h = (np.concatenate([c, x[own]]) for c, x in zip(chunks, edges))
+    return doc, s, e, np.arange(len(doc)) < len(chunks[0]), h
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -159,9 +177,9 @@ def _listing(units: Callable):
 
     def run(batches):
         for batch, data, offsets in each_slice(batches, "text"):
-            doc, s, e, _, h = units(data, offsets)
+            doc, s, e, chunk, h = units(data, offsets)
             pick = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__th").take(pick), pa.array(s - offsets[doc], pa.int64()), pa.array(e - s, pa.int64()), pa.array(h.view(np.int64))], names=["__id", "__th", "at", "size", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(pick), batch.column("__th").take(pick), pa.array(s - offsets[doc], pa.int64()), pa.array(e - s, pa.int64()), pa.array(h.view(np.int64)), pa.array(chunk)], names=["__id", "__th", "at", "size", "h", "chunk"])
 
     return run
 
@@ -186,27 +204,60 @@ def _counting(units: Callable):
     return run
 
 
-def deduplicate(docs: DataFrame, units: Callable = _chunks) -> DataFrame:
-    """docs with its repeated chunks, or passages with units=_passages, taken out of text, and __n_lines, __n_removed. Names that begin with two underscores are its own (see clean)."""
+def _absorbed(batches):
+    """Rows (__id, __th, want: at, size, h, own, chunk) -> the same without the edges inside chunks that go."""
+    for batch in batches:
+        want = batch.column("want")
+        spans = want.flatten()
+        of = np.repeat(np.arange(len(want)), np.diff(want.offsets.to_numpy()))
+        at, size = (spans.field(c).to_numpy() for c in ("at", "size"))
+        own, chunk = (spans.field(c).to_numpy(zero_copy_only=False) for c in ("own", "chunk"))
+        # chunks don't overlap: the last one that begins no later than an edge is the only one that can hold it
+        width = int((at + size).max(initial=0)) + 1
+        going = np.flatnonzero(chunk & ~own)
+        going = going[np.argsort(of[going] * width + at[going])]
+        found = np.searchsorted(of[going] * width + at[going], of * width + at, side="right") - 1
+        inside = np.zeros(len(of), bool)
+        if len(going):
+            host = going[np.maximum(found, 0)]
+            inside = (found >= 0) & (of[host] == of) & (at + size <= at[host] + size[host]) & ~chunk
+        left = np.flatnonzero(~inside)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(of[left], minlength=len(want)))]).astype(np.int32)
+        kept = pa.ListArray.from_arrays(pa.array(offsets), spans.take(pa.array(left)))
+        yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__th"), kept], names=["__id", "__th", "want"])
+
+
+WANT = "__id bigint, __th bigint, want array<struct<at: bigint, size: bigint, h: bigint, own: boolean, chunk: boolean>>"
+
+
+def deduplicate(docs: DataFrame, units: Callable = _seeded, absorb: bool = True) -> DataFrame:
+    """docs with its repeated chunks and what extends them taken out of text, and __n_lines, __n_removed. units=_chunks takes out chunks alone."""
+    inner = docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)))
+    return _deduplicated(inner, units, absorb).toDF(*docs.columns, "__n_lines", "__n_removed")
+
+
+def _deduplicated(docs: DataFrame, units: Callable, absorb: bool) -> DataFrame:
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt once by document; all uses below read that exchange
     dealt = _keyed(docs).repartition(width, "__id", "__th")
     texts = _keyed(docs.select("doc_id", "text")).select("__id", "__th", "text")
     counted = texts.mapInArrow(_counting(units), "h bigint, size bigint, id bigint, th bigint, at bigint, n bigint")
     repeated = counted.groupBy("h", "size").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.sum("n").alias("n")).filter("n > 1")
     repeated = cut(repeated.select("h", "size", "first.*").withColumnsRenamed({"id": "id1", "th": "th1", "at": "at1"}))
-    listed = texts.mapInArrow(_listing(units), "__id bigint, __th bigint, at bigint, size bigint, h bigint")
+    listed = texts.mapInArrow(_listing(units), "__id bigint, __th bigint, at bigint, size bigint, h bigint, chunk boolean")
     own = (F.col("__id") == F.col("id1")) & (F.col("__th") == F.col("th1")) & (F.col("at") == F.col("at1"))
-    candidates = listed.join(sized(repeated), ["h", "size"]).select("__id", "__th", "h", "at", "size", own.alias("own"))
-    wanted = cut(candidates.groupBy("__id", "__th").agg(F.collect_set(F.struct("at", "size", "h", "own")).alias("want")))
+    candidates = listed.join(sized(repeated), ["h", "size"]).select("__id", "__th", "h", "at", "size", own.alias("own"), "chunk")
+    wanted = candidates.groupBy("__id", "__th").agg(F.collect_set(F.struct("at", "size", "h", "own", "chunk")).alias("want"))
+    wanted = cut(wanted.mapInArrow(_absorbed, WANT) if absorb else wanted)
     marked = dealt.join(wanted, ["__id", "__th"], "left")
     sent = marked.filter("want IS NOT NULL").select("text", "want").mapInArrow(_agreed, "h bigint, size bigint, bytes binary")
     odd = cut(sent.groupBy("h", "size").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a != b").select("h", "size"))
+    if absorb and not small(odd, 0):
+        return _deduplicated(docs, units, False)
     # the texts are dealt again for the result: the first time's shuffle files may go
     settle(docs.sparkSession)
     gone = wanted.select("__id", "__th", F.explode(F.filter("want", lambda w: ~w["own"])).alias("w")).select("__id", "__th", "w.at", "w.size", "w.h")
     if not small(odd, 0):
-        # a hash that different passages share: their occurrences are grouped by their bytes
+        # a hash that different units share: their occurrences are grouped by their bytes
         part = F.substring(F.col("text").cast("binary"), F.col("w.at").cast("int") + 1, F.col("w.size").cast("int"))
         spans = marked.filter("want IS NOT NULL").select("__id", "__th", "text", F.explode("want").alias("w"))
         pieces = spans.select("__id", "__th", "w.at", "w.size", "w.h", part.alias("bytes")).join(sized(odd), ["h", "size"])
@@ -252,11 +303,11 @@ def deduplicate(docs: DataFrame, units: Callable = _chunks) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs, its columns, with repeated passages of lines taken out of text."""
+    """docs, its columns, with repeated chunks and what extends them taken out of text."""
     inner, back = guarded(docs, "doc_id", "text")
-    return back(deduplicate(inner, _passages))
+    return back(deduplicate(inner))
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return deduplicate(docs, _passages).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed_lines"), "text")
+    return deduplicate(docs).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed_lines"), "text")

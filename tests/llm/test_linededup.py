@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from quillon.llm import linededup
 
@@ -34,8 +35,8 @@ def brute(rows):
 
 def test_against_brute_force(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = linededup.deduplicate(docs.drop("__id"))
-    assert got.columns == [*docs.columns[:-1], "__n_lines", "__n_removed"]
+    got = linededup.deduplicate(docs, linededup._chunks)
+    assert got.columns == [*docs.columns, "__n_lines", "__n_removed"]
     assert Counter((r["doc_id"], r["text"], r["__n_removed"]) for r in got.collect()) == brute(rows)
     assert sum(r["__n_removed"] for r in got.collect()) > 10
 
@@ -53,13 +54,34 @@ def test_hashes_that_collide(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
     def same(data, offsets):
-        doc, s, e, n, h = linededup._passages(data, offsets)
-        return doc, s, e, n, h & np.uint64(1)
+        doc, s, e, chunk, h = linededup._seeded(data, offsets)
+        return doc, s, e, chunk, h & np.uint64(1)
 
-    plain = {x["doc_id"]: x["text"] for x in linededup.deduplicate(docs, linededup._passages).collect()}
+    plain = {x["doc_id"]: x["text"] for x in linededup.deduplicate(docs).collect()}
     assert {x["doc_id"]: x["text"] for x in linededup.deduplicate(docs, same).collect()} == plain == {k: t for k, (t, _) in repeated_lines(rows).items()}
 
 
+def test_chunks_absorb_their_edges(spark):
+    """A shared passage of many lines goes by its chunks: what is compared beside them are the edges that reach over them."""
+    passage = [f"line {i} of the passage that the documents share" for i in range(60)]
+    rows = [(i, "\n".join([f"before {i}", *passage, f"after {i}"])) for i in range(6)]
+    raw = rows[1][1].encode()
+    doc, s, e, chunk, h = linededup._seeded(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    lo, hi = raw.index(b"line 0"), raw.index(b"\nafter")
+    shared = (s >= lo) & (e <= hi)
+    spans = [{"at": int(a), "size": int(b - a), "h": int(x.view(np.int64)), "own": False, "chunk": bool(c)} for a, b, x, c in zip(s[shared], e[shared], h[shared], chunk[shared])]
+    before = pa.RecordBatch.from_pylist([{"__id": 1, "__th": 1, "want": spans}, {"__id": 2, "__th": 2, "want": [{**x, "own": True} for x in spans]}, {"__id": 3, "__th": 3, "want": [x for x in spans if not x["chunk"]]}])
+    (after,) = linededup._absorbed([before])
+    one, two, three = (x["want"] for x in after.to_pylist())
+    assert two == before.to_pylist()[1]["want"] and three == before.to_pylist()[2]["want"]
+    assert [x for x in one if x["chunk"]] == [x for x in spans if x["chunk"]]
+    inner = lambda x: any(c["chunk"] and c["at"] <= x["at"] and x["at"] + x["size"] <= c["at"] + c["size"] for c in spans)
+    assert [x for x in one if not x["chunk"]] == [x for x in spans if not x["chunk"] and not inner(x)]
+    assert len(one) < len(spans) * 0.8
+    got = {x["doc_id"]: x["text"] for x in linededup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], **{i: f"before {i}\nafter {i}" for i in range(1, 6)}}
+
+
 def test_other_columns_and_empty(docs, empty):
     kept = {(x["doc_id"], x["extra"], x["__id"]) for x in linededup.clean(docs).collect()}
     assert kept == {(x["doc_id"], x["extra"], x["__id"]) for x in docs.collect()}
@@ -103,7 +125,7 @@ def brute_passages(rows):
 
 def test_passages_of_odd_rows(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = linededup.deduplicate(docs.drop("__id"), linededup._passages).collect()
+    got = linededup.deduplicate(docs).collect()
     assert Counter((r["doc_id"], r["text"], r["__n_removed"]) for r in got) == brute_passages(rows)
 
 
@@ -117,7 +139,7 @@ def test_passages_against_brute_force(spark):
         own.insert(r.randint(0, len(own)), r.choice(shared))
         rows.append((i, "\n".join([*own, *[""] * r.randint(0, 2)])))
     rows += [(150, "a\na\na\na"), (151, ""), (152, "é ü\n\n"), (153, shared[7])]
-    got = linededup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), linededup._passages)
+    got = linededup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     want = repeated_lines(rows)
     assert {x["doc_id"]: (x["text"], x["__n_removed"]) for x in got.collect()} == want
     assert want[153] == ("", 1)
