@@ -10,7 +10,7 @@ trusted text, one below the lower bound repeats itself. The upper bound gives wa
 what one unknown word can cost, shared among the text's characters.
 
 Texts are read once: scores are written to a table, of which the bounds and the
-verdicts are made.
+verdicts are made. Bounds come of exact counts, so reruns agree.
 
 Null and empty texts have no perplexity and are kept (nothing speaks against
 them). A length class of a language with fewer than `enough` trusted documents
@@ -20,7 +20,7 @@ rare language is judged by its own text however little there is of it. Only a
 language without any trusted text takes the bounds of the length class in all
 languages (of `enough` documents), then of all documents; without trusted text
 every document is kept. Rows are judged one by one, repeated or not. A document
-labelled both 0 and 1 isn't trusted. Where all trusted texts fall into one half
+labelled both 0 and 1 isn't trusted. Very long texts are scored whole. Where all trusted texts fall into one half
 its model scores both. Empty tables give empty results; clashing names of other
 columns are set aside by accepted().
 """
@@ -30,7 +30,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .charlm import BOUND, count, kneser_ney, probabilities, score, sums
@@ -41,6 +41,8 @@ LOW, HIGH, ENOUGH = 0.001, 0.995, 200
 SLACK = 0.05
 #: Nats that a text may have beyond the upper bound in all: what one word that the model doesn't know can cost. It keeps short texts, where a word decides.
 ONE_WORD = 30.0
+#: Bins a nat of the histogram that quantiles are read from.
+BINS_A_NAT = 16_384
 #: Confidence of the tolerance limits; documents' worth of the spread within all languages that is added to a small one's own.
 CONFIDENCE, PRIOR = 0.95, 3
 
@@ -50,6 +52,29 @@ def _length_class(n):
     return F.greatest(F.lit(0), F.least(F.lit(4), F.floor(F.log2(F.greatest(n, F.lit(1.0))) / 2) - 2)).cast("int")
 
 
+def _cells(scored: DataFrame, low: float, high: float) -> DataFrame:
+    """lang, __class, g, q, n, mean and var of log_perplexity by language and class (g = 0), by language (1), by class (2) and of all (3).
+
+    All come of one histogram, whose counts and sums are whole numbers, so they
+    don't depend on the order in which parts are merged. A quantile is the least
+    (the high one: the greatest) value of the bin that the exact rank falls in.
+    """
+    bins = scored.withColumn("b", F.floor(F.col("log_perplexity") * BINS_A_NAT)).groupBy("lang", "__class", "b")
+    bins = bins.agg(F.count(F.lit(1)).alias("n"), F.min("log_perplexity").alias("least"), F.max("log_perplexity").alias("most"))
+    sets = bins.groupingSets([["lang", "__class", "b"], ["lang", "b"], ["__class", "b"], ["b"]], "lang", "__class", "b")
+    sets = sets.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.shiftright(F.grouping_id("lang", "__class", "b"), 1).alias("g"))
+    cell = Window.partitionBy("g", "lang", "__class")
+    # no cell has more rows here than there are bins
+    seen, every = F.sum("n").over(cell.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(cell)
+    sets = sets.withColumn("seen", seen).withColumn("every", every)
+    reached = lambda p: F.col("seen") >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("every")))
+    q = F.array(F.min(F.when(reached(low), F.col("least"))), F.min(F.when(reached(high), F.col("most"))))
+    once, twice = F.sum(F.col("n") * F.col("b")), F.sum((F.col("n") * F.col("b")).cast("decimal(20,0)") * F.col("b").cast("decimal(10,0)"))
+    out = sets.groupBy("g", "lang", "__class").agg(q.alias("q"), F.sum("n").alias("n"), once.cast("double").alias("once"), twice.cast("double").alias("twice"))
+    out = out.withColumn("mean", (F.col("once") / F.col("n") + 0.5) / BINS_A_NAT)
+    return out.withColumn("var", F.when(F.col("n") > 1, (F.col("twice") - F.col("once") * F.col("once") / F.col("n")) / (F.col("n") - 1) / BINS_A_NAT**2)).drop("once", "twice")
+
+
 def _limits(cells: DataFrame, pooled: float | None, low: float, high: float, enough: int) -> DataFrame:
     """cells (q, n, mean, var) with lo and hi: their quantiles, or of fewer than `enough` documents at least one-sided normal tolerance limits."""
     n, c = F.col("n"), NormalDist().inv_cdf(CONFIDENCE)
@@ -97,13 +122,11 @@ def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = H
     keep = [c for c in docs.columns if c != "text"]
     scored = cut(perplexities(docs, trusted, keep, bound).withColumn("__class", _length_class(F.col("n_chars_scored"))))
     own = labelled(scored.select("doc_id", "lang", "__class", "log_perplexity").filter("log_perplexity IS NOT NULL"), trusted)
-    quantile = F.percentile_approx("log_perplexity", [low, high], 10_000)
-    sums_ = [quantile.alias("q"), F.count(F.lit(1)).alias("n"), F.avg("log_perplexity").alias("mean"), F.var_samp("log_perplexity").alias("var"), F.grouping_id("lang", "__class").alias("g")]
-    cells = own.groupingSets([["lang", "__class"], ["lang"], ["__class"], []], "lang", "__class").agg(*sums_)
     # a cell for each language and length class
-    cells = cut(cells.withColumn("__lang", F.coalesce("lang", F.lit(""))).withColumn("__null", F.col("lang").isNull()))
+    cells = cut(_cells(own, low, high).withColumn("__lang", F.coalesce("lang", F.lit(""))).withColumn("__null", F.col("lang").isNull()))
     by = {g: cells.filter(F.col("g") == g) for g in (0, 1, 2, 3)}
-    pooled = by[1].agg(F.sum(F.when(F.col("n") > 1, F.col("var") * (F.col("n") - 1))) / F.sum(F.when(F.col("n") > 1, F.col("n") - 1))).first()[0]
+    within = by[1].filter("n > 1").agg(F.sum((F.col("var") * (F.col("n") - 1)).cast("decimal(38,9)")).cast("double") / F.sum(F.col("n") - 1))
+    pooled = within.first()[0]
     overall = by[3].select("q").first()
     in_class = _limits(by[0], pooled, low, high, enough).select("__lang", "__null", "__class", F.col("n").alias("__n0"), F.col("lo").alias("__lo0"), F.col("hi").alias("__hi0"))
     in_lang = _limits(by[1], pooled, low, high, enough).select("__lang", "__null", F.col("lo").alias("__lo1"), F.col("hi").alias("__hi1"))

@@ -263,6 +263,26 @@ def test_long_texts_and_clashing_names(spark):
     assert quality.accepted(docs.limit(0), labels).count() == 0
 
 
+def test_bounds_do_not_depend_on_order(spark):
+    """Cells of the same values in any arrangement are the same to the last bit, and their quantiles are those of the sorted values."""
+    r = random.Random(9)
+    rows = [(r.choice(["en", "de", None]), r.randint(0, 2), r.gauss(2.0, 0.3)) for _ in range(4000)] + [("xx", 1, 2.5)]
+    schema = "lang string, __class int, log_perplexity double"
+    found = []
+    for parts in (1, 7, 16):
+        r.shuffle(rows)
+        cells = quality._cells(spark.createDataFrame(rows, schema).repartition(parts), 0.001, 0.995)
+        found.append({(x["g"], x["lang"], x["__class"]): (tuple(x["q"]), x["n"], x["mean"], x["var"]) for x in cells.collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 10 + 4 + 3 + 1
+    for (g, lang, klass), (q, n, mean, var) in found[0].items():
+        own = sorted(v for a, b, v in rows if (g in (2, 3) or a == lang) and (g in (1, 3) or b == klass))
+        assert n == len(own) and abs(mean - sum(own) / n) < 1e-4
+        assert (var is None) == (n == 1) and (n == 1 or abs(var / np.var(own, ddof=1) - 1) < 1e-2)
+        for value, p in zip(q, (0.001, 0.995)):
+            assert value in own and abs(value - own[max(0, math.ceil(p * n) - 1)]) <= 1 / quality.BINS_A_NAT
+    assert quality._cells(spark.createDataFrame([], schema), 0.1, 0.9).count() == 0
+
+
 def test_quality(spark):
     docs, labels, known = corpus(spark)
     out = quality.judged(docs, labels, enough=50)
