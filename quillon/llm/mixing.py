@@ -8,7 +8,8 @@ time t is its target times the share of its schedule's integral up to t. Its
 documents, dealt in the order of a hash and again from the start where the
 target passes the source's size, follow one another along that demand: the
 inverse of the integral at the middle of a document's words is its training
-position. The rows are range-sorted by position.
+position. The rows are range-sorted by position; passes() has a row for each
+time that a document is read.
 
 The running sums are taken in two levels, since one source may hold a third of
 all rows: inside about sqrt(n) hash buckets of a source, then over its buckets.
@@ -17,7 +18,8 @@ Null texts have no words; they, empty texts and texts that the mix doesn't
 reach have taken = 0 and no position (they come last). A null source is a
 source of its own, after all others. Rows that repeat are rows of their own;
 equal ids are ordered by size, and alike rows share the words between them. An
-empty table gives an empty result.
+empty table gives an empty result. A text counts by its words, however long.
+Other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,6 +109,12 @@ def ordered(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def passes(mixed: DataFrame) -> DataFrame:
+    """A row a pass over a document (doc_id, source, pass from 0, position), range-sorted by position: the order in which training reads them."""
+    each = mixed.select("doc_id", "source", F.posexplode("positions").alias("pass", "position"))
+    return each.orderBy("position", "doc_id", "pass")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = ordered(mix(table(spark, sf_dir, "documents")))
     rounded = F.transform("positions", lambda x: F.round(x, 6)).alias("positions")

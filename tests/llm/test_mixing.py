@@ -61,3 +61,14 @@ def test_empty_and_wordless(spark, empty):
     assert mixing.mix(empty).count() == 0
     got = mixing.mix(spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")).collect()
     assert [(g["target"], g["taken"]) for g in got] == [(0.0, 0), (0.0, 0)]
+
+
+def test_passes_have_places_of_their_own(spark):
+    """A document that is mixed twice stands twice in training order, and none that isn't taken."""
+    rows = [(i, "w " * (1 + i % 9), "abcd"[i % 4]) for i in range(400)] + [(900, None, "a"), (901, "", None)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = mixing.passes(mixed).collect()
+    assert [r["position"] for r in got] == sorted(r["position"] for r in got)
+    want = {r["doc_id"]: r["positions"] for r in mixed.collect()}
+    assert any(len(x) == 2 for x in want.values()) and not want[900] and not want[901]
+    assert sorted((r["doc_id"], r["pass"], r["position"]) for r in got) == sorted((i, k, p) for i, x in want.items() for k, p in enumerate(x))
