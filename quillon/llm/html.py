@@ -39,31 +39,36 @@ _CLOSES = {"li": ("li", "ul", "ol", "menu", "dir"), "dd": ("dd dt", "dl"), "dt":
 #: Elements that hold text of their own: their names weigh little against it.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt figcaption b i em strong code q cite sub sup mark abbr time".split())
 _BAD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager comment comments respond disqus discussion toolbar alert disclaimer copyright skip hidden paywall outbrain taboola".split())
+#: What a name that begins like boilerplate may end with and still mean it.
+_PARTS = frozenset("box boxes wrapper wrap container inner outer content list block section area bar unit slot item items text body title heading header button buttons btn form link links group panel module icon icons post posts article articles story stories news row col column left right top bottom main image img label policy message card cards tab tabs video frame zone space tag tags feed stream thread reply count field input region holder".split())
 _GOOD = frozenset("article content main story post entry body text prose".split())
 _BAD_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog form menu menubar toolbar".split())
 #: A name that begins so says what a page has or lacks, not what the element is.
 _STATES = frozenset("with has have no without is not hide show".split())
 NEAR, APART, HOLD = 0.6, 0.15, 0.4
 #: Votes of an element's tag and names; an article inside an element of more than STRONG votes against begins anew.
-CHROME, NAMED, MENTIONED, STRONG = -8.0, -6.0, -1.5, -5.0
+CHROME, NAMED, MENTIONED, HINTED, STRONG = -8.0, -6.0, -1.5, -0.5, -5.0
 
 
-def _named(names: str) -> tuple[bool, bool, bool]:
-    """Whether class and id names say that an element is boilerplate, mention it, or speak for content."""
-    bad = mentions = good = False
+def _named(names: str) -> tuple[bool, bool, bool, bool]:
+    """Whether class and id names say that an element is boilerplate, mention it, hint at it (social-history), or speak for content."""
+    bad = mentions = hints = good = False
     for name in names.split():
         words = [w.lower() for w in _WORDS.findall(name)]
         if not words or words[0] in _STATES:
             continue
         praised = not _GOOD.isdisjoint(words)
         # the last word says what it is
-        if words[-1] in _BAD or (words[0] in _BAD and not praised):
+        part = words[-1] in _PARTS or len(words[-1]) <= 2
+        if words[-1] in _BAD or (words[0] in _BAD and part and not praised):
             bad = True
+        elif words[0] in _BAD and not praised:
+            hints = True
         elif not _BAD.isdisjoint(words):
             mentions = True
         else:
             good = good or praised
-    return bad, mentions, good
+    return bad, mentions, hints, good
 
 
 class _Element:
@@ -82,11 +87,13 @@ class _Element:
             votes = max(votes, 2.0) + 1 if votes > STRONG else votes
         if attributes and name not in ("body", "html", "article", "main", "a"):
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attributes)}
-            bad, mentions, good = _named(f"{found.get('class', '')} {found.get('id', '')}")
+            bad, mentions, hints, good = _named(f"{found.get('class', '')} {found.get('id', '')}")
             style = found.get("style", "").replace(" ", "").lower()
             role = found.get("role", "").lower()
-            if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
+            if "hidden" in found or "display:none" in style or "visibility:hidden" in style:
                 self.skip = True
+            # readers see what is hidden from screen readers only: text stays, boxes are likelier decoration
+            mentions = mentions or (found.get("aria-hidden", "").lower() == "true" and name in _BLOCK and name not in _TEXT)
             if role in _BAD_ROLES:
                 votes = min(votes, CHROME)
             elif bad and name in _TEXT:
@@ -95,6 +102,8 @@ class _Element:
                 votes = min(votes, NAMED)
             elif bad or mentions:
                 votes += MENTIONED
+            elif hints:
+                votes += HINTED
             elif (role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or good) and votes > STRONG:
                 votes = max(votes, 1.0) + 1
         self.votes = votes

@@ -48,6 +48,11 @@ def test_cut_off_page():
         ("<article><p>{a} <a title=it's href=/x>Link</a> one.</p><p>{b}</p><p>Last <a title=it's href=/y>link</a> in the text.</p></article>", "{a} Link one.\n\n{b}\n\nLast link in the text."),
         ("<article><p>{a} <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> holds.</p></article>", "{a} x<2 holds."),
         ("<article><p>{a}<ul><li>One item<li>Two <b>items</ul><p>{b}</article>", "{a}\n\nOne item\n\nTwo items\n\n{b}"),
+        ("<article><p><span aria-hidden='true'>W</span>{a}</p><p aria-hidden='true'>{b}</p></article>", "W{a}\n\n{b}"),
+        ("<div class='social-history'><p>{a}</p><p>{b}</p></div>", "{a}\n\n{b}"),
+        ("<article><p>{a}</p><div class='promotion-history'><p>{b}</p></div></article>", "{a}\n\n{b}"),
+        ("<article><p>{a}</p><div class='related-articles'><p>{b}</p></div><div class='ad-300x250'><p>{b}</p></div></article>", "{a}"),
+        ("<article><p>{a}</p></article><div hidden><p>{b}</p></div><div class='social-links'><p>{b}</p></div>", "{a}"),
         ("<article><table><tr><td>{a}<td>{b}</table></article>", "{a}\n\n{b}"),
     ],
 )
