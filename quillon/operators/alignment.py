@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Lines of pairs that leave Python in one batch.
+_BATCH_LINES = 10_000
 _EDITS = "array<struct<sign:string,number:int,line:string>>"
 
 
@@ -117,6 +119,22 @@ def align(old: Sequence[Hashable], new: Sequence[Hashable]) -> Iterator[tuple[st
     yield from (("+", begin + x) for x in range(j, m))
 
 
+def _differences(batches, names: Sequence[str], context: bool) -> Iterator[pa.RecordBatch]:
+    """Edits of batches of pairs (key, old, new)."""
+    kind = pa.list_(pa.struct([("sign", pa.string()), ("number", pa.int32()), ("line", pa.string())]))
+    for batch in batches:
+        done, sizes, edits, lines = 0, ([], []), [], 0
+        for i in range(batch.num_rows):
+            a, b = ([x or "" for x in batch.column(c)[i].as_py() or []] for c in ("old", "new"))
+            edits.append([(s, k + 1, (a if s == "-" else b)[k]) for s, k in align(a, b) if context or s != " "])
+            sizes[0].append(len(a))
+            sizes[1].append(len(b))
+            lines += len(a) + len(b)
+            if lines > _BATCH_LINES or i == batch.num_rows - 1:  # pairs together as long as they are short
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(done, i + 1 - done), *(pa.array(x, pa.int32()) for x in sizes), pa.array(edits, kind)], names=list(names))
+                done, sizes, edits, lines = i + 1, ([], []), [], 0
+
+
 def aligned(old: DataFrame, new: DataFrame, context: bool = False) -> DataFrame:
     """key, n_old, n_new and edits (sign, number from 1, line; with context also the lines that stay) of each pair of documents (key, lines)."""
     among = Window.partitionBy("key").orderBy("lines")
@@ -127,12 +145,7 @@ def aligned(old: DataFrame, new: DataFrame, context: bool = False) -> DataFrame:
     schema = T.StructType([T.StructField("key", pairs.schema["key"].dataType), *T._parse_datatype_string(f"n_old int, n_new int, edits {_EDITS}").fields])
 
     def run(batches):
-        kind = pa.list_(pa.struct([("sign", pa.string()), ("number", pa.int32()), ("line", pa.string())]))
-        for batch in batches:
-            for i in range(batch.num_rows):  # a pair at a time: documents may be long
-                a, b = ([x or "" for x in batch.column(c)[i].as_py() or []] for c in ("old", "new"))
-                edits = [{"sign": s, "number": k + 1, "line": (a if s == "-" else b)[k]} for s, k in align(a, b) if context or s != " "]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, 1), pa.array([len(a)], pa.int32()), pa.array([len(b)], pa.int32()), pa.array([edits], kind)], names=schema.names)
+        yield from _differences(batches, schema.names, context)
 
     return pairs.mapInArrow(run, schema)
 

@@ -71,3 +71,18 @@ def test_order_of_lists_is_no_difference(spark):
     a, b = docs([("y", 1), ("x", 2)]), docs([("x", 2), ("y", 3)])
     pairs = al.aligned(*(al.rendered(ds.canonical(d), "name") for d in (a, b)))
     assert [tuple(r) for r in al.edits(pairs).collect()] == [("d", "-", 5, "- n: 1"), ("d", "+", 5, "- n: 3")] or al.figures(pairs).first()["changed"] == 2
+
+
+def test_short_pairs_leave_python_together():
+    """Before, each was a batch of its own."""
+    import pyarrow as pa
+
+    pairs = [(i, [f"a{i}", "b"], ["b", f"c{i}"]) for i in range(300)] + [(300, ["x"] * 12_000, None)]
+    kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*pairs), kinds)], names=["key", "old", "new"])
+    out = list(al._differences([batch], ["key", "n_old", "n_new", "edits"], False))
+    assert len(out) == 1 and out[0].column("key").to_pylist() == list(range(301))
+    rows = out[0].to_pylist()
+    assert [(e["sign"], e["number"], e["line"]) for e in rows[7]["edits"]] == [("-", 1, "a7"), ("+", 2, "c7")]
+    assert rows[300]["n_old"] == 12_000 and rows[300]["n_new"] == 0 and len(rows[300]["edits"]) == 12_000
+    assert len(list(al._differences([batch, batch], ["key", "n_old", "n_new", "edits"], False))) == 2
