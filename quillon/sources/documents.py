@@ -27,6 +27,8 @@ _PB = f"array<struct<name:string,pretrain_dataset:string,pretrain_method:string,
 _BACKBONE = f"array<struct<name:string,m_parameters:double,{_LINKS},fps_measurements:{_FPS},pretrained_backbones:{_PB}>>"
 DOCUMENT = f"struct<name:string,model_type:string,hierarchical:boolean,pretrain_method:string,pub_date:string,{_LINKS},backbones:{_BACKBONE}>"
 
+_MENTIONS = "array<struct<kind:string,name:string,task:string,used:boolean>>"
+
 #: Fixed values.
 ENUMS = {
     "pretrain_method": ("Supervised", "Sup. + TL", "FCMAE", "MAE", "CL", "MAP"),
@@ -93,12 +95,14 @@ def _each(rows: DataFrame, column: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.posexplode(column).alias("place", "e")).select(*keep, "place", "e.*")
 
 
-def shred(docs: DataFrame, permissive: bool = False, owners: bool = False) -> dict[str, DataFrame]:
+def shred(docs: DataFrame, permissive: bool = False, owners: bool = False, keep: bool = False) -> dict[str, DataFrame]:
     """Nested documents -> relational tables and bridges, with deterministic keys.
 
     Documents that refused() names are left out as a whole: load() and the
     stream report them. Permissive, train_resolution stands for crop_size. With
-    owners every table but the dimensions says its rows' family_id.
+    owners every table but the dimensions says its rows' family_id. With keep
+    what the documents name, as large as the dimensions, is written once, for
+    all tables and joins that ask for it; else each reads the documents again.
     """
     own = ("family_id",) if owners else ()
     docs = docs.filter(refused(docs, permissive).isNull())
@@ -129,17 +133,25 @@ def shred(docs: DataFrame, permissive: bool = False, owners: bool = False) -> di
         t[f"{name}_fps"] = m.select(F.col("owner").alias(owner), "fps_id", *own)
     t["fps_measurement"] = reduce(DataFrame.unionByName, every)
     # dimensions are what the documents name; which tasks they serve is where they are used
-    uses = [c.select("dataset", F.lit("Classification").alias("task")), i.select("dataset", F.col("instance_type").alias("task")), s.select("dataset", F.lit("Semantic Segmentation").alias("task"))]
-    uses = reduce(DataFrame.unionByName, uses)
-    also = [p.select(F.col("pretrain_dataset").alias("dataset")), c.select(F.col("fine_tune_dataset").alias("dataset")), c.select(F.col("intermediate_fine_tune_dataset").alias("dataset")), i.select(F.col("train_dataset").alias("dataset")), s.select(F.col("train_dataset").alias("dataset")), i.select(F.col("intermediate_train_dataset").alias("dataset")), s.select(F.col("intermediate_train_dataset").alias("dataset"))]
-    names = reduce(DataFrame.unionByName, [uses.select("dataset"), *also]).filter("dataset IS NOT NULL").distinct()
-    measured_on = uses.select("dataset").distinct().withColumn("eval", F.lit(True))
-    t["dataset"] = names.join(measured_on, "dataset", "left").select(key("dataset").alias("dataset_id"), F.col("dataset").alias("name"), F.coalesce("eval", F.lit(False)).alias("eval"), F.lit("").alias("website"))
-    heads = i.select("head", F.col("instance_type").alias("task")).unionByName(s.select("head", F.lit("Semantic Segmentation").alias("task"))).filter("head IS NOT NULL").distinct()
+    one = lambda kind, name, task=None: F.struct(F.lit(kind).alias("kind"), name.alias("name"), (F.lit(None).cast("string") if task is None else task).alias("task"), F.lit(task is not None).alias("used"))
+    also = lambda r, *names: (one("dataset", r[x]) for x in names)
+    semantic = F.lit("Semantic Segmentation")
+    of = {
+        "classification_results": lambda r: F.array(one("dataset", r["dataset"], F.lit("Classification")), *also(r, "fine_tune_dataset", "intermediate_fine_tune_dataset")),
+        "instance_results": lambda r: F.array(one("dataset", r["dataset"], r["instance_type"]), one("head", r["head"], r["instance_type"]), *also(r, "train_dataset", "intermediate_train_dataset")),
+        "semantic_seg_results": lambda r: F.array(one("dataset", r["dataset"], semantic), one("head", r["head"], semantic), *also(r, "train_dataset", "intermediate_train_dataset")),
+    }
+    own_names = F.array(one("dataset", F.col("pretrain_dataset")))
+    named_in = [own_names] + [F.coalesce(F.flatten(F.transform(F.filter(x, lambda r: r.isNotNull()), f)), F.array().cast(_MENTIONS)) for x, f in of.items()]
+    mentions = p.select(F.inline(F.concat(*named_in))).distinct()
+    mentions = kept(mentions) if keep else mentions
+    uses = mentions.filter("kind = 'dataset' AND used").select(F.col("name").alias("dataset"), "task")
+    t["dataset"] = mentions.filter("kind = 'dataset' AND name IS NOT NULL").groupBy("name").agg(F.max("used").alias("eval")).select(key("name").alias("dataset_id"), "name", "eval", F.lit("").alias("website"))
+    heads = mentions.filter("kind = 'head' AND name IS NOT NULL").select(F.col("name").alias("head"), "task")
     t["head"] = heads.select("head").distinct().select(key("head").alias("head_id"), F.col("head").alias("name"), F.lit("").alias("paper"), F.lit("").alias("github"))
     tasks = uses.select("task").filter("task IS NOT NULL").distinct()
     t["task"] = tasks.select(key("task").alias("task_id"), F.col("task").alias("name"))
-    t["dataset_task"] = uses.distinct().select(key("dataset").alias("dataset_id"), key("task").alias("task_id"))
+    t["dataset_task"] = uses.select(key("dataset").alias("dataset_id"), key("task").alias("task_id"))
     t["head_task"] = heads.select(key("head").alias("head_id"), key("task").alias("task_id"))
     return with_references(t)
 
@@ -218,6 +230,11 @@ def without(rows: DataFrame, name: str, other: DataFrame, other_name: str, rule:
 def by_family(t: Mapping[str, DataFrame], broken: DataFrame) -> DataFrame:
     """family, rule, key: violations with the name of the document that they are in."""
     families = t["family"].select("family_id", F.col("name").alias("family"))
+    if "family_id" in t["classification_result"].columns:  # tables with owners say it themselves
+        named = [t[x].select("family_id", F.col("name").alias("key")) for x in ("family", "backbone", "pretrained_backbone")]
+        owners = named + [t[f"{x}_result"].select("family_id", F.col("result_id").cast("string").alias("key")) for x in ("classification", "instance", "semantic")]
+        owners.append(t["fps_measurement"].select("family_id", F.col("fps_id").cast("string").alias("key")))
+        return broken.distinct().join(reduce(DataFrame.unionByName, owners), "key").join(families, "family_id").select("family", "rule", "key").distinct()
     pbs = t["pretrained_backbone"].select("pb_id", "family_id")
     owners = [t[x].select("family_id", F.col("name").cast("string").alias("key")) for x in ("family", "backbone", "pretrained_backbone")]
     results = {x: t[f"{x}_result"].join(pbs, "pb_id").select("family_id", "result_id") for x in ("classification", "instance", "semantic")}
@@ -230,7 +247,7 @@ def by_family(t: Mapping[str, DataFrame], broken: DataFrame) -> DataFrame:
 def rejected(docs: DataFrame, permissive: bool = False, dimensions: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """family, reason of documents that may not be loaded: what can't be shredded, and what breaks rules, document by document."""
     why = docs.select(F.col("name").alias("family"), refused(docs, permissive).alias("reason")).filter("reason IS NOT NULL")
-    t = shred(docs, permissive)
+    t = shred(docs, permissive, owners=True)
     broken = by_family(t, violations(t, dimensions=dimensions)).groupBy("family").agg(F.array_join(F.sort_array(F.collect_set("rule")), ", ").alias("reason"))
     return why.unionByName(broken)
 

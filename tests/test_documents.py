@@ -194,3 +194,17 @@ def test_nested_paths_have_every_result(spark):
     nations = {r["n_name"] for r in spark.read.parquet("/root/testdata/sf0.001/nation.parquet").collect()}
     paths = queries.nested_paths(spark, "/root/testdata/sf0.001").collect()
     assert len(paths) == lines.count() and {r["path"].split("/")[0] for r in paths} <= nations
+
+
+def test_names_are_read_once_and_owners_said(spark, tmp_path):
+    """With keep no dimension reads the documents again; rejects need no join to find a result's family."""
+    texts = spark.createDataFrame([(json.dumps(d),) for d in (family(paper="", github=""), family("B", pretrain_method="magic"), family("B"))], "value string")
+    ds.read_json(spark, texts).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.schema(ds.read_json(spark, texts).schema).parquet(str(tmp_path / "docs"))
+    one, kept = ds.shred(docs), ds.shred(docs, keep=True)
+    for n in ("dataset", "head", "task", "dataset_task", "head_task"):
+        assert str(tmp_path / "docs") not in {f.removeprefix("file://").rsplit("/", 1)[0] for f in kept[n].inputFiles()}
+        assert sorted(map(repr, kept[n].collect())) == sorted(map(repr, one[n].collect()))
+    owned = ds.shred(docs, owners=True)
+    want = sorted(map(repr, ds.by_family(one, ds.violations(one)).collect()))
+    assert want and sorted(map(repr, ds.by_family(owned, ds.violations(owned)).collect())) == want
