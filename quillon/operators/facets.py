@@ -27,7 +27,15 @@ def index(rows: DataFrame, id_: str, fields: Sequence[str]) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
     each = rows.filter(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.inline(pairs)).filter("value IS NOT NULL")
     dealt = each.withColumn("block", F.bitmap_bucket_number("id")).select("field", "value", "block", F.bitmap_bit_position("id").alias("bit"))
-    return dealt.repartition("field", "value", "block").groupBy("field", "value", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # 64 bits at a time by a hash table, which sorts nothing and has an entry for all ids that share one; their bytes in the order of a bitmap's
+    part = (F.lit(56) - F.floor(F.col("bit") % 64 / 8) * 8 + F.col("bit") % 8).cast("int")
+    word = dealt.repartition("field", "value", "block").select("field", "value", "block", F.floor(F.col("bit") / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), part).alias("one"))
+    words = word.groupBy("field", "value", "block", "w").agg(F.bit_or("one").alias("ones"))
+    listed = words.groupBy("field", "value", "block").agg(F.sort_array(F.collect_list(F.struct("w", "ones"))).alias("a"))
+    # words that nobody is in are zeros between the others
+    before = lambda i: F.coalesce(F.when(i > 0, F.get("a", i - 1)["w"]), F.lit(-1))
+    text = F.transform("a", lambda x, i: F.concat(F.repeat(F.lit("0"), (x["w"] - before(i) - 1) * 16), F.lpad(F.hex(x["ones"]), 16, "0")))
+    return listed.select("field", "value", "block", F.unhex(F.rpad(F.array_join(text, ""), 8192, "0")).alias("bits"))
 
 
 def merged(*indexes: DataFrame) -> DataFrame:

@@ -27,3 +27,8 @@ def test_against_sets(spark):
     n = facets.matching(indexed, both).select(facets.F.sum(facets.F.bitmap_count("bits"))).first()[0]
     assert n == len(have["f", "a"] & (have["g", "x"] | have["g", "y"]))
     assert facets.counts(facets.index(df.limit(0), "id", fields), both).count() == 0
+
+
+def test_no_row_of_facts_is_sorted(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 3 AS f")
+    assert "SortAggregate" not in facets.index(rows, "id", ["f"])._jdf.queryExecution().toString()
