@@ -53,9 +53,17 @@ def grid(points: DataFrame, order: str, width: int, height: int, within: Extent
     """key, px, py, n, first, last (structs of order, x, y), x_min, x_max, y_min, y_max of points (key, x, y, and the column that orders them). Points outside `within` aren't drawn."""
     e = within or extent(points) or Extent(0.0, 0.0, 0.0, 0.0)
     drawn = _drawn(points).filter(F.col("x").between(e.x_min, e.x_max) & F.col("y").between(e.y_min, e.y_max))
-    one = F.struct(F.col(order).alias("at"), "x", "y")
-    cells = drawn.select("key", _pixel("x", e.x_min, e.x_max, width).alias("px"), _pixel("y", e.y_min, e.y_max, height).alias("py"), F.lit(1).cast("long").alias("n"), one.alias("first"), one.alias("last"), F.col("x").alias("x_min"), F.col("x").alias("x_max"), F.col("y").alias("y_min"), F.col("y").alias("y_max"))
-    return _gathered(cells)
+    placed = drawn.select("key", _pixel("x", e.x_min, e.x_max, width).alias("px"), _pixel("y", e.y_min, e.y_max, height).alias("py"), F.col(order).alias("at"), "x", "y")
+    # numbers first, which hash tables of the cells' size hold (structs would have all points sorted); then the points at a cell's ends
+    ends = {"first_at": F.when(~F.bool_or(F.col("at").isNull()), F.min("at")), "last_at": F.max("at")}
+    cells = placed.groupBy("key", "px", "py").agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in ends.items()), *(f(c).alias(f"{c}_{k}") for c in "xy" for k, f in (("min", F.min), ("max", F.max))))
+    same = reduce(lambda a, b: a & b, (F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("key", "px", "py")))
+    is_first, is_last = (F.col("p.at").eqNullSafe(F.col(f"c.{k}")) for k in ends)
+    one = F.struct("p.at", "p.x", "p.y")
+    at_ends = placed.alias("p").join(cells.alias("c"), same & (is_first | is_last)).select("p.key", "p.px", "p.py", F.when(is_first, one).alias("first"), F.when(is_last, one).alias("last"))
+    found = at_ends.groupBy("key", "px", "py").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    same = reduce(lambda a, b: a & b, (F.col(f"f.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("key", "px", "py")))
+    return cells.alias("c").join(found.alias("f"), same).select("c.key", "c.px", "c.py", "n", "first", "last", "x_min", "x_max", "y_min", "y_max")
 
 
 def merged(*grids: DataFrame) -> DataFrame:

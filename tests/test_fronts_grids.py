@@ -69,3 +69,12 @@ def test_grid(spark):
     assert grids.grid(df.limit(0), "at", 4, 4).count() == 0
     one = spark.createDataFrame([("k", 3.0, 1.0, 1), ("k", 3.0, 2.0, 2)], "key string, x double, y double, at int")
     assert sorted((r["px"], r["py"], r["n"]) for r in grids.grid(one, "at", 4, 4).collect()) == [(0, 0, 1), (0, 3, 1)]
+
+
+def test_points_are_gathered_by_hash(spark):
+    """A hash table of cells, not a sort of points; ties and nulls of the order are as structs compare."""
+    rows = [("k", 1, 0.0, 5.0), ("k", 1, 0.1, 4.0), ("k", 3, 0.2, 4.5), ("k", 3, 0.2, 4.9), (None, None, 1.0, 9.0), (None, 2, 0.9, 9.0), (None, 2, 1.0, 8.9)]
+    got = grids.grid(spark.createDataFrame(rows, "key string, at long, x double, y double"), "at", 1, 1)
+    assert "HashAggregate(keys=[key" in got._jdf.queryExecution().toString().split("Physical Plan")[1]
+    found = {r["key"]: (r["n"], tuple(r["first"]), tuple(r["last"]), r["x_min"], r["y_max"]) for r in got.collect()}
+    assert found == {"k": (4, (1, 0.0, 5.0), (3, 0.2, 4.9), 0.0, 5.0), None: (3, (None, 1.0, 9.0), (2, 1.0, 8.9), 0.9, 9.0)}
